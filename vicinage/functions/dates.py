@@ -50,11 +50,15 @@ def month_number(name: Column) -> Column:
     return F.element_at(table, strip_accents(F.lower(name)))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def safe_date(year: Column, month: Column, day: Column) -> Column:
     """The calendar date, or null when there is no such day."""
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"),
-                       F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), text.try_cast("date"))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(day)).try_cast("date")
 
 
 def plausible_year(c: Column, today: Column) -> Column:
@@ -69,44 +73,49 @@ def _number(text: Column, pattern: str, n: int) -> Column:
     return _group(text, pattern, n).try_cast("int")
 
 
-def _day_month(year: Column, first: Column, second: Column) -> Column:
-    """Day first; the other way round only when that is the one that exists."""
-    return F.coalesce(safe_date(year, second, first), safe_date(year, first, second))
-
-
-def read_date(text: Column, today: Column) -> Column:
-    """The date a text states in any supported notation; a bare time is not a date. No year gate."""
-    t = F.trim(text)
-    plain = strip_accents(F.lower(t))
+def _numbers(text: Column, pattern: str) -> Column:
+    """The three numbers of a notation as struct(a, b, c); the pattern is run on its own match only."""
+    return let(F.regexp_extract(text, pattern, 0), lambda hit: F.struct(*[
+        _number(hit, pattern, i).alias(name) for i, name in enumerate("abc", start=1)]))
 
-    iso_form = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ]\d{2}.*)?$"
-    as_iso = safe_date(_number(t, iso_form, 1), _number(t, iso_form, 2), _number(t, iso_form, 3))
 
-    dmy = r"(?<!\d)(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})(?!\d)"
-    short_year = _number(t, dmy, 3)
+def _full_year(year: Column, today: Column) -> Column:
+    """Two-digit years lie within fifty years of today."""
     near = F.year(today)
-    year = F.when(short_year > 99, short_year).otherwise(
-        F.when(2000 + short_year >= near + 50, 1900 + short_year).otherwise(2000 + short_year))
-    as_numeric = _day_month(year, _number(t, dmy, 1), _number(t, dmy, 2))
+    return (F.when(year > 99, year).when(2000 + year >= near + 50, 1900 + year).otherwise(2000 + year))
 
-    ymd = r"(?<!\d)(\d{4})[./-](\d{1,2})[./-](\d{1,2})(?!\d)"
-    y, second, third = (_number(t, ymd, i) for i in (1, 2, 3))
-    # Day-first notation applies after a leading year too, wherever the last number can be a month.
-    as_year_first = F.when(third <= 12, safe_date(y, third, second)).otherwise(safe_date(y, second, third))
 
-    named = rf"(?<![\da-z])(\d{{1,2}})(?:st|nd|rd|th|er)?\.?[\s-]*(?:de\s+)?({_NAME_PATTERN})\.?,?[\s-]*(\d{{4}})(?!\d)"
-    as_named = safe_date(_number(plain, named, 3), month_number(_group(plain, named, 2)), _number(plain, named, 1))
+# Fixed notations: ISO, day first, year first, day and month name, month name and day.
+ISO_FORM = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ]\d{2}.*)?$"
+DAY_FIRST = r"(?<!\d)(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})(?!\d)"
+YEAR_FIRST = r"(?<!\d)(\d{4})[./-](\d{1,2})[./-](\d{1,2})(?!\d)"
+DAY_NAME = rf"(?<![\da-z])(\d{{1,2}})(?:st|nd|rd|th|er)?\.?[\s-]*(?:de\s+)?({_NAME_PATTERN})\.?,?[\s-]*(\d{{4}})(?!\d)"
+NAME_DAY = rf"(?<![a-z])({_NAME_PATTERN})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?!\d)"
 
-    flipped = rf"(?<![a-z])({_NAME_PATTERN})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?!\d)"
-    as_flipped = safe_date(_number(plain, flipped, 3), month_number(_group(plain, flipped, 1)),
-                           _number(plain, flipped, 2))
-    return F.coalesce(as_iso, F.when(t.rlike(ymd), as_year_first), as_numeric, as_named, as_flipped)
+
+def read_date(text: Column, today: Column) -> Column:
+    """The date a text states in any supported notation; a bare time is not a date. No year gate."""
+    def read(t: Column) -> Column:
+        plain = strip_accents(F.lower(t))
+        as_iso = let(_numbers(t, ISO_FORM), lambda n: safe_date(n["a"], n["b"], n["c"]))
+        # Day-first notation applies after a leading year too, wherever the last number can be a month.
+        as_year_first = let(_numbers(t, YEAR_FIRST), lambda n: F.when(
+            n["c"] <= 12, safe_date(n["a"], n["c"], n["b"])).otherwise(safe_date(n["a"], n["b"], n["c"])))
+        # Day first; the other way round only when that is the one that exists.
+        as_numeric = let(_numbers(t, DAY_FIRST), lambda n: let(_full_year(n["c"], today), lambda y: F.coalesce(
+            safe_date(y, n["b"], n["a"]), safe_date(y, n["a"], n["b"]))))
+        as_named = safe_date(_number(plain, DAY_NAME, 3), month_number(_group(plain, DAY_NAME, 2)),
+                             _number(plain, DAY_NAME, 1))
+        as_flipped = safe_date(_number(plain, NAME_DAY, 3), month_number(_group(plain, NAME_DAY, 1)),
+                               _number(plain, NAME_DAY, 2))
+        return F.coalesce(as_iso, F.when(t.rlike(YEAR_FIRST), as_year_first), as_numeric, as_named, as_flipped)
+
+    return let(F.trim(text), read)
 
 
 def to_iso_date(text: Column, today: Column) -> Column:
     """`read_date`, refused when the year is one nobody could have meant."""
-    found = read_date(text, today)
-    return F.when(plausible_year(found, today), found)
+    return let(read_date(text, today), lambda d: F.when(plausible_year(d, today), d))
 
 
 def date_from_title(title: Column, today: Column) -> Column:
@@ -116,17 +125,21 @@ def date_from_title(title: Column, today: Column) -> Column:
 
 def date_from_url(url: Column) -> Column:
     """The date in a URL slug: y-m-d, then d-month-y, then d-m-y; an impossible day is null."""
-    slug = F.lower(F.coalesce(F.try_url_decode(url), url))
     ymd = r"(20\d{2})[-/](\d{1,2})[-/](\d{1,2})"
     by_name = r"(?U)\b(\d{1,2})[-_ ]([a-zàâçéèêëîïôûùüÿñæœ]+)[-_ ](20\d{2})\b"
     dmy = r"(?U)\b(\d{1,2})[-/](\d{1,2})[-/](20\d{2})\b"
-    name = _group(slug, by_name, 2)
-    month = F.coalesce(*[month_number(F.substring(name, 1, n)) for n in (5, 4, 3)])
-    return (
-        F.when(slug.rlike(ymd), safe_date(_number(slug, ymd, 1), _number(slug, ymd, 2), _number(slug, ymd, 3)))
-        .when(month.isNotNull(), safe_date(_number(slug, by_name, 3), month, _number(slug, by_name, 1)))
-        .when(slug.rlike(dmy), safe_date(_number(slug, dmy, 3), _number(slug, dmy, 2), _number(slug, dmy, 1)))
-    )
+
+    def read(slug: Column) -> Column:
+        month = let(_group(slug, by_name, 2), lambda name: F.coalesce(
+            *[month_number(F.substring(name, 1, n)) for n in (5, 4, 3)]))
+        named = let(month, lambda m: F.when(m.isNotNull(), F.struct(
+            safe_date(_number(slug, by_name, 3), m, _number(slug, by_name, 1)).alias("day"))))
+        return (
+            F.when(slug.rlike(ymd), let(_numbers(slug, ymd), lambda n: safe_date(n["a"], n["b"], n["c"])))
+            .otherwise(let(named, lambda hit: F.when(hit.isNotNull(), hit["day"]).otherwise(
+                let(_numbers(slug, dmy), lambda n: safe_date(n["c"], n["b"], n["a"]))))))
+
+    return let(F.lower(F.coalesce(F.try_url_decode(url), url)), read)
 
 
 def time_range(text: Column) -> Column:

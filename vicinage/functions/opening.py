@@ -76,7 +76,7 @@ def is_open_at(value: Column, moment: Column, carry_overnight: bool = False) ->
             F.exists(spans, lambda s: s["carried"]).alias("carried"),
         )
 
-    rules = F.transform(F.filter(F.transform(F.split(text, ";"), F.trim), lambda r: F.length(r) > 0), parse)
+    rules = F.transform(F.filter(F.transform(F.split(text, ";"), lambda r: F.trim(r)), lambda r: F.length(r) > 0), parse)
 
     def apply(state: Column, rule: Column) -> Column:
         same_day = rule["inside"] if carry_overnight else (rule["inside"] | rule["carried"])

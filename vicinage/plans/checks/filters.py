@@ -170,7 +170,7 @@ PLACE_SCORE = """greatest(0, least(100, CASE kind WHEN 'playground' THEN 90 WHEN
   + CASE tag_fee WHEN 'no' THEN 3 WHEN 'yes' THEN -3 ELSE 0 END
   + CASE WHEN tag_access IN ('private', 'customers') THEN -40 ELSE 0 END))"""
 # places_v classified and scored.
-SCORED = f"""scored AS (SELECT *, concat('osm:', osm_type, '/', CAST(osm_id AS VARCHAR)) AS id, {PLACE_SCORE} AS family_score,
+SCORED = f"""scored AS (SELECT * REPLACE (round(lat, 6) AS lat, round(lng, 6) AS lng), concat('osm:', osm_type, '/', CAST(osm_id AS VARCHAR)) AS id, {PLACE_SCORE} AS family_score,
     CASE kind WHEN 'playground' THEN 'play' WHEN 'water_playground' THEN 'play' WHEN 'swimming' THEN 'sport'
       ELSE 'nature' END AS grp,
     coalesce(tag_name, CASE kind WHEN 'playground' THEN 'Spielplatz' WHEN 'swimming' THEN 'Schwimmbad / Freibad'

@@ -67,6 +67,12 @@ FROM {{nation}}""",
 SELECT l_orderkey AS route_id, l_linenumber AS seq,
   {_D('49.5')} + {_D('l_partkey % 500')} * {_D('0.001')} AS lat,
   {_D('5.8')} + {_D('l_suppkey % 100')} * {_D('0.005')} AS lng, l_partkey, l_suppkey FROM {{lineitem}}""",
+    "communes_v": f"""
+SELECT p_name AS name, concat('Com-', p_name) AS name_alt, min(p_partkey) AS commune_id,
+  concat('NATION_', CAST(min(p_partkey) % 25 AS VARCHAR(9))) AS canton,
+  {_D('49.45')} + {_D('min(p_partkey) * 37 % 100')} * {_D('0.007')} AS lat,
+  {_D('5.75')} + {_D('min(p_partkey) * 53 % 100')} * {_D('0.008')} AS lng
+FROM {{part}} GROUP BY p_name""",
     "profiles_v": """
 SELECT c_custkey AS user_id, CASE c_custkey % 5 WHEN 0 THEN 'skipped' WHEN 1 THEN 'family' ELSE 'couple' END AS persona,
   CASE c_custkey % 3 WHEN 0 THEN 'nature' WHEN 1 THEN 'playgrounds' ELSE 'culture' END AS interest_1,
@@ -157,6 +163,12 @@ class Tables:
                         F.col("minx").alias("west"), (F.col("minx") + 0.16).alias("east"),
                         F.array(ring).alias("rings"))
 
+    @cached_property
+    def communes(self) -> DataFrame:
+        """communes_v with its spelling list."""
+        return self.communes_v.select("commune_id", "name", F.array("name", "name_alt").alias("names"),
+                                      "canton", "lat", "lng")
+
     @cached_property
     def profiles(self) -> DataFrame:
         """profiles_v with the answer arrays."""
@@ -168,11 +180,6 @@ class Tables:
             F.array("preferred_canton").alias("preferred_cantons"), "budget",
             F.array(F.lit("wheelchair")).alias("needs"))
 
-    @cached_property
-    def route_points(self) -> DataFrame:
-        """routes_v with a unique order of the vertices inside a route."""
-        return self.routes_v
-
     @cached_property
     def routes(self) -> DataFrame:
         """routes_v as one polyline per route with its bounds."""
