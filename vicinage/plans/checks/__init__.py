@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import CHECKS, Check
 
-MODULES = ["filters", "ranking", "aggregates", "text", "places", "spatial", "towns", "personal", "feeds"]
+MODULES = ["filters", "ranking", "aggregates", "text", "places", "spatial", "towns", "personal", "feeds", "sinks", "quality"]
 
 
 def all_checks() -> dict[str, Check]:

@@ -186,7 +186,11 @@ def json_ld_events(pages: DataFrame, keys: list[str] = LD_CHILDREN) -> DataFrame
     """(page_id, block, level, position, node): every Event node at any depth; broken blocks are skipped."""
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LD_BLOCK), F.lit(1)))
                           .alias("block", "raw"))
-    parsed = blocks.withColumn("v", F.try_parse_json("raw")).filter(F.col("v").isNotNull())
+    # Wrapped in a list, so text after the first value makes a block unreadable, as it should.
+    wrapped = F.try_parse_json(F.concat(F.lit("["), "raw", F.lit("]")))
+    parsed = (blocks.withColumn("w", wrapped)
+              .filter(F.size(F.try_variant_get("w", "$", "array<variant>")) == 1)
+              .withColumn("v", F.try_variant_get("w", "$[0]", "variant")).drop("w", "raw"))
     # Each level is a column of its own, so deeper levels are built from it and not from the page again.
     frame = parsed.withColumn("l0", _flat(F.col("v")))
     for i in range(1, LD_DEPTH + 2):
