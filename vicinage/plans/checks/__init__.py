@@ -6,7 +6,8 @@ from importlib import import_module
 
 from .base import CHECKS, Check
 
-MODULES = ["filters", "ranking", "aggregates", "text", "places", "spatial", "towns", "personal", "feeds", "sinks", "quality"]
+MODULES = ["filters", "ranking", "aggregates", "text", "places", "spatial", "towns", "personal", "feeds", "sinks", "quality",
+           "streams", "routes"]
 
 
 def all_checks() -> dict[str, Check]:

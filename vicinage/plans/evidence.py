@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
 from ..operators.ranking import first_per, url_rank
+from ..session import cut
 from ..sources import feeds
 
 # Paths tried without a sitemap, the marker of event data, examples looked at.
@@ -48,8 +49,9 @@ def site_evidence(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, page
     w = F.col("website")
     origin = F.concat(F.coalesce(F.nullif(urls.scheme(w), F.lit("")), F.lit("https")), F.lit("://"), urls.netloc(w))
     path = F.coalesce(F.nullif(urls.path_of(w), F.lit("")), F.lit("/"))
-    base = sites.withColumns({"_host": urls.netloc(w), "_origin": origin}).join(
-        robots.withColumnRenamed("host", "_host"), "_host", "left").withColumn("_rules", robots_rules(F.col("robots"), path))
+    # Sites, parsed sitemaps and the candidates are each used several times: written once, read back.
+    base = cut(sites.withColumns({"_host": urls.netloc(w), "_origin": origin}).join(
+        robots.withColumnRenamed("host", "_host"), "_host", "left").withColumn("_rules", robots_rules(F.col("robots"), path)))
     open_ = base.filter((F.col("_host") != "") & F.col("_rules.allowed"))
 
     # The first declared sitemap that lists something, else the usual place.
@@ -58,16 +60,16 @@ def site_evidence(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, page
     usual = open_.join(declared.select("_host").distinct(), "_host", "left_anti").select(
         "_host", F.lit(0).alias("position"), F.concat("_origin", F.lit("/sitemap.xml")).alias("sitemap"))
     wanted = declared.unionByName(usual).distinct()
-    entries = feeds.sitemap_entries(sitemaps)
+    is_index = F.col("xml").rlike("(?i)<sitemapindex").alias("_index")
+    entries = feeds.sitemap_entries(sitemaps.select("doc_url", is_index, "xml"))
     child = urls.path_of(F.lower("url")).rlike(r"\.xml(\.gz)?$")
-    own = entries.select(F.col("doc_url").alias("sitemap"), "url", child.alias("_nested"))
-    is_index = sitemaps.select(F.col("doc_url").alias("sitemap"), F.col("xml").rlike("(?i)<sitemapindex").alias("_index"))
-    nested = (own.filter("_nested").join(is_index, "sitemap")
+    own = cut(entries.select(F.col("doc_url").alias("sitemap"), "url", child.alias("_nested"), "_index"))
+    nested = (own.filter("_nested")
               .filter(F.col("_index") | urls.discoverable(F.col("url"), vocabulary))
               .select("sitemap", F.col("url").alias("_child"))
               .join(own.filter(~F.col("_nested")).select(F.col("sitemap").alias("_child"), "url"), "_child").select("sitemap", "url"))
     listed = own.filter(~F.col("_nested")).select("sitemap", "url").unionByName(nested)
-    all_ = wanted.join(listed, "sitemap")
+    all_ = cut(wanted.join(listed, "sitemap"))
     first = all_.groupBy("_host").agg(F.min_by("sitemap", "position").alias("sitemap"))
     used = all_.join(first, ["_host", "sitemap"])
     found = used.filter(urls.discoverable(F.col("url"), vocabulary)).select("_host", "url")
@@ -78,7 +80,7 @@ def site_evidence(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, page
                .withColumn("url", F.concat("_origin", "_path")).join(pages.select("url").distinct(), "url"))
     guessed = first_per(guessed, ["_host"], ["_at"]).select("_host", "url", F.lit(True).alias("_guess"))
 
-    candidates = found.withColumn("_guess", F.lit(False)).unionByName(guessed)
+    candidates = cut(found.withColumn("_guess", F.lit(False)).unionByName(guessed))
     counts = candidates.groupBy("_host").agg(F.count("*").alias("_n"), F.bool_or("_guess").alias("_guess"))
     best = first_per(candidates.select("_host", "url"), ["_host"], [url_rank(F.col("url"))], EXAMPLES, rank="_rank")
     blocks = F.regexp_extract_all("html", F.lit(feeds.LD_BLOCK), F.lit(1))

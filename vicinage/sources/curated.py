@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import regions as R
 from ..functions import geo, text as tx, urls
 from ..operators.towns import towns_in_text
-from .feeds import meta
+from .feeds import meta, raw_meta
 
 
 def curated_details(pages: DataFrame, communes: DataFrame,
@@ -19,7 +19,7 @@ def curated_details(pages: DataFrame, communes: DataFrame,
     canton's, the country's. `communes`: (name, names, canton, lat, lng).
     """
     html = F.col("html")
-    image = F.coalesce(meta(html, "og:image:secure_url"), meta(html, "og:image"), F.lit(""))
+    image = F.coalesce(raw_meta(html, "og:image:secure_url"), raw_meta(html, "og:image"), F.lit(""))
     rows = pages.select(
         "page_id", "url", F.trim(F.coalesce(meta(html, "og:title"), F.lit(""))).alias("_raw"),
         F.coalesce(meta(html, "og:description"), F.lit("")).alias("description"), image.alias("image"),

@@ -249,18 +249,18 @@ def from_json_ld(pages: DataFrame, sources: DataFrame, today) -> DataFrame:
 
 # --- pages without structured data ------------------------------------------------------------
 
-def meta(html: Column, prop: str) -> Column:
-    """Content of a meta tag, by property and then by name."""
+def raw_meta(html: Column, prop: str) -> Column:
+    """Content of a meta tag as written, by property and then by name."""
     def by(attribute: str) -> Column:
         tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
         wanted = F.filter(tags, lambda m: m.rlike(rf"(?i)\b{attribute}\s*=\s*[\"']{prop.replace('.', '[.]')}[\"']"))
         content = F.regexp_extract(F.get(wanted, 0), r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 0)
         return F.regexp_replace(content, r"(?is)^content\s*=\s*[\"']|[\"']$", "")
-    return tx.unescape_html(F.coalesce(_text(by("property")), _text(by("name"))))
+    return F.coalesce(_text(by("property")), _text(by("name")))
 
 
-def page_title(html: Column) -> Column:
-    return F.trim(tx.unescape_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+def meta(html: Column, prop: str) -> Column:
+    return tx.unescape_html(raw_meta(html, prop))
 
 
 def visible_text(html: Column) -> Column:
@@ -279,19 +279,20 @@ def from_open_graph(pages: DataFrame, today) -> DataFrame:
     """
     t = day(today)
     html = F.col("html")
-    title = F.coalesce(meta(html, "og:title"), page_title(html))
+    heading = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    title = F.trim(tx.unescape_html(F.coalesce(raw_meta(html, "og:title"), heading)))
     times = F.regexp_extract_all(html, F.lit(r"(?is)<time\b[^>]*>.*?</time>"), F.lit(0))
 
     def of_tag(tag: Column) -> Column:
         attribute = F.regexp_extract(tag, r"(?is)^<time\b[^>]*\bdatetime\s*=\s*[\"']([^\"']*)[\"']", 1)
-        return dates.to_iso_date(F.coalesce(_text(attribute), F.regexp_replace(tag, r"(?s)<[^>]*>", "")), t)
+        return F.coalesce(_text(attribute), F.regexp_replace(tag, r"(?s)<[^>]*>", ""))
 
-    from_tags = F.get(F.filter(F.transform(times, of_tag), lambda d: d.isNotNull()), 0)
-    from_meta = F.coalesce(*[dates.to_iso_date(meta(html, p), t) for p in META_DATES])
-    from_text = dates.to_iso_date(_text(F.regexp_extract(visible_text(html), dates.TEXT_DATE, 1)), t)
+    in_text = _text(F.regexp_extract(visible_text(html), dates.TEXT_DATE, 1))
+    written = F.concat(F.transform(times, of_tag), F.array(*[raw_meta(html, p) for p in META_DATES], in_text))
+    read = F.transform(written, lambda text: dates.to_iso_date(text, t))
+    on_page = F.get(F.filter(read, lambda d: d.isNotNull()), 0)
     rows = pages.withColumn("title", title)
-    start = F.coalesce(dates.date_from_title(F.col("title"), t), dates.date_from_url(F.col("url")),
-                       from_tags, from_meta, from_text)
+    start = F.coalesce(dates.date_from_title(F.col("title"), t), dates.date_from_url(F.col("url")), on_page)
     return rows.select(
         "page_id", F.col("url").alias("external_id"), "title", F.coalesce(meta(html, "og:description"), F.lit("")).alias("description"),
         start.alias("start_date"), F.coalesce(meta(html, "og:image"), F.lit("")).alias("image"),
@@ -361,15 +362,15 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
     """(doc_url, position, url, lastmod) of url and sitemap nodes; bare locations when there are none."""
     nodes = F.regexp_extract_all("xml", F.lit(r"(?is)<(url|sitemap)>(.*?)</\1>"), F.lit(2))
     bare = F.regexp_extract_all("xml", F.lit(r"(?is)<loc[^>]*>.*?</loc>"), F.lit(0))
-    inner = lambda node, tag: F.trim(tx.unescape_html(F.regexp_replace(
-        F.regexp_extract(node, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"(?s)^\s*<!\[CDATA\[|\]\]>\s*$", "")))
+    inner = lambda node, tag: F.trim(F.regexp_replace(
+        F.regexp_extract(node, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"(?s)^\s*<!\[CDATA\[|\]\]>\s*$", ""))
     entry = lambda list_: F.filter(F.transform(list_, lambda n: F.struct(
         inner(n, "loc").alias("url"), inner(n, "lastmod").alias("lastmod"))), lambda e: F.length(e["url"]) > 0)
     chosen = docs.withColumn("_e", entry(nodes))
     chosen = chosen.withColumn("_e", F.when(F.size("_e") > 0, F.col("_e")).otherwise(entry(bare)))
     keep = [c for c in docs.columns if c != "xml"]
     return chosen.select(*keep, F.posexplode("_e").alias("position", "_x")).select(
-        *keep, "position", F.col("_x.url").alias("url"), F.col("_x.lastmod").alias("lastmod"))
+        *keep, "position", tx.unescape_html(F.trim("_x.url")).alias("url"), F.col("_x.lastmod").alias("lastmod"))
 
 
 def expand_index(entries: DataFrame, docs: DataFrame, below: int = 30) -> DataFrame:
@@ -450,8 +451,9 @@ def page_image(pages: DataFrame) -> DataFrame:
     links = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
     by_rel = lambda rel: _text(F.regexp_extract(F.get(F.filter(links, lambda tag: tag.rlike(
         rf"(?i)\brel\s*=\s*[\"']{rel}[\"']")), 0), r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1))
-    best = F.coalesce(*[_text(F.trim(meta(html, m))) for m in IMAGE_META], *[by_rel(r) for r in IMAGE_LINKS])
-    return pages.select("page_id", F.when(best.isNotNull(), urls.abs_url(F.col("url"), best)).alias("image"))
+    best = F.coalesce(*[_text(F.trim(raw_meta(html, m))) for m in IMAGE_META], *[by_rel(r) for r in IMAGE_LINKS])
+    found = pages.select("page_id", "url", tx.unescape_html(best).alias("_best"))
+    return found.select("page_id", F.when(F.col("_best").isNotNull(), urls.abs_url(F.col("url"), F.col("_best"))).alias("image"))
 
 
 def probe_pages(pages: DataFrame) -> DataFrame:
