@@ -20,6 +20,7 @@ from .ranking import first_per
 ANSWERS = ["persona", "interests", "child_age_groups", "preferred_cantons", "near_cantons", "budget"]
 TRAITS = ["canton", "interest_hits", "age_hits", "price_step"]
 PRICE_STEPS = [-1.0, 0.0, 15.0, 30.0, 1e9]
+BROADCAST_SIGNATURES = 200_000
 
 
 def answers_key() -> Column:
@@ -62,13 +63,25 @@ def listing_traits() -> dict[str, Column]:
 
 
 def listing_signatures(listings: DataFrame, order: Column, keep: int = 0) -> tuple[DataFrame, DataFrame | None]:
-    """(signatures with counts, the first `keep` listings of each in list order)."""
-    traits = listings.withColumns(listing_traits()).withColumn("signature", F.to_json(F.struct(*TRAITS)))
-    counts = traits.groupBy("signature", *TRAITS).agg(F.count("*").alias("n"))
+    """(signatures with a short id and counts, the first `keep` listings of each in list order).
+
+    The distinct signatures are written once: ids must not change between their uses, and everything
+    after this point works on them alone.
+    """
+    traits = listings.withColumns(listing_traits()).withColumn("_traits", F.to_json(F.struct(*TRAITS)))
+    counts = cut(traits.groupBy("_traits", *TRAITS).agg(F.count("*").alias("n"))
+                 .withColumn("signature", F.monotonically_increasing_id()))
     best = None
     if keep:
-        best = first_per(traits.select("signature", "id", order.alias("place")), ["signature"], ["place"], keep)
-    return counts, best
+        first = first_per(traits.select("_traits", "id", order.alias("place")), ["_traits"], ["place"], keep)
+        best = first.join(counts.select("_traits", "signature"), "_traits").drop("_traits")
+    return counts.drop("_traits"), best
+
+
+def answer_sets(profiles: DataFrame) -> DataFrame:
+    """Distinct sets of answers with a short id (`answers`); skipped profiles have none."""
+    return cut(profiles.filter(match.has_profile(F.col("persona"))).select(*ANSWERS, answers_key().alias("_key"))
+               .dropDuplicates(["_key"]).withColumn("answers", F.monotonically_increasing_id()))
 
 
 def _profile_keys() -> Column:
@@ -96,38 +109,45 @@ def _signature_keys() -> Column:
                     tagged("c", F.array("canton")), tagged("p", F.array_compact(F.array("price_step"))))
 
 
-def score_signatures(profiles: DataFrame, signatures: DataFrame) -> DataFrame:
+def score_signatures(sets: DataFrame, signatures: DataFrame) -> DataFrame:
     """(answers, signature, home, score) for all pairs that can score above zero.
 
     Points are earned key by key (an interest, an age group, a canton, a price step), so a pair is
     found by an equi join on the key and its score is a sum; pairs without a shared key cannot score.
     Demotions (far canton, over budget) apply where a pair earned nothing for that part.
     """
-    sets = profiles.filter(match.has_profile(F.col("persona"))).select(*ANSWERS).distinct() \
-        .withColumn("answers", answers_key())
-    wants = sets.select("answers", F.size("preferred_cantons").alias("_cantons"), "budget", F.inline(_profile_keys()))
-    offers = signatures.select("signature", F.col("price_step").isNotNull().alias("_priced"),
+    # Spread by set of answers: the join fans out in every task, and the sums need no second shuffle.
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)
+    wants = sets.repartition(tasks, "answers").select(
+        "answers", flag(F.size("preferred_cantons") > 0).alias("_picky"),
+        flag(F.col("budget").isin(list(P.BUDGET_LIMITS))).alias("_budgeted"), F.inline(_profile_keys())) \
+        .withColumns({"_canton": flag(F.col("key").startswith("c:")), "_price": flag(F.col("key").startswith("p:"))}) \
+        .withColumn("_home", F.when(F.col("points") == P.POINTS["home_canton"], F.col("_canton")).otherwise(0))
+    offers = signatures.select("signature", flag(F.col("price_step").isNotNull()).alias("_priced"),
                                F.explode(_signature_keys()).alias("key"))
-    earned = lambda letter: F.bool_or(F.col("key").startswith(letter + ":"))
+    # The written signatures are counted, and sent to all tasks only when they are few.
+    if signatures.count() <= BROADCAST_SIGNATURES:
+        offers = F.broadcast(offers)
+    most = lambda name: F.max(name).alias(name)
     pairs = wants.join(offers, "key").groupBy("answers", "signature").agg(
-        F.sum("points").alias("_earned"), earned("c").alias("_canton"), earned("p").alias("_price"),
-        F.first("_cantons").alias("_cantons"), F.first("budget").alias("_budget"), F.first("_priced").alias("_priced"),
-        F.bool_or(F.col("key").startswith("c:") & (F.col("points") == P.POINTS["home_canton"])).alias("home"))
-    far = F.when((F.col("_cantons") > 0) & ~F.col("_canton"), F.lit(P.POINTS["far_canton"])).otherwise(F.lit(0.0))
-    dear = F.when(F.col("_budget").isin(list(P.BUDGET_LIMITS)) & F.col("_priced") & ~F.col("_price"),
+        F.sum("points").alias("_earned"), *[most(n) for n in ("_canton", "_price", "_home", "_picky", "_budgeted", "_priced")])
+    far = F.when((F.col("_picky") == 1) & (F.col("_canton") == 0), F.lit(P.POINTS["far_canton"])).otherwise(F.lit(0.0))
+    dear = F.when((F.col("_budgeted") == 1) & (F.col("_priced") == 1) & (F.col("_price") == 0),
                   F.lit(P.POINTS["over_budget"])).otherwise(F.lit(0.0))
-    return pairs.select("answers", "signature", "home", F.round(F.col("_earned") + far + dear, 6).alias("score")) \
-        .filter(F.col("score") > 0)
+    return pairs.select("answers", "signature", (F.col("_home") == 1).alias("home"),
+                        F.round(F.col("_earned") + far + dear, 6).alias("score")).filter(F.col("score") > 0)
 
 
 def score_profiles(profiles: DataFrame, listings: DataFrame) -> DataFrame:
     """Per user: how many listings match (score above zero), the best score and the sum."""
     counts, _ = listing_signatures(listings, F.col("id"))
-    scored = score_signatures(profiles, counts).join(counts.select("signature", "n"), "signature")
+    sets = answer_sets(profiles)
+    scored = score_signatures(sets, counts).join(counts.select("signature", "n"), "signature")
     per = scored.groupBy("answers").agg(
         F.sum("n").alias("matches"), F.max("score").alias("best"), F.sum(F.col("n") * F.col("score")).alias("total"))
-    users = profiles.select("user_id", answers_key().alias("answers"))
-    return users.join(per, "answers", "left").select(
+    users = profiles.select("user_id", answers_key().alias("_key"))
+    return users.join(sets.select("_key", "answers"), "_key", "left").join(per, "answers", "left").select(
         "user_id", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("best", F.lit(0.0)).alias("best"),
         F.coalesce("total", F.lit(0.0)).alias("total"))
 
@@ -157,9 +177,10 @@ def for_you_all(profiles: DataFrame, listings: DataFrame, order: Column) -> Data
     handed to its users.
     """
     counts, best = listing_signatures(listings, order, P.PER_CANTON)
-    scored = score_signatures(profiles, counts).join(counts.select("signature", "canton"), "signature")
+    sets = answer_sets(profiles)
+    scored = score_signatures(sets, counts).join(counts.select("signature", "canton"), "signature")
     picks = for_you(scored.join(best, "signature"), ["answers"], ["place"])
-    users = profiles.select("user_id", answers_key().alias("answers"))
+    users = profiles.select("user_id", answers_key().alias("_key")).join(sets.select("_key", "answers"), "_key")
     return users.join(picks, "answers").select("user_id", "slot", "id", "canton", "score")
 
 

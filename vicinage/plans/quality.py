@@ -140,8 +140,13 @@ def clean_texts(listings: DataFrame, short: int = 120) -> DataFrame:
     """Builder markup and padding out of all languages; an emptied description falls back to the title."""
     clean = lambda c: tx.normalise_text(tx.strip_page_builder(c))
     title = {x: clean(F.col(f"title.{x}")) for x in LANGS}
-    prose = {x: F.when(F.col(f"description.{x}").eqNullSafe(clean(F.col(f"description.{x}"))), F.col(f"description.{x}"))
-             .otherwise(F.coalesce(tx.some_text(clean(F.col(f"description.{x}"))), title[x], F.lit(""))) for x in LANGS}
+
+    def cleaned(x: str) -> Column:
+        stored = F.col(f"description.{x}")
+        return dates.let(clean(stored), lambda c: F.when(stored.eqNullSafe(c), stored).otherwise(
+            F.coalesce(tx.some_text(c), title[x], F.lit(""))))
+
+    prose = {x: cleaned(x) for x in LANGS}
     rows = _let_row(listings, title=F.struct(*[v.alias(k) for k, v in title.items()]),
                     prose=F.struct(*[v.alias(k) for k, v in prose.items()]))
     touched = reduce(lambda a, b: a | b, [~F.col(f"_prose.{x}").eqNullSafe(F.col(f"description.{x}")) for x in LANGS])

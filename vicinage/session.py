@@ -16,6 +16,7 @@ def local_session(cores: str | int = 8, memory: str = "12g", **conf: str) -> Spa
         .appName("vicinage")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
