@@ -9,11 +9,14 @@ from ...sources import feeds as ops
 from ..views import TODAY
 from .base import check
 
-NOW = F.lit("2024-01-01 00:00:00").cast("timestamp")
 DAY = "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)"
 GATE = "year(o_orderdate) BETWEEN 1997 AND 2003"
 
 
+def now():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
 def sources(t):
     """Fifty feeds, derived from the customers that placed orders."""
     s = t.orders.select((F.col("o_custkey") % 50).alias("source_id")).distinct()
@@ -281,7 +284,7 @@ SELECT 'c' || id AS external_id, 'Fest ' || id AS title, CASE WHEN {HAS} THEN su
   CASE WHEN id % 3 <> 0 THEN 'small ring' WHEN id % 50 % 3 = 0 THEN 'Town ' || (id % 50) ELSE 'Luxembourg' END AS town,
   CASE WHEN id % 2 = 0 THEN 'Wiltz' ELSE 'Mersch' END AS canton FROM hint_texts_v WHERE {SEEN}""")
 def build(t):
-    made, _ = build_listings(candidates(t), sources(t), t.communes, NOW)
+    made, _ = build_listings(candidates(t), sources(t), t.communes, now())
     return made.select("external_id", F.col("title.de").alias("title"), F.col("short.fr").alias("short"), "age_min", "age_max", "age_source", "price_adult",
                        F.col("price_label.en").alias("price_label"), F.array_join("category", "|").alias("category"), "town", "canton")
 
@@ -289,7 +292,7 @@ def build(t):
 @check("q13_refused", f"""
 SELECT 'c' || id AS external_id, CASE WHEN id % 10 = 7 THEN 'not an event' ELSE 'explicit' END AS reason FROM hint_texts_v WHERE NOT ({SEEN})""")
 def refused(t):
-    return build_listings(candidates(t), sources(t), t.communes, NOW)[1].select("external_id", "reason")
+    return build_listings(candidates(t), sources(t), t.communes, now())[1].select("external_id", "reason")
 
 
 @check("f40_curated_detail", """

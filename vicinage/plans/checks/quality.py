@@ -9,13 +9,10 @@ from ...sources import registry
 from .. import evidence, quality as ops
 from ..views import TODAY
 from .base import check
-from .feeds import NOW, sources
+from .feeds import now, sources
 from .filters import SCORED, scored_places
 from .towns import CANONICAL, written_towns
 
-K = F.col("id")
-
-
 def hinted(t):
     """Hint texts as stored listings that know nothing yet."""
     none = tx.localized(F.lit(""))
@@ -53,7 +50,7 @@ def titled(t):
 SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(CAST(o_orderdate AS DATE) + 30 AS VARCHAR) AS was, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date
 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AND year(o_orderdate) BETWEEN 1997 AND 2003""")
 def from_titles(t):
-    rows = ops.changed(ops.dates_from_titles(titled(t), TODAY, NOW))
+    rows = ops.changed(ops.dates_from_titles(titled(t), TODAY, now()))
     return ops.apply(rows).select("id", iso(F.col("date_corrected.was")).alias("was"), iso(F.col("start_date")).alias("start_date"))
 
 
@@ -127,7 +124,7 @@ SELECT doc_id AS id, doc_id % 13 <> 0 AS published, CASE WHEN doc_id % 13 = 0 TH
 def hide(t):
     docs = t.documents.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit(" (Peep-Show)"))).otherwise(F.col("text")).alias("text"),
                               F.lit(True).alias("published"))
-    return ops.apply(ops.hide_unsafe(docs, F.col("text"), NOW)).select("id", "published", F.col("family_flag.matched").alias("matched"))
+    return ops.apply(ops.hide_unsafe(docs, F.col("text"), now())).select("id", "published", F.col("family_flag.matched").alias("matched"))
 
 
 @check("q09_blank_stock_images", """

@@ -8,7 +8,7 @@ from ...session import fresh_path
 from ...sources import sinks as ops, tables
 from ..views import TODAY
 from .base import check
-from .feeds import NOW, sources
+from .feeds import now, sources
 from .filters import SCORED, scored_places
 
 HALF = "id % 2 = 0"
@@ -105,7 +105,7 @@ def patch(t):
         "id", F.array(F.lit("town"), F.lit("end_date")).alias("sent"), F.when(k % 2 == 0, "Patched").alias("town"),
         F.lit(None).cast("date").alias("end_date"), F.lit(-1).cast("bigint").alias("view_count"))
     rows = t.listings.withColumn("updated_at", F.lit(None).cast("timestamp"))
-    out = ops.apply_patches(rows, p, NOW)
+    out = ops.apply_patches(rows, p, now())
     return out.select("id", "town", iso(F.col("end_date")).alias("end_date"), "view_count", F.col("updated_at").isNotNull().alias("updated"))
 
 
@@ -139,7 +139,7 @@ def register(t):
     target = batch.join(ids, "town_default").filter(k % 2 == 0).select(
         "name", F.lit("stale").alias("url"), F.lit("?").alias("canton_default"), F.sha2("name", 256).alias("id"),
         (k % 4 == 0).alias("active"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("created_at"))
-    out = ops.register_sources(target, batch, NOW)
+    out = ops.register_sources(target, batch, now())
     return out.select("name", "active", "canton_default", F.when(F.year("created_at") == 2020, "old").otherwise("new").alias("created"))
 
 
@@ -154,7 +154,7 @@ def curated(t):
         F.when(k % 3 == 0, "indoor_playground").when(k % 3 == 1, "hiking").otherwise("?").alias("category"),
         F.when(k % 2 == 0, "indoor").otherwise("both").alias("indoor_outdoor"), F.lit("3+").alias("age_range"), F.lit("Text").alias("description_de"),
         F.lit("").alias("image_url"), F.lit("").alias("source_url"))
-    out = tables.from_curated(rows, t.communes, F.lit(TODAY).cast("date"), NOW)
+    out = tables.from_curated(rows, t.communes, F.lit(TODAY).cast("date"), now())
     return out.select("external_id", F.col("title.de").alias("title"), "type", F.array_join("category", "|").alias("category"), "canton", "town", "age_min", "age_max")
 
 
@@ -163,8 +163,8 @@ SELECT c_name AS name, 'pending' AS status, 'admin' AS created_by, sha256(c_name
 def append(t):
     batch = t.customer.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     replayed = batch.unionByName(batch.filter("name LIKE '%5'"))
-    first = ops.append_submissions(None, replayed, ["name", "segment"], NOW, F.lit("admin"))
-    return ops.append_submissions(first, batch, ["name", "segment"], NOW, F.lit("other")).select("name", "status", "created_by", "id")
+    first = ops.append_submissions(None, replayed, ["name", "segment"], now(), F.lit("admin"))
+    return ops.append_submissions(first, batch, ["name", "segment"], now(), F.lit("other")).select("name", "status", "created_by", "id")
 
 
 @check("s22_delete_ids", """

@@ -7,7 +7,7 @@ from ...sources import feeds
 from ...streaming import grants, harvest, views
 from ..views import TODAY
 from .base import check
-from .feeds import NOW, json_payloads, sources
+from .feeds import now, json_payloads, sources
 from .towns import addresses, place_rows
 
 TS = "yyyy-MM-dd HH:mm:ss"
@@ -120,7 +120,7 @@ def incremental(t):
     none = t.communes_v.select(F.col("name").alias("commune"), "lat", "lng").filter("false")
     views.run_to_end(harvest.harvest(
         stream, out, fresh_path(t.spark, "state"), read=lambda b: feeds.from_open_data_json(b, src, TODAY), sources=src, communes=t.communes,
-        places=place_rows(t), addresses=addresses(t), centres=none, today=TODAY, now=NOW))
+        places=place_rows(t), addresses=addresses(t), centres=none, today=TODAY, now=now()))
     rows = t.spark.read.parquet(f"{out}/audited")
     return rows.select("source_id", "external_id", F.col("title.en").alias("title"), "published", "lat", "geocode_precision")
 

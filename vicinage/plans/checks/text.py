@@ -9,7 +9,10 @@ from ..views import TODAY
 from .base import check
 from .filters import ID
 
-KEY = F.col("p_partkey")
+
+
+def key():
+    return F.col("p_partkey")
 
 
 @check("f01_normalise_text", r"""
@@ -33,16 +36,16 @@ SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name
   WHEN 2 THEN p_name || ' – Handball Käerjeng' ELSE 'Käerjeng' END AS title, 'Käerjeng' AS site FROM part""")
 def tails(t):
     site = tx.site_identity(F.lit("Käerjeng (Bascharage) — Sitemap"))
-    title = (F.when(KEY % 4 == 0, F.concat("p_name", F.lit(" - KÄERJENG")))
-             .when(KEY % 4 == 1, F.concat("p_name", F.lit(" | Commune de Leudelange")))
-             .when(KEY % 4 == 2, F.concat("p_name", F.lit(" – Handball Käerjeng"))).otherwise(F.lit(" Käerjeng ")))
-    return t.part.select(KEY.alias("id"), tx.strip_site_tail(title, site).alias("title"), site.alias("site"))
+    title = (F.when(key() % 4 == 0, F.concat("p_name", F.lit(" - KÄERJENG")))
+             .when(key() % 4 == 1, F.concat("p_name", F.lit(" | Commune de Leudelange")))
+             .when(key() % 4 == 2, F.concat("p_name", F.lit(" – Handball Käerjeng"))).otherwise(F.lit(" Käerjeng ")))
+    return t.part.select(key().alias("id"), tx.strip_site_tail(title, site).alias("title"), site.alias("site"))
 
 
 @check("f04_clean_location", "SELECT p_partkey AS id, p_name AS place FROM part")
 def location(t):
-    labelled = F.when(KEY % 2 == 0, F.concat(F.lit("Lieu | "), "p_name", F.lit(" "))).otherwise(F.col("p_name"))
-    return t.part.select(KEY.alias("id"), tx.clean_location(labelled).alias("place"))
+    labelled = F.when(key() % 2 == 0, F.concat(F.lit("Lieu | "), "p_name", F.lit(" "))).otherwise(F.col("p_name"))
+    return t.part.select(key().alias("id"), tx.clean_location(labelled).alias("place"))
 
 
 @check("f05_unescape_html", """
@@ -63,17 +66,17 @@ def fold(t):
 SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'poi'
   ELSE replace(lower(p_name), ' ', '-') || '-' || replace(lower(p_brand), '#', '-') || '-ete' END AS slug FROM part""")
 def slug(t):
-    name = F.when(KEY % 10 == 0, F.lit("…!")).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" / "), "p_brand", F.lit(" Été! ")))
-    return t.part.select(KEY.alias("id"), tx.slugify(name).alias("slug"))
+    name = F.when(key() % 10 == 0, F.lit("…!")).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" / "), "p_brand", F.lit(" Été! ")))
+    return t.part.select(key().alias("id"), tx.slugify(name).alias("slug"))
 
 
 @check("f08_pick_language", """
 SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'de ' || p_name WHEN 1 THEN 'en ' || p_name ELSE 'fr ' || p_name END AS fr,
   CASE p_partkey % 3 WHEN 0 THEN 'de ' || p_name WHEN 1 THEN 'en ' || p_name ELSE '' END AS lb FROM part""")
 def lang(t):
-    only = lambda i, name: F.when(KEY % 3 == i, F.concat(F.lit(name + " "), "p_name")).otherwise(F.lit("")).alias(name)
+    only = lambda i, name: F.when(key() % 3 == i, F.concat(F.lit(name + " "), "p_name")).otherwise(F.lit("")).alias(name)
     field = F.struct(only(1, "en"), only(0, "de"), only(2, "fr"))
-    return t.part.select(KEY.alias("id"), tx.pick_lang(field, "fr").alias("fr"), tx.pick_lang(tx.with_lb(field), "lb", True).alias("lb"))
+    return t.part.select(key().alias("id"), tx.pick_lang(field, "fr").alias("fr"), tx.pick_lang(tx.with_lb(field), "lb", True).alias("lb"))
 
 
 @check("f09_short_text", "SELECT doc_id, substr(text, 1, 120) AS short FROM documents")
@@ -90,10 +93,10 @@ def suffix(t):
 SELECT p_partkey AS id, p_name AS commune, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name || ' / ' || p_brand END AS town,
   CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS known, p_name AS title FROM part""")
 def parts(t):
-    raw = F.when(KEY % 2 == 0, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).otherwise(
+    raw = F.when(key() % 2 == 0, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).otherwise(
         F.concat("p_name", F.lit(" / "), "p_brand"))
     title = tx.localized(F.concat("p_name", F.lit(" — "), "p_type"))
-    return t.part.select(KEY.alias("id"), tx.parse_commune(raw).alias("commune"), tx.clean_town(raw).alias("town"),
+    return t.part.select(key().alias("id"), tx.parse_commune(raw).alias("commune"), tx.clean_town(raw).alias("town"),
                          tx.normalize_town(raw, F.lit(True)).alias("known"), tx.clean_title(title).alias("title"))
 
 
@@ -171,9 +174,9 @@ SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size
   CASE p_partkey % 3 WHEN 0 THEN p_size + 5 ELSE 99 END AS age_max FROM part""")
 def curated_ages(t):
     s = F.col("p_size").cast("string")
-    text = (F.when(KEY % 3 == 0, F.concat(s, F.lit("-"), (F.col("p_size") + 5).cast("string")))
-            .when(KEY % 3 == 1, F.concat(s, F.lit("+"))).otherwise(F.lit("alle")))
-    return t.part.select(KEY.alias("id"), hints.parse_age_range(text).alias("a")).select("id", "a.age_min", "a.age_max")
+    text = (F.when(key() % 3 == 0, F.concat(s, F.lit("-"), (F.col("p_size") + 5).cast("string")))
+            .when(key() % 3 == 1, F.concat(s, F.lit("+"))).otherwise(F.lit("alle")))
+    return t.part.select(key().alias("id"), hints.parse_age_range(text).alias("a")).select("id", "a.age_min", "a.age_max")
 
 
 @check("f18_read_age", """
@@ -223,12 +226,12 @@ def safety(t):
 SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Playgrounds|Festivals' WHEN 1 THEN 'Animals|Water' WHEN 2 THEN 'Culture'
   WHEN 3 THEN 'Animals|Nature' ELSE 'Nature' END AS category FROM part""")
 def categories(t):
-    text = (F.when(KEY % 5 == 0, F.concat("p_name", F.lit(" Kannerfête um Spillplaz, FESTIVAL am Gaart")))
-            .when(KEY % 5 == 1, F.concat(F.lit("Déierepark a Piscine: Konzert "), "p_name"))
-            .when(KEY % 5 == 2, F.concat("p_name", F.lit(" atelier de réparation")))
-            .when(KEY % 5 == 3, F.lit("Konzert")).otherwise(F.concat(F.lit("geführte Wanderung "), "p_name")))
-    default = F.when(KEY % 5 == 3, F.array(F.lit("Animals"), F.lit("Nature"))).otherwise(F.array(F.lit("Culture")))
-    return t.part.select(KEY.alias("id"), F.array_join(hints.categorise(text, default), "|").alias("category"))
+    text = (F.when(key() % 5 == 0, F.concat("p_name", F.lit(" Kannerfête um Spillplaz, FESTIVAL am Gaart")))
+            .when(key() % 5 == 1, F.concat(F.lit("Déierepark a Piscine: Konzert "), "p_name"))
+            .when(key() % 5 == 2, F.concat("p_name", F.lit(" atelier de réparation")))
+            .when(key() % 5 == 3, F.lit("Konzert")).otherwise(F.concat(F.lit("geführte Wanderung "), "p_name")))
+    default = F.when(key() % 5 == 3, F.array(F.lit("Animals"), F.lit("Nature"))).otherwise(F.array(F.lit("Culture")))
+    return t.part.select(key().alias("id"), F.array_join(hints.categorise(text, default), "|").alias("category"))
 
 
 @check("f23_score_and_age", """
@@ -312,18 +315,18 @@ def client(t):
 SELECT p_partkey AS id, abs(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT))),
   lambda a, b: ((a * 31 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)) AS hash FROM part""")
 def int_hash(t):
-    return t.part.select(KEY.alias("id"), tx.int32_hash(F.col("p_name")).alias("hash"))
+    return t.part.select(key().alias("id"), tx.int32_hash(F.col("p_name")).alias("hash"))
 
 
 @check("f32_map_embed", """
 SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 49.5 + CAST(p_size AS DOUBLE) / 100 WHEN 1 THEN 49.6::DOUBLE END AS lat,
   CASE WHEN p_partkey % 3 < 2 THEN 6.125::DOUBLE END AS lng FROM part""")
 def embed(t):
-    q = F.when(KEY % 3 == 0, F.concat((49.5 + F.col("p_size") / 100).cast("string"), F.lit("%2C6.125"))).otherwise(F.lit("10.5%2C6.1"))
-    centre = F.when(KEY % 3 == 1, F.lit("49.6%2C6.125")).otherwise(F.lit("1.5%2C1.5"))
+    q = F.when(key() % 3 == 0, F.concat((49.5 + F.col("p_size") / 100).cast("string"), F.lit("%2C6.125"))).otherwise(F.lit("10.5%2C6.1"))
+    centre = F.when(key() % 3 == 1, F.lit("49.6%2C6.125")).otherwise(F.lit("1.5%2C1.5"))
     html = F.concat(F.lit('<iframe src="https://www.google.com/maps/embed/v1/place?key=k&amp;q='), q,
                     F.lit("&amp;center="), centre, F.lit('"></iframe>'))
-    return t.part.select(KEY.alias("id"), urls.map_embed_point(html, geo.COUNTRY_BOX).alias("p")).select("id", "p.lat", "p.lng")
+    return t.part.select(key().alias("id"), urls.map_embed_point(html, geo.COUNTRY_BOX).alias("p")).select("id", "p.lat", "p.lng")
 
 
 @check("f33_absolute_url", """
@@ -363,7 +366,7 @@ def prefix(t):
 @check("f37_precision_ladder", """
 SELECT p_partkey AS id, CASE WHEN p_size % 10 >= 8 THEN 'address' WHEN p_size % 10 >= 6 THEN 'street' ELSE 'locality' END AS precision FROM part""")
 def precision(t):
-    return t.part.select(KEY.alias("id"), towns.precision_of(F.col("p_size") % 10).alias("precision"))
+    return t.part.select(key().alias("id"), towns.precision_of(F.col("p_size") % 10).alias("precision"))
 
 
 @check("f39_tag_filters", """

@@ -6,19 +6,22 @@ from ...functions import text as tx
 from ...operators import towns as ops
 from .base import check
 
-KEY = F.col("p_partkey")
+
+
+def key():
+    return F.col("p_partkey")
 FOLD = "regexp_replace(strip_accents(lower({})), '[^a-z]', '', 'g')".format
 
 
 def written_towns(t):
     """Towns in many spellings, one per part."""
     name = F.col("p_name")
-    town = (F.when(KEY % 7 == 0, F.upper(F.regexp_replace(name, "e", "é")))
-            .when(KEY % 7 == 1, F.concat(name, F.lit("-Stadt"))).when(KEY % 7 == 2, F.lit("Lux."))
-            .when(KEY % 7 == 3, F.lit("Esch")).when(KEY % 7 == 4, F.concat(F.lit("com "), name))
-            .when(KEY % 7 == 5, F.lit("Belval Centre")).otherwise(F.lit(" ")))
-    canton = F.when(KEY % 2 == 0, F.lit("Wiltz")).otherwise(F.lit("Nowhere"))
-    return t.part.select(KEY.alias("id"), town.alias("town"), canton.alias("canton"), "p_name")
+    town = (F.when(key() % 7 == 0, F.upper(F.regexp_replace(name, "e", "é")))
+            .when(key() % 7 == 1, F.concat(name, F.lit("-Stadt"))).when(key() % 7 == 2, F.lit("Lux."))
+            .when(key() % 7 == 3, F.lit("Esch")).when(key() % 7 == 4, F.concat(F.lit("com "), name))
+            .when(key() % 7 == 5, F.lit("Belval Centre")).otherwise(F.lit(" ")))
+    canton = F.when(key() % 2 == 0, F.lit("Wiltz")).otherwise(F.lit("Nowhere"))
+    return t.part.select(key().alias("id"), town.alias("town"), canton.alias("canton"), "p_name")
 
 
 CANONICAL = """CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN 'Luxembourg'
@@ -64,9 +67,9 @@ p AS (SELECT target, min(display) AS display FROM (SELECT DISTINCT target, displ
     JOIN s ON contains(target, spelling) OR contains(spelling, target)) GROUP BY target HAVING count(*) = 1)
 SELECT id, coalesce(e.display, p.display) AS commune FROM c LEFT JOIN e USING (target) LEFT JOIN p USING (target)""")
 def match(t):
-    name = (F.when(KEY % 4 == 0, F.col("p_name")).when(KEY % 4 == 1, F.concat("p_name", F.lit(" an der Mess")))
-            .when(KEY % 4 == 2, F.element_at(F.split("p_name", " "), 2)).otherwise(F.lit("Xyz")))
-    return ops.match_commune(t.part.select(KEY.alias("id"), name.alias("name")), t.communes).select("id", "commune")
+    name = (F.when(key() % 4 == 0, F.col("p_name")).when(key() % 4 == 1, F.concat("p_name", F.lit(" an der Mess")))
+            .when(key() % 4 == 2, F.element_at(F.split("p_name", " "), 2)).otherwise(F.lit("Xyz")))
+    return ops.match_commune(t.part.select(key().alias("id"), name.alias("name")), t.communes).select("id", "commune")
 
 
 PLACE_ROWS = "pl AS (SELECT osm_id, tag_name AS name, 'c' || CAST(osm_id % 3 AS VARCHAR) AS commune, lat, lng FROM places_v WHERE lat IS NOT NULL AND tag_name IS NOT NULL)"
@@ -85,9 +88,9 @@ VENUES = "v AS (SELECT p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN upper(p_
 WITH {PLACE_ROWS}, {VENUES} SELECT v.key, pl.name AS place_name, pl.lat, pl.lng FROM v JOIN pl ON length(venue) >= 4 AND starts_with(lower(pl.name), lower(venue))
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY CASE WHEN pl.commune = v.commune THEN 0 ELSE 1 END, osm_id) = 1""")
 def local(t):
-    venue = (F.when(KEY % 3 == 0, F.upper("p_name")).when(KEY % 3 == 1, F.element_at(F.split("p_name", " "), 1))
+    venue = (F.when(key() % 3 == 0, F.upper("p_name")).when(key() % 3 == 1, F.element_at(F.split("p_name", " "), 1))
              .otherwise(F.concat("p_name", F.lit("x"))))
-    venues = t.part.select(KEY.alias("key"), venue.alias("venue"), F.concat(F.lit("c"), (F.col("p_size") % 4).cast("string")).alias("town"))
+    venues = t.part.select(key().alias("key"), venue.alias("venue"), F.concat(F.lit("c"), (F.col("p_size") % 4).cast("string")).alias("town"))
     return ops.local_places(venues, place_rows(t), "key", "venue", "town")
 
 
@@ -96,20 +99,20 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN canton WHEN p_partkey %
 FROM part JOIN communes_v ON p_name = name""")
 def canton(t):
     rows = t.part.select(
-        KEY.alias("id"), F.when(KEY % 4 == 0, F.concat(F.upper("p_name"), F.lit(" (x)"))).otherwise(F.lit("?")).alias("commune"),
-        F.when(KEY % 4 == 1, F.lit("Éislek")).alias("region"),
-        F.when(KEY % 4 == 2, F.lit("Visit Mullerthal — Agenda")).otherwise(F.lit("Agenda")).alias("source"))
+        key().alias("id"), F.when(key() % 4 == 0, F.concat(F.upper("p_name"), F.lit(" (x)"))).otherwise(F.lit("?")).alias("commune"),
+        F.when(key() % 4 == 1, F.lit("Éislek")).alias("region"),
+        F.when(key() % 4 == 2, F.lit("Visit Mullerthal — Agenda")).otherwise(F.lit("Agenda")).alias("source"))
     return ops.canton_of(rows, t.communes, "commune", "region", "source").select("id", "canton")
 
 
 def to_locate(t):
     """Listings whose position comes from each source in turn."""
     name = F.col("p_name")
-    title = F.when(KEY % 7 == 0, F.concat(name, F.lit(" — fir Kanner"))).otherwise(F.lit("Zzyx"))
-    town = (F.when(KEY % 7 == 1, name).when(KEY % 7 == 2, F.lit("Kirchberg (Quartier Aal)")).when(KEY % 7 == 3, F.lit("Quartier Nei"))
-            .when(KEY % 7 == 4, F.concat(F.lit("Com-"), name)).otherwise(F.lit("Nowhere")))
-    canton = F.when(KEY % 7 == 3, F.lit("Mersch")).when(KEY % 7 == 5, F.lit("Wiltz")).otherwise(F.lit("?"))
-    return t.part.select(KEY.alias("id"), tx.localized(title).alias("title"), town.alias("town"), canton.alias("canton"))
+    title = F.when(key() % 7 == 0, F.concat(name, F.lit(" — fir Kanner"))).otherwise(F.lit("Zzyx"))
+    town = (F.when(key() % 7 == 1, name).when(key() % 7 == 2, F.lit("Kirchberg (Quartier Aal)")).when(key() % 7 == 3, F.lit("Quartier Nei"))
+            .when(key() % 7 == 4, F.concat(F.lit("Com-"), name)).otherwise(F.lit("Nowhere")))
+    canton = F.when(key() % 7 == 3, F.lit("Mersch")).when(key() % 7 == 5, F.lit("Wiltz")).otherwise(F.lit("?"))
+    return t.part.select(key().alias("id"), tx.localized(title).alias("title"), town.alias("town"), canton.alias("canton"))
 
 
 def addresses(t):
