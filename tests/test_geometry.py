@@ -106,15 +106,15 @@ def wiggle(n, seed, spread):
     return out
 
 
-def test_simplification_per_line_and_over_rounds(spark):
-    lines = {1: wiggle(40, 1, .001), 2: wiggle(700, 2, .004), 3: wiggle(2, 3, .001), 4: wiggle(90, 4, .0001)}
+def vertices(spark, lines):
     rows = [(k, 0, i, a, b) for k, pts in lines.items() for i, (a, b) in enumerate(pts)]
-    df = spark.createDataFrame(rows, "route_id int, line int, seq int, lat double, lng double")
-    local = {(r.route_id, r.seq): r.significance for r in routes.significance(df, ["route_id", "line"], ["seq"]).collect()}
-    apart = {(r.route_id, r.seq): r.significance for r in routes.significance(df, ["route_id", "line"], ["seq"], local_points=50).collect()}
-    assert local.keys() == apart.keys() and all(local[k] == pytest.approx(apart[k]) for k in local)
+    return spark.createDataFrame(rows, "route_id int, line int, seq int, lat double, lng double")
+
+
+def test_simplification_fits_the_budget(spark):
+    lines = {1: wiggle(40, 1, .001), 2: wiggle(700, 2, .004), 3: wiggle(2, 3, .001), 4: wiggle(90, 4, .0001)}
     kept = {}
-    for r in routes.simplify(df, "route_id", "line", ["seq"]).collect():
+    for r in routes.simplify(vertices(spark, lines), "route_id", "line", ["seq"]).collect():
         kept.setdefault(r.route_id, (r.tolerance_m, set()))[1].add(r.seq)
     for k, pts in lines.items():
         tolerance = 25.0
@@ -123,6 +123,13 @@ def test_simplification_per_line_and_over_rounds(spark):
         assert kept[k] == (tolerance, simplified(pts, tolerance))
 
 
+def test_long_lines_over_rounds(spark):
+    df = vertices(spark, {1: wiggle(8, 1, .01), 2: wiggle(14, 2, .004)})
+    local = {(r.route_id, r.seq): r.significance for r in routes.significance(df, ["route_id", "line"], ["seq"]).collect()}
+    apart = {(r.route_id, r.seq): r.significance for r in routes.significance(df, ["route_id", "line"], ["seq"], local_points=10).collect()}
+    assert local.keys() == apart.keys() and all(local[k] == pytest.approx(apart[k]) for k in local)
+
+
 def test_ways_become_lines(spark):
     ways = [(1, 10, 0., 0., 0., 1.), (1, 11, 0., 2., 0., 1.), (1, 12, 0., 2., 0., 3.), (1, 13, 5., 5., 5., 6.), (2, 20, 0., 0., 1., 1.)]
     df = spark.createDataFrame(ways, "route_id int, way_id int, first_lat double, first_lng double, last_lat double, last_lng double")

@@ -42,7 +42,7 @@ def test_safety_keeps_innocent_words(ask):
 
 
 def test_categories(ask):
-    cases = [("Kannerfest um Spillplaz", ["Culture"], ["Playgrounds"]), ("Fête um Spillplaz", ["Culture"], ["Playgrounds", "Festivals"]),
+    cases = [("Kannermoien um Spillplaz", ["Culture"], ["Playgrounds"]), ("Fête um Spillplaz", ["Culture"], ["Playgrounds", "Festivals"]),
              ("Konzert", ["Animals", "Nature"], ["Animals", "Nature"]), ("atelier de réparation", ["Culture"], ["Culture"]),
              ("Atelier Keramik am Zoo", ["Festivals"], ["Animals", "Workshops"]), ("", ["Festivals"], ["Festivals"])]
     got = ask([(a, b) for a, b, _ in cases], "t string, d array<string>", hints.categorise(t(), F.col("d")))
@@ -73,7 +73,7 @@ def test_fold_and_slug(ask):
 def test_town_names(spark):
     communes = spark.createDataFrame([
         (1, "Esch-sur-Alzette", ["Esch-Uelzecht"], "Esch-sur-Alzette", 49.5, 5.98), (2, "Esch-sur-Sûre", ["Esch-Sauer"], "Wiltz", 49.9, 5.9),
-        (3, "Luxembourg", ["Lëtzebuerg"], "Luxembourg", 49.6, 6.1), (4, "Bech", [], "Echternach", 49.7, 6.3),
+        (3, "Luxembourg", ["Luxembourg", "Lëtzebuerg"], "Luxembourg", 49.6, 6.1), (4, "Bech", [], "Echternach", 49.7, 6.3),
         (5, "Reckange-sur-Mess", ["Reckange-sur-Mess", "Reckingen/Mess"], "Esch-sur-Alzette", 49.5, 6.0)],
         "commune_id int, name string, names array<string>, canton string, lat double, lng double")
     rows = spark.createDataFrame([(1, "esch uelzecht", None), (2, "Esch", "Wiltz"), (3, "Esch", "Nowhere"), (4, "Lëtzebuerg-Stad", None), (5, "Kirchberg", None),
