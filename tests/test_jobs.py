@@ -42,6 +42,7 @@ def plan(df):
 
 
 def test_list_filters_reach_the_scan(spark, tables, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     path = str(tmp_path / "listings")
     sinks.write_snapshot(tables.listings, path)
     shown = plan(filters.summary(filters.filter_listings(

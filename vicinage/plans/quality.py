@@ -150,8 +150,12 @@ def clean_texts(listings: DataFrame, short: int = 120) -> DataFrame:
     rows = _let_row(listings, title=F.struct(*[v.alias(k) for k, v in title.items()]),
                     prose=F.struct(*[v.alias(k) for k, v in prose.items()]))
     touched = reduce(lambda a, b: a | b, [~F.col(f"_prose.{x}").eqNullSafe(F.col(f"description.{x}")) for x in LANGS])
-    teaser = lambda x: F.when(F.col(f"short.{x}").isNull(), F.lit(None)).when(
-        touched, F.substring(F.col(f"_prose.{x}"), 1, short)).otherwise(clean(F.col(f"short.{x}")))
+
+    def teaser(x: str) -> Column:
+        # A teaser that is the start of its description stays one, even if it ends in a space.
+        own, start = F.col(f"short.{x}"), F.substring(F.col(f"_prose.{x}"), 1, short)
+        return F.when(own.isNull(), F.lit(None)).when(touched | (own == start), start).otherwise(clean(own))
+
     return revise(rows, {"title": F.col("_title"), "description": F.col("_prose"),
                          "short": F.struct(*[teaser(x).alias(x) for x in LANGS])}).drop("_title", "_prose")
 
