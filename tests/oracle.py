@@ -22,10 +22,6 @@ def plain(v):
         return None
     if isinstance(v, (float, decimal.Decimal)):
         return repr(round(float(v), 9) + 0.0)
-    if isinstance(v, bool):
-        return v
-    if isinstance(v, int):
-        return repr(float(v)) if False else v
     return v
 
 

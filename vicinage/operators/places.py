@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tags as tagging, text as tx
-from ..functions.tags import tag
 from .ranking import first_per
 from .spatial import assign_region
 

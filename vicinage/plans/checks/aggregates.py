@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from ...functions import text as tx
-from ...operators import aggregates as ops, filters as flt, places as pl, ranking, sets
+from ...operators import aggregates as ops, places as pl, sets
 from ..views import TODAY
 from .base import check
-from .filters import ID, LOCATED, PAGE_URL, SCORED, scored_places
+from .filters import ID, LOCATED, SCORED, scored_places
 
 
 @check("a01_overview", """

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ...functions import text as tx
 from ...functions.dates import iso
 from ...plans.builder import build_listings
 from ...sources import feeds as ops

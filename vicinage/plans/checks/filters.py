@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import dates, geo, hints, tags as tagging, text as tx, urls
 from ...functions.dates import iso
-from ...operators import filters as ops, places as pl, ranking
-from ...schema import SUMMARY_COLS
+from ...operators import filters as ops, places as pl
 from ..views import CENTRE, TODAY
 from .base import check
 

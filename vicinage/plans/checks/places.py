@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ...functions import tags as tagging, text as tx
 from ...operators import places as pl, venues as ops
 from .base import check
 from .filters import SCORED, scored_places
@@ -24,7 +23,6 @@ VENUE = """v AS (SELECT page_id AS osm_id, CASE page_id % 5 WHEN 0 THEN 'Kino' W
 def elements(t):
     """Pages as map elements with a website."""
     k = F.col("page_id")
-    e = F.array()
     entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
     tags = F.map_from_entries(F.array_compact(F.array(
         F.when(k % 5 == 0, entry("amenity", F.lit("cinema"))).when(k % 5 == 1, entry("tourism", F.lit("museum")))
@@ -33,7 +31,6 @@ def elements(t):
         F.when(k % 5 == 1, entry("historic", F.lit("castle"))),
         F.when(k % 3 != 0, entry("name", F.concat(F.lit("Venue "), k.cast("string")))),
         F.when(k % 2 == 0, entry("website", F.col("url"))).otherwise(entry("contact:website", F.col("url"))))))
-    del e
     return t.pages.select(k.alias("osm_id"), F.when(k % 4 == 3, "relation").otherwise("node").alias("osm_type"),
                           tags.alias("tags"), F.lit(49.6).alias("lat"), F.lit(6.1).alias("lng"))
 

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ...functions import dates, urls
+from ...functions import dates
 from ...functions.dates import iso
 from ...operators import filters as flt, places as pl, ranking as ops
 from ..views import CENTRE, TODAY
 from .base import check
-from .filters import DIST, ID, LAT, LNG, LOCATED, SCORED, page_urls, scored_places
+from .filters import DIST, ID, LAT, LNG, LOCATED, SCORED, scored_places
 
 RELEVANT = f"greatest(start_date, DATE '{TODAY}')"
 UPCOMING = f"published AND (end_date >= DATE '{TODAY}' OR (end_date IS NULL AND start_date >= DATE '{TODAY}' - 3))"

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ...functions.dates import iso
-from ...operators import places as pl
 from ...session import fresh_path
 from ...sources import sinks as ops, tables
 from ..views import TODAY

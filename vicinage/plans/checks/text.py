@@ -7,7 +7,6 @@ from ...functions.dates import iso
 from ...operators import towns
 from ..views import TODAY
 from .base import check
-from .filters import ID
 
 
 

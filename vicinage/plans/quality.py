@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import taxonomy as T
 from ..config import vocabulary as V
 from ..functions import dates, geo, hints, tags as tagging, text as tx, urls
-from ..operators import places as pl, routes as rt, sets, spatial, towns
+from ..operators import routes as rt, sets, spatial, towns
 from ..operators.filters import day
 from ..schema import LANGS
 
