@@ -139,3 +139,60 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         out[i:j] = rolling.of(start[i:j] - low, end[i:j] - low)
         i = j
     return mix(out)
+
+
+def text_blocks(offsets: np.ndarray, size: int, overlap: int):
+    """(low, high, first row, last row + 1) stretches of a buffer: whole rows together up to `size`, longer rows cut.
+
+    The cuts of a row overlap, so every slice of `overlap` + 1 values lies in one block; its starts do not repeat.
+    """
+    i, rows = 0, len(offsets) - 1
+    while i < rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        low, high = int(offsets[i]), int(offsets[j])
+        if j == i + 1 and high - low > size + overlap:
+            while low < high - overlap:
+                yield low, min(low + size + overlap, high), i, j
+                low += size
+        else:
+            yield low, high, i, j
+        i = j
+
+
+def pieces_of(values: np.ndarray, offsets: np.ndarray, d: np.ndarray, tag: np.ndarray, length: int, k: int, size: int,
+              values_of=lambda v: v):
+    """Columns (key, piece, d, pack) of all pieces of a batch, block by block, with the block and the anchors.
+
+    pack holds the first window's place in its row, the row's tag, the number of windows, and the minimiser's offset.
+    """
+    for low, high, i, j in text_blocks(offsets, size, length - 1):
+        edges = np.clip(offsets[i:j + 1], low, high) - low
+        of = np.repeat(np.arange(i, j), np.diff(edges))
+        found = pieces(values_of(values[low:high]), of, length, k)
+        if found is None:
+            continue
+        key, piece, begin, count, anchor = found
+        row = of[begin]
+        start = begin + low - offsets[row]
+        yield key, piece, d[row], (start << 32) | (tag[row] << 18) | (count << 9) | anchor, begin + anchor + low
+
+
+PACK_START, PACK_TAG = "shiftright(pack, 32)", "shiftright(pack, 18) & 16383"
+PACK_COUNT, PACK_ANCHOR = "shiftright(pack, 9) & 511", "pack & 511"
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of half-open intervals, as maximal ones in order; touching ones become one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table of this run."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
