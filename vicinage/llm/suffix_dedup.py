@@ -170,12 +170,13 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, head: int = HEAD, b
         found = index.add(parts.where(F.col("batch") == i).select("head", "key"))
         keys = found if keys is None else keys.unionByName(found)
     index.drop()
-    again = cut(parts.select("key", "piece", "d", "pack").join(keys.distinct(), "key"))
+    # joins follow checkpoints, not aggregations, so that adaptive execution can split a hot key
+    again = cut(parts.select("key", "piece", "d", "pack").join(cut(keys.distinct()), "key"))
     discard(spark, path)
-    groups = again.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(F.struct("d", "pack")).alias("first"))
+    groups = cut(again.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(F.struct("d", "pack")).alias("first")))
     copies = again.join(groups.where("n > 1").select("key", "piece"), ["key", "piece"]).selectExpr(
         "d", f"{common.PACK_TAG} AS tag", f"{common.PACK_START} AS a", f"{common.PACK_START} + ({common.PACK_COUNT}) + {length - 1} AS b")
-    varied = groups.groupBy("key").agg(F.count("*").alias("v")).where("v > 1")
+    varied = cut(groups.groupBy("key").agg(F.count("*").alias("v")).where("v > 1"))
     shown = groups.join(varied, "key").selectExpr("key", "v", "n", "first.d AS d", "first.pack AS pack")
     per_doc = shown.groupBy("d", F.expr("shiftright(pack, 18) & 16383").alias("tag")).agg(F.collect_list(F.struct("key", "v", "n", "pack")).alias("want"))
 
