@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANK, OVERSAMPLE, POWER = 128, 16, 2
+RANK, OVERSAMPLE, POWER = 512, 16, 2  # a rank near a shard's passages keeps the part outside the space, and with it false candidates, small
 WINDOWS = (32, 8)             # words of a document passage; the short one only where the benchmark has short items
 PART = 48                     # words of a benchmark passage; longer items have several, overlapping by half
 COSINE = 0.4                  # a candidate's least cosine
 LCS = 0.8                     # share of an item's words found in order
 PARAPHRASE, ANSWER = 0.6, 0.9  # a looser share, if the item's answer is there nearly word for word
-SHARD = 2_000                 # items of a broadcast model; larger benchmarks take more rounds
+SHARD = 400                 # items of a broadcast model; larger benchmarks take more rounds
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?]\s+|\n+")
 
@@ -138,7 +138,7 @@ class Index:
         self.answers = [answer_of(t) for _, t in items]
         lat, rest, self.item_of = [], [], []
         shortest = min(map(len, self.words), default=PART)
-        self.windows = WINDOWS if shortest < WINDOWS[0] // 2 else WINDOWS[:1]
+        self.windows = WINDOWS if shortest < WINDOWS[0] // 3 else WINDOWS[:1]
         for item, w in ((i, p) for i, w in enumerate(self.words) for p in parts(w)):
             self.item_of.append(item)
             cols, counts = np.unique([self.column[x] for x in w], return_counts=True)
