@@ -150,9 +150,10 @@ def time_range(text: Column) -> Column:
     return F.array_join(F.transform(hits, label), " - ")
 
 
-def today_in(tz: str = "Europe/Luxembourg") -> Column:
-    """The local calendar day now. Operators take `today` as a parameter; this is for callers."""
-    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit(tz), F.current_timestamp().cast("timestamp_ntz")))
+def today_in(tz: str = "Europe/Luxembourg", moment: Column | None = None) -> Column:
+    """The local calendar day at a moment, now by default. Operators take `today` as a parameter; this is for callers."""
+    moment = F.current_timestamp() if moment is None else moment
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit(tz), moment.cast("timestamp_ntz")))
 
 
 def still_current(start: Column, end: Column, today: Column) -> Column:

@@ -70,12 +70,10 @@ def unknown_categories(df: DataFrame, column: str, known: list[str]) -> DataFram
     return count_by(df.select(F.explode(column).alias("category")).filter(~F.col("category").isin(known)), "category")
 
 
-def commune_centres(places: DataFrame, commune: str = "commune", order: list | None = None,
-                    at_most: int = 400, at_least: int = 5) -> DataFrame:
-    """Mean position of up to 400 located places per commune, only from five on."""
+def commune_centres(places: DataFrame, commune: str = "commune", at_least: int = 5) -> DataFrame:
+    """Mean position of all located places per commune, only from five on."""
     located = places.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull() & (F.coalesce(commune, F.lit("")) != ""))
-    taken = first_per(located, [commune], order or ["id"], at_most)
-    return (taken.groupBy(commune).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count("*").alias("n"))
+    return (located.groupBy(commune).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count("*").alias("n"))
             .filter(F.col("n") >= at_least))
 
 

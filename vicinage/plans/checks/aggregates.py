@@ -71,13 +71,12 @@ def moves(t):
 
 
 @check("a08_commune_centres", f"""
-WITH {SCORED}, taken AS (SELECT *, osm_id % 40 AS commune FROM scored WHERE lat IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY osm_id % 40 ORDER BY osm_id) <= 400)
+WITH {SCORED}, taken AS (SELECT *, osm_id % 40 AS commune FROM scored WHERE lat IS NOT NULL)
 SELECT CAST(commune AS VARCHAR) AS commune, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, count(*) AS n
 FROM taken GROUP BY commune HAVING count(*) >= 5""")
 def centres(t):
     places = scored_places(t).withColumn("commune", (F.col("osm_id") % 40).cast("string"))
-    return ops.commune_centres(places, order=["osm_id"]).select(
+    return ops.commune_centres(places).select(
         "commune", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "n")
 
 

@@ -47,9 +47,17 @@ def place_rows(t):
 
 
 @check("p03_quarantine", """
-SELECT CAST(id AS VARCHAR) AS id, 'lat missing; lng missing' AS problems FROM listings_v WHERE lat IS NULL""")
+WITH p AS (SELECT CAST(id AS VARCHAR) AS id, concat_ws('; ', CASE WHEN lat IS NULL THEN 'lat missing' END,
+    CASE WHEN lng IS NULL THEN 'lng missing' END, CASE WHEN category_1 = 'Water' THEN 'type not known' END,
+    CASE WHEN category_1 IN ('Water', 'Nature') THEN 'end_date before start_date' END) AS problems FROM listings_v)
+SELECT id, problems FROM p WHERE problems <> ''""")
 def quarantine(t):
-    return ops.split_valid(t.listings)[1].select("id", F.array_join("problems", "; ").alias("problems"))
+    """Some listings get an unknown type, some end before they start, some have four problems."""
+    first = F.try_element_at("category", F.lit(1))
+    water, early = first == "Water", first.isin("Water", "Nature")
+    spoilt = t.listings.withColumns({"type": F.when(water, "Nope").otherwise(F.col("type")),
+                                     "end_date": F.when(early, F.date_sub("start_date", 1)).otherwise(F.col("end_date"))})
+    return ops.split_valid(spoilt)[1].select("id", F.array_join("problems", "; ").alias("problems"))
 
 
 @check("p04_published", "SELECT CAST(id AS VARCHAR) AS id FROM listings_v WHERE published")
@@ -93,8 +101,7 @@ def current(t):
 @check("p10_local_today", """
 SELECT event_id, strftime(CAST(timezone('Europe/Luxembourg', timezone('UTC', ts)) AS DATE), '%Y-%m-%d') AS local_day FROM events""")
 def local_day(t):
-    local = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("Europe/Luxembourg"), F.col("ts").cast("timestamp_ntz")))
-    return t.events.select("event_id", iso(local).alias("local_day"))
+    return t.events.select("event_id", iso(dates.today_in(moment=F.col("ts"))).alias("local_day"))
 
 
 @check("p11_date_window", """

@@ -234,7 +234,7 @@ def from_json_ld(pages: DataFrame, sources: DataFrame, today) -> DataFrame:
         "start_date": dates.to_iso_date(start, t), "end_date": dates.to_iso_date(end, t),
         "title": F.coalesce(_text(_ld(n, "$.name")), F.lit("Event")), "_clock": clock(start), "_clock_end": clock(end)})
     fallback_id = F.concat_ws(":", F.col("source_id").cast("string"), F.col("start_date").cast("string"),
-                              F.substring("title", 1, 60))
+                              F.col("title"))
     return rows.select(
         "source_id",
         F.coalesce(_text(_ld(n, "$['@id']")), _text(_ld(n, "$.url")), _text(_ld(n, "$.identifier")), fallback_id).alias("external_id"),
@@ -343,7 +343,7 @@ def from_listing_blocks(pages: DataFrame, sources: DataFrame, selectors: dict[st
     attr = lambda name, a: F.coalesce(select_attr(item, selectors[name], a), F.lit("")) if name in selectors else F.lit("")
     rows = rows.withColumns({"title": pick("title"), "start_date": dates.to_iso_date(raw_date, t),
                              "_link": attr("link", "href"), "_image": attr("image", "src")})
-    made_id = F.concat_ws(":", F.col("source_id").cast("string"), F.col("start_date").cast("string"), F.substring("title", 1, 60))
+    made_id = F.concat_ws(":", F.col("source_id").cast("string"), F.col("start_date").cast("string"), F.col("title"))
     return rows.select(
         "source_id", F.coalesce(_text(F.col("_link")), made_id).alias("external_id"), "title",
         F.coalesce(_text(pick("description")), F.col("title")).alias("description"), "start_date",
@@ -373,13 +373,12 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
         *keep, "position", tx.unescape_html(F.trim("_x.url")).alias("url"), F.col("_x.lastmod").alias("lastmod"))
 
 
-def expand_index(entries: DataFrame, docs: DataFrame, below: int = 30) -> DataFrame:
-    """Short sitemaps that list other sitemaps are replaced by what those hold; one level deep.
+def expand_index(entries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Sitemaps that list other sitemaps are replaced by what those hold; one level deep.
 
     `entries`: of the root documents (doc_url, ...); `docs`: all stored documents (doc_url, xml).
     """
-    sizes = entries.groupBy("doc_url").agg(F.count("*").alias("_n"))
-    nested = (entries.join(sizes, "doc_url").filter((F.col("_n") < below) & urls.looks_like_sitemap(F.col("url")))
+    nested = (entries.filter(urls.looks_like_sitemap(F.col("url")))
               .select("doc_url", F.col("position").alias("_at"), F.col("url").alias("_child")))
     inside = sitemap_entries(docs).withColumnsRenamed({"doc_url": "_child", "position": "_pos"})
     found = nested.join(inside, "_child").select("doc_url", "_at", "_pos", "url", "lastmod")
@@ -433,7 +432,7 @@ def detail_links(pages: DataFrame, parent_path: str) -> DataFrame:
     host = urls.netloc(F.col("link"))
     same = (host == "") | (host == urls.netloc(F.col("base")))
     path = F.regexp_replace(urls.path_of(F.col("link")), "^(?!/)", "/")
-    rest = F.regexp_replace(F.substring(path, len(parent_path) + 1, 1_000_000), "^/+|/+$", "")
+    rest = F.regexp_replace(F.substr(path, F.lit(len(parent_path) + 1)), "^/+|/+$", "")
     kept = full.filter(same & path.startswith(parent_path) & (rest != "") & (rest != "-") & ~rest.contains("/"))
     return kept.select("page_id", F.concat(urls.origin(F.col("base")), F.lit(parent_path), rest, F.lit("/")).alias("url")) \
         .distinct().orderBy("page_id", "url")

@@ -34,9 +34,10 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, insert_only: tuple[str
     """The new snapshot with `_written`: null for untouched rows, true for new or changed, false for identical.
 
     All batch fields are set; `insert_only` fields keep their stored value; a row that differs only
-    in `ignore` fields counts as identical. Keys are unique in the batch, or the first row in `order` counts.
+    in `ignore` fields counts as identical. Of repeated keys in the batch the first row in `order` counts, by default
+    that of the smallest row hash.
     """
-    once = first_per(batch, [key], order) if order else batch
+    once = first_per(batch, [key], order or [F.xxhash64(*batch.columns)])
     old = target.select(F.col(key), F.struct(*target.columns).alias("_old"))
     new = once.select(F.col(key), F.struct(*once.columns).alias("_new"))
     both = old.join(new, key, "full_outer")
@@ -64,10 +65,22 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, insert_only: tuple[str
 
 
 def apply_patches(target: DataFrame, patches: DataFrame, now: Column, key: str = "id",
-                  clearable: set[str] = CLEARABLE_FIELDS) -> DataFrame:
-    """Only the fields a patch names in `sent` change; null is taken only for clearable fields."""
-    fields = [c for c in patches.columns if c not in (key, "sent")]
-    p = patches.select(F.col(key), F.struct("sent", *fields).alias("_p"))
+                  clearable: set[str] = CLEARABLE_FIELDS, order: str | None = None) -> DataFrame:
+    """Only the fields a patch names in `sent` change; null is taken only for clearable fields.
+
+    Patches of one id are folded first: of each field the last value that counts, in `order` (a column of `patches`; by
+    default the row's hash).
+    """
+    fields = [c for c in patches.columns if c not in (key, "sent", order)]
+    patches = patches.withColumn("_at", F.col(order) if order else F.xxhash64(*patches.columns))
+
+    def last(c: str) -> Column:
+        counts = F.array_contains("sent", c)
+        counts = counts if c in clearable else counts & F.col(c).isNotNull()
+        return F.max_by(F.struct(c), F.when(counts, F.col("_at")))[c].alias(c)
+
+    folded = patches.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("sent"))).alias("sent"), *map(last, fields))
+    p = folded.select(F.col(key), F.struct("sent", *fields).alias("_p"))
     joined = target.join(p, key, "left")
     values = []
     for c in target.columns:

@@ -20,8 +20,8 @@ def plan_days(plan: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for name, (days, _) in PLANS.items() for x in (name, days)]), plan)
 
 
-def featured_until(sessions: DataFrame) -> DataFrame:
-    """(listing_id, featured_until) after folding until = max(day, until) + days over a listing's payments.
+def grants(sessions: DataFrame) -> DataFrame:
+    """(listing_id, featured_until, days) after folding until = max(day, until) + days over a listing's payments.
 
     Payments of one day commute, so they are summed per day first; over days the fold has a closed
     form: total days so far plus the largest (day minus days before it). What a window sees per
@@ -32,16 +32,22 @@ def featured_until(sessions: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("days").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lead = days.withColumn("_start", F.unix_date("day") - before)
     return lead.groupBy("listing_id").agg(
-        F.date_from_unix_date((F.sum("days") + F.max("_start")).cast("int")).alias("featured_until"))
+        F.date_from_unix_date((F.sum("days") + F.max("_start")).cast("int")).alias("featured_until"),
+        F.sum("days").cast("int").alias("days"))
+
+
+def featured_until(sessions: DataFrame) -> DataFrame:
+    """(listing_id, featured_until): the end days of `grants`."""
+    return grants(sessions).drop("days")
 
 
-def apply_grants(listings: DataFrame, until: DataFrame) -> DataFrame:
-    """Listings with the flag and the later of both end days."""
-    u = until.withColumnsRenamed({"listing_id": "id", "featured_until": "_until"})
+def apply_grants(listings: DataFrame, granted: DataFrame) -> DataFrame:
+    """Listings with the flag and the end day after `grants`, which stack on a stored end day that has not run out."""
+    u = granted.withColumnsRenamed({"listing_id": "id", "featured_until": "_until", "days": "_days"})
     stored = F.col("featured_until") if "featured_until" in listings.columns else F.lit(None).cast("date")
     return listings.join(u, "id", "left").withColumns({
         "featured": F.col("featured") | F.col("_until").isNotNull(),
-        "featured_until": F.greatest(stored, F.col("_until"))}).drop("_until")
+        "featured_until": F.coalesce(F.greatest(F.date_add(stored, F.col("_days")), F.col("_until")), stored)}).drop("_until", "_days")
 
 
 def featured_on(listings: DataFrame, today: Column) -> DataFrame:
@@ -58,7 +64,8 @@ def grant_stream(payments: DataFrame, path: str, checkpoint: str) -> DataStreamW
         spark = batch.sparkSession
         fresh = first_sessions(batch)
         if batch_id > 0:
-            known = spark.read.schema("session_id long, batch_id int").parquet(path).filter(F.col("batch_id") < batch_id)
+            kind = batch.schema["session_id"].dataType.simpleString()
+            known = spark.read.schema(f"session_id {kind}, batch_id int").parquet(path).filter(F.col("batch_id") < batch_id)
             fresh = fresh.join(known.select("session_id"), "session_id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 

@@ -37,8 +37,9 @@ def harvest(payloads: DataFrame, path: str, checkpoint: str, *, read: Callable[[
     """Writer of `path`/audited, the listing table.
 
     Three stages per batch, each written to its own part: import (read, freshness, build, unknown
-    rows only), locate, audit. A stage that fails leaves the rows as the stage before had them and
-    puts one row into `path`/failures; the next batch goes on.
+    rows only), locate, audit. A stage that fails puts one row into `path`/failures. If it is the
+    import, the batch fails with it: it is not committed, and a restart reads its payloads again.
+    Rows without positions go on without; rows that could not be audited are kept unpublished.
     """
     def stage(spark: SparkSession, name: str, batch_id: int, make: Callable[[], DataFrame]) -> DataFrame | None:
         target = f"{path}/{name}/batch_id={batch_id}"
@@ -46,7 +47,7 @@ def harvest(payloads: DataFrame, path: str, checkpoint: str, *, read: Callable[[
             make().write.mode("overwrite").parquet(target)
             return spark.read.parquet(target)
         except Exception as exc:  # noqa: BLE001 - recorded, and the other stages still run
-            spark.createDataFrame([(batch_id, name, str(exc)[:500])], "batch_id int, stage string, error string") \
+            spark.createDataFrame([(batch_id, name, str(exc))], "batch_id int, stage string, error string") \
                 .write.mode("append").parquet(f"{path}/failures")
             return None
 
@@ -62,13 +63,13 @@ def harvest(payloads: DataFrame, path: str, checkpoint: str, *, read: Callable[[
 
         rows = stage(spark, "imported", batch_id, imported)
         if rows is None:
-            return
+            raise RuntimeError(f"import of batch {batch_id} failed; see {path}/failures")
         found = stage(spark, "located", batch_id,
                       lambda: resolve_locations(rows, places, addresses, communes, centres, order))
         rows = rows if found is None else found
         text = hints.all_languages(F.col("title"), F.col("description"))
         safe = stage(spark, "audited", batch_id, lambda: apply(hide_unsafe(rows, text, now)))
         if safe is None:
-            rows.write.mode("overwrite").parquet(f"{path}/audited/batch_id={batch_id}")
+            rows.withColumn("published", F.lit(False)).write.mode("overwrite").parquet(f"{path}/audited/batch_id={batch_id}")
 
     return payloads.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
