@@ -38,31 +38,34 @@ def _rows(counts: dict[str, Counter]) -> pa.RecordBatch:
                                       ["lang", "item", "n"])
 
 
-def _counted(rows: Iterator[tuple[str, Counter]]) -> Iterator[pa.RecordBatch]:
-    """Counts per language, added up in the task before they are sent on; memory is bounded by the flush."""
-    held: dict[str, Counter] = {}
-    for lang, counts in rows:
-        held.setdefault(lang, Counter()).update(counts)
-        if sum(map(len, held.values())) > _FLUSH:
-            yield _rows(held)
-            held = {}
-    yield _rows(held)
+def _size(held: dict[str, Counter]) -> int:
+    return sum(map(len, held.values()))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _counted((lang.as_py(), Counter(tokens(text.as_py()))) for b in batches for lang, text in zip(b.column(0), b.column(1)))
+    """Counts per language, added up in the task before they are sent on; memory is bounded by the flush."""
+    held: dict[str, Counter] = {}
+    for b in batches:
+        for lang, text in zip(b.column(0), b.column(1)):
+            held.setdefault(lang.as_py(), Counter()).update(tokens(text.as_py()))
+            if _size(held) > _FLUSH:
+                yield _rows(held)
+                held = {}
+    yield _rows(held)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def each():
-        for b in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
-                made = Counter()
-                for k in range(1, LONGEST + 1):
-                    for g in grams(word, k):
-                        made[g] += n
-                yield lang, made
-    yield from _counted(each())
+    held: dict[str, Counter] = {}
+    for b in batches:
+        for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
+            counts = held.setdefault(lang, Counter())
+            for k in range(1, LONGEST + 1):
+                for g in grams(word, k):
+                    counts[g] += n
+            if len(counts) > _FLUSH:
+                yield _rows(held)
+                held = {}
+    yield _rows(held)
 
 
 class Model:
@@ -71,50 +74,66 @@ class Model:
     def __init__(self, langs: list[str], words: list[tuple[str, str, int]], parts: list[tuple[str, str, int]],
                  totals: dict[str, int], longest: int = LONGEST):
         self.langs, self.longest = langs, longest
-        self.words = self._table(words, totals)
-        sums: dict[tuple[int, str], int] = Counter()
+        self.words, self.word_rows = self._table(words, lambda lang, item: totals.get(lang, 0))
+        sums: dict[tuple[str, int], int] = Counter()
         for lang, g, n in parts:
-            sums[len(g), lang] += n
-        self.parts = {}
-        for k in range(1, longest + 1):
-            self.parts |= self._table([r for r in parts if len(r[1]) == k], {lang: sums[k, lang] for lang in langs})
-
-    def _table(self, entries, totals) -> dict[str, np.ndarray]:
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        floor = np.array([math.log(0.5 / (totals.get(lang, 0) + 1)) for lang in self.langs], dtype=np.float32)
-        made: dict[str, np.ndarray] = {}
+            sums[lang, len(g)] += n
+        self.parts, self.part_rows = self._table(parts, lambda lang, item: sums[lang, len(item)])
+
+    def _table(self, entries, total) -> tuple[dict[str, int], np.ndarray]:
+        at = {item: i for i, item in enumerate(dict.fromkeys(e[1] for e in entries))}
+        column = {lang: i for i, lang in enumerate(self.langs)}
+        rows = np.array([[math.log(0.5 / (total(lang, item) + 1)) for lang in self.langs] for item in at],
+                        dtype=np.float32).reshape(len(at), len(self.langs))
         for lang, item, n in entries:
-            row = made.setdefault(item, floor.copy())
-            row[at[lang]] = math.log((n + 0.5) / (totals[lang] + 1))
-        return made
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+            rows[at[item], column[lang]] = math.log((n + 0.5) / (total(lang, item) + 1))
+        return at, rows
+
+    def unseen(self, word: str) -> np.ndarray:
+        """Mean of the longest known n-grams of a word."""
         for k in range(min(self.longest, len(word) + 2), 0, -1):
-            rows = [r for r in map(self.parts.get, grams(word, k)) if r is not None]
-            if rows:
-                return np.mean(rows, axis=0)
+            found = [r for r in map(self.parts.get, grams(word, k)) if r is not None]
+            if found:
+                return self.part_rows[found].sum(axis=0) / len(found)
         return np.zeros(len(self.langs), dtype=np.float32)
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        counts = Counter(tokens(text)) if text else None
-        if not counts or not self.langs or not any(c.isalpha() for w in counts for c in w):
+
+class Reader:
+    """Predictions of one task: the model's words, and a bounded memory of unseen ones behind them."""
+
+    def __init__(self, model: Model, room: int = _CACHE):
+        self.model, self.known, self.room = model, len(model.words), room
+        self.rows = np.vstack([model.word_rows, np.zeros((room, len(model.langs)), dtype=np.float32)])
+        self.memory: dict[str, int] = {}
+
+    def _row(self, word: str) -> int:
+        at = self.memory.get(word)
+        if at is None:
+            at = self.known + len(self.memory)
+            self.memory[word] = at
+            self.rows[at] = self.model.unseen(word)
+        return at
+
+    def _sum(self, found: list[str]) -> np.ndarray:
+        get, total = self.model.words.get, np.zeros(len(self.model.langs))
+        for i in range(0, len(found), self.room):
+            part = found[i:i + self.room]
+            if len(self.memory) + len(part) > self.room:
+                self.memory = {}
+            at = list(map(get, part))
+            if None in at:
+                at = [self._row(w) if a is None else a for w, a in zip(part, at)]
+            total += self.rows[at].sum(axis=0, dtype=np.float64)
+        return total
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        found, langs = tokens(text or ""), self.model.langs
+        if not langs or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            row = cache.get(word)
-            if row is None:
-                if len(cache) >= _CACHE:
-                    cache.clear()
-                row = cache[word] = self.word(word)
-            total += n * row
-        seen = counts.total()
-        line = total / seen * min(seen, 24)           # longer texts don't push every score to 1
+        line = self._sum(found) / len(found) * min(len(found), 24)       # longer texts don't push every score to 1
         odds = np.exp(line - line.max())
         best = int(np.argmax(line))
-        return self.langs[best], float(odds[best] / odds.sum())
+        return langs[best], float(odds[best] / odds.sum())
 
 
 def _most(counts: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -148,9 +167,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", id_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+        reader = Reader(shared.value)
         for batch in batches:
-            made = [shared.value.predict(t.as_py(), cache) for t in batch.column(1)]
+            made = [reader.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], type=pa.string()),
                                               pa.array([m[1] for m in made], type=pa.float64())], ["id", "lang_pred", "score"])
 
