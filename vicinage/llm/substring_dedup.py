@@ -186,13 +186,14 @@ def later_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot:
     text are the same document; of rows of one id with different texts, equal places are ordered by a hash of the text.
     """
     made = word_pieces(docs, length, gram)
-    often = made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # joins follow checkpoints, not aggregations, so that adaptive execution can split a hot key
+    often = cut(made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     again = cut(made.join(often, "key"))
     groups = cut(again.groupBy("key", "piece").agg(F.min(F.struct("d", "pack")).alias("first"), F.count("*").alias("n")))
     copies = again.join(groups.where("n > 1").select("key", "piece", "first"), ["key", "piece"]).where(
         F.struct("d", "pack") > F.col("first")).selectExpr(
         "d", f"{common.PACK_TAG} AS tag", f"{common.PACK_START} AS a", f"{common.PACK_START} + ({common.PACK_COUNT}) + {length - 1} AS b")
-    varied = groups.groupBy("key").agg(F.count("*").alias("v")).where("v > 1")
+    varied = cut(groups.groupBy("key").agg(F.count("*").alias("v")).where("v > 1"))
     shown = groups.join(varied, "key").selectExpr("key", "v", "first.d AS d", "first.pack AS pack")
     per_doc = shown.groupBy("d", F.expr(common.PACK_TAG).alias("tag")).agg(F.collect_list(F.struct("key", "v", "pack")).alias("want"))
 
