@@ -30,7 +30,7 @@ MIN_TOXIC = 3
 CONFIDENCE = 3.0              # standard errors by which a mined term's log odds must exceed zero
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"!{2,}|\b[A-Z]{4,}!")
-_FLUSH = 300_000
+_FLUSH = 200_000
 ROUNDS = 25
 
 
@@ -78,17 +78,25 @@ class Voters:
 
     mined: dict[str, int]     # term -> its column among the mined terms
 
+    def __post_init__(self):
+        self._whole = {t: c for t, c in self.mined.items() if not t.endswith("*")}
+        self._begun = [(k, {t[:-1]: c for t, c in self.mined.items() if t.endswith("*") and len(t) == k + 1}) for k in PREFIXES]
+
     @property
     def names(self) -> list[str]:
         return [*LEXICONS, *(f"mined {k}" for k in range(MINED_VOTERS)), "shouting", "several mined terms"]
 
     def read(self, text: str) -> tuple[int, list[int]]:
         """Votes as bits of one number, and the columns of the mined terms that occur."""
-        found = terms(text)
-        columns = sorted(self.mined[t] for t in found if t in self.mined)
-        fired = [bool(found & words) for words in LEXICONS.values()]
+        found = set(_WORD.findall(text.lower()))
+        columns = [self._whole[w] for w in self._whole.keys() & found]
+        for k, begun in self._begun:
+            if begun:
+                columns += [begun[b] for b in begun.keys() & {w[:k] for w in found if len(w) > k}]
+        columns.sort()
+        fired = [not found.isdisjoint(words) for words in LEXICONS.values()]
         fired += [any(c % MINED_VOTERS == k for c in columns) for k in range(MINED_VOTERS)]
-        fired += [bool(_SHOUT.search(text)), len(columns) > 1]
+        fired += ["!" in text and bool(_SHOUT.search(text)), len(columns) > 1]
         return sum(1 << i for i, f in enumerate(fired) if f), columns
 
 
@@ -175,8 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("t")).where("t is not null")
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.col(label).cast("int")).alias("y"))
-    joined = rows.join(known, "_id", "left").select(F.xxhash64("_id", "t").alias("h"), "t", "y")
-    found = mine_terms(joined.where("y is not null").select("t", "y"), terms_kept)
+    found = mine_terms(rows.join(known, "_id").select("t", "y"), terms_kept)
     voters = Voters({t: i for i, (t, _) in enumerate(found)})
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
@@ -184,9 +191,12 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
         for b in batches:
             made = [shared.value.read(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([m[0] for m in made], type=pa.int64()),
-                                              pa.array([m[1] for m in made], type=pa.list_(pa.int32()))], ["h", "y", "votes", "columns"])
+                                              pa.array([m[1] for m in made], type=pa.list_(pa.int32()))], ["_id", "h", "votes", "columns"])
 
-    votes = cut(joined.mapInArrow(vote, "h long, y int, votes long, columns array<int>"))
+    # votes meet the labels, not texts: only the mining moves texts between executors
+    read_all = rows.select("_id", "t", F.xxhash64("_id", "t").alias("h")).mapInArrow(
+        vote, f"_id {dict(rows.dtypes)['_id']}, h long, votes long, columns array<int>")
+    votes = cut(read_all.join(known, "_id", "left").select("h", "y", "votes", "columns"))
     counts = votes.groupBy("votes").agg(F.count("*").alias("n"), F.count(F.when(F.col("y") == 1, 1)).alias("a"),
                                         F.count(F.when(F.col("y") == 0, 1)).alias("b")).collect()
     pattern, seen, a, b = (np.array([r[k] for r in counts], dtype=np.int64) for k in ("votes", "n", "a", "b"))
