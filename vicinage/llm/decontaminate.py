@@ -89,23 +89,29 @@ def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[
 
 
 def _summed(passages: DataFrame, step, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all passages of step(columns, values): each task adds up its own, four tasks add up the rest."""
+    """Sum over all passages of step(columns, values): each task adds up its own, one adds up theirs.
+
+    A shard bounds the matrix. It travels as 32-bit numbers and reaches the driver once.
+    """
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], type=pa.binary())], ["m"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for b in batches:
             for cols, vals in zip(b.column("cols"), b.column("vals")):
                 step(total, np.array(cols.as_py(), dtype=np.int64), np.array(vals.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], ["m"])
+        yield packed(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for b in batches:
             for m in b.column(0):
-                total += np.frombuffer(m.as_py()).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], ["m"])
+                total += np.frombuffer(m.as_py(), dtype=np.float32).reshape(shape)
+        yield packed(total)
 
-    rows = passages.mapInArrow(partial, "m binary").repartition(4).mapInArrow(add, "m binary").collect()
-    return sum((np.frombuffer(r["m"]).reshape(shape) for r in rows), np.zeros(shape))
+    rows = passages.mapInArrow(partial, "m binary").repartition(1).mapInArrow(add, "m binary").collect()
+    return np.frombuffer(rows[0]["m"], dtype=np.float32).reshape(shape).astype(float)
 
 
 def latent_axes(passages: DataFrame, width: int, rank: int = RANK) -> np.ndarray:
@@ -114,8 +120,10 @@ def latent_axes(passages: DataFrame, width: int, rank: int = RANK) -> np.ndarray
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((width, size)))[0]
 
     def gram(basis):
+        sent = basis.astype(np.float32)
+
         def step(total, cols, vals):
-            total[cols] += vals[:, None] * (vals @ basis[cols])
+            total[cols] += vals[:, None] * (vals @ sent[cols])
         return step
 
     for _ in range(POWER):
