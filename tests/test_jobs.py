@@ -73,3 +73,15 @@ def test_words_of_a_hot_text_stay_whole(spark):
     kept = sorted(r.id for r in collapse_similar(df, ["g"], ["id"], "title").collect())
     assert kept == [0] + [i for i in range(90) if i % 3]
     assert tx.ACCENTED and len(tx.ACCENTED) == len(tx.PLAIN)
+
+
+def test_deep_pages_are_walked_without_recursion():
+    import json
+
+    import pandas as pd
+
+    from vicinage.sources.feeds import _deep_nodes
+    nested = lambda n: '{"item": ' * n + '{"@type": "Event", "name": "x"}' + "}" * n
+    batch = pd.DataFrame({"page_id": [1, 2, 3, 4], "block": [0, 0, 0, 0], "json": [nested(60), nested(200_000), "{", "[]"]})
+    found = pd.concat(_deep_nodes(["item"])(iter([batch])))
+    assert found["page_id"].tolist() == [1] and json.loads(found["json"][0])["name"] == "x"

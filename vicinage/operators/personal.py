@@ -20,7 +20,6 @@ from .ranking import first_per
 ANSWERS = ["persona", "interests", "child_age_groups", "preferred_cantons", "near_cantons", "budget"]
 TRAITS = ["canton", "interest_hits", "age_hits", "price_step"]
 PRICE_STEPS = [-1.0, 0.0, 15.0, 30.0, 1e9]
-BROADCAST_SIGNATURES = 200_000
 
 
 def answers_key() -> Column:
@@ -126,9 +125,6 @@ def score_signatures(sets: DataFrame, signatures: DataFrame) -> DataFrame:
         .withColumn("_home", F.when(F.col("points") == P.POINTS["home_canton"], F.col("_canton")).otherwise(0))
     offers = signatures.select("signature", flag(F.col("price_step").isNotNull()).alias("_priced"),
                                F.explode(_signature_keys()).alias("key"))
-    # The written signatures are counted, and sent to all tasks only when they are few.
-    if signatures.count() <= BROADCAST_SIGNATURES:
-        offers = F.broadcast(offers)
     most = lambda name: F.max(name).alias(name)
     pairs = wants.join(offers, "key").groupBy("answers", "signature").agg(
         F.sum("points").alias("_earned"), *[most(n) for n in ("_canton", "_price", "_home", "_picky", "_budgeted", "_priced")])

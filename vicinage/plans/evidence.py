@@ -9,11 +9,10 @@ from ..operators.ranking import first_per, url_rank
 from ..session import cut
 from ..sources import feeds
 
-# Paths tried without a sitemap, the marker of event data, examples looked at.
+# Paths tried without a sitemap, the marker of event data.
 FALLBACK_PATHS = ["/agenda", "/events", "/evenements", "/manifestations", "/veranstaltungen", "/actualites",
                   "/aktuelles", "/kalender"]
 EVENT_MARKUP = r"(?i)\"@type\"\s*:\s*\"?\[?\s*\"?Event"
-EXAMPLES = 3
 
 
 def robots_rules(robots: Column, path: Column) -> Column:
@@ -82,13 +81,13 @@ def site_evidence(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, page
 
     candidates = cut(found.withColumn("_guess", F.lit(False)).unionByName(guessed))
     counts = candidates.groupBy("_host").agg(F.count("*").alias("_n"), F.bool_or("_guess").alias("_guess"))
-    best = first_per(candidates.select("_host", "url"), ["_host"], [url_rank(F.col("url"))], EXAMPLES, rank="_rank")
     blocks = F.regexp_extract_all("html", F.lit(feeds.LD_BLOCK), F.lit(1))
     marked = pages.select("url", F.exists(blocks, lambda b: b.rlike(EVENT_MARKUP)).alias("_marked")) \
         .groupBy("url").agg(F.bool_or("_marked").alias("_marked"))
-    judged = best.join(marked, "url", "left").withColumn("_marked", F.coalesce("_marked", F.lit(False)))
+    # Every candidate with a stored page is judged; the best marked one is the example, else the best of all.
+    judged = candidates.select("_host", "url").join(marked, "url", "left").withColumn("_marked", F.coalesce("_marked", F.lit(False)))
     example = judged.groupBy("_host").agg(
-        F.min_by("url", F.struct((~F.col("_marked")).alias("m"), F.col("_rank").alias("r"))).alias("_example"),
+        F.min_by("url", F.struct((~F.col("_marked")).alias("m"), url_rank(F.col("url")).alias("r"))).alias("_example"),
         F.bool_or("_marked").alias("_marked"))
 
     out = base.join(first, "_host", "left").join(counts, "_host", "left").join(example, "_host", "left")

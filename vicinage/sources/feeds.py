@@ -157,26 +157,33 @@ def _is_event(node: Column) -> Column:
 
 def _deep_nodes(keys: list[str]) -> Callable:
     """Event nodes below the last expressed level, for the few pages nested that deep."""
-    def walk(node, depth: int, out: list[str]) -> None:
-        if isinstance(node, list):
-            for item in node:
-                walk(item, depth, out)
-        elif isinstance(node, dict):
-            kind = node.get("@type") or node.get("type")
-            names = [kind] if isinstance(kind, str) else kind if isinstance(kind, list) else []
-            if depth > LD_DEPTH and any(isinstance(n, str) and "Event" in n for n in names):
-                out.append(json.dumps(node, ensure_ascii=False))
-            for key in keys:
-                if key in node:
-                    walk(node[key], depth + 1, out)
+    def events(block: str) -> list[str]:
+        """Events of a block in its order; a node the JSON module finds too deep to read or write is left out."""
+        found: list[str] = []
+        try:
+            todo = [(json.loads(block), 0)]
+        except (ValueError, RecursionError):
+            return found
+        while todo:
+            node, depth = todo.pop()
+            if isinstance(node, list):
+                todo += [(item, depth) for item in reversed(node)]
+            elif isinstance(node, dict):
+                kind = node.get("@type") or node.get("type")
+                names = [kind] if isinstance(kind, str) else kind if isinstance(kind, list) else []
+                if depth > LD_DEPTH and any(isinstance(n, str) and "Event" in n for n in names):
+                    try:
+                        found.append(json.dumps(node, ensure_ascii=False))
+                    except RecursionError:
+                        pass
+                todo += [(node[key], depth + 1) for key in reversed(keys) if key in node]
+        return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for page, block, at in zip(batch["page_id"], batch["json"], batch["block"]):
-                found: list[str] = []
-                walk(json.loads(block), 0, found)
-                rows += [(page, at, LD_DEPTH + 1, n, node) for n, node in enumerate(found)]
+                rows += [(page, at, LD_DEPTH + 1, n, node) for n, node in enumerate(events(block))]
             yield pd.DataFrame(rows, columns=["page_id", "block", "level", "position", "json"])
 
     return run
@@ -269,6 +276,7 @@ def visible_text(html: Column) -> Column:
     return tx.unescape_html(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))
 
 
+# Meta tags that state a date, best first.
 META_DATES = ["event:start_time", "article:published_time", "event:start_date", "startDate"]
 
 
