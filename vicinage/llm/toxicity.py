@@ -25,6 +25,7 @@ LEXICONS = {
 MINED_VOTERS = 8              # lexicons mined from the labelled rows
 TERMS = 2_000                 # mined terms at most: the classifier's width and what is broadcast
 SAMPLE = 40_000               # labelled and unlabelled rows the classifier is fitted on, at most, by hashed id
+MINED_IDS = 100_000           # labelled ids whose texts terms are mined from, at most, by hashed id: what is broadcast there
 PREFIXES = (4, 5, 6)
 MIN_TOXIC = 3
 CONFIDENCE = 3.0              # standard errors by which a mined term's log odds must exceed zero
@@ -60,7 +61,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mine_terms(labelled: DataFrame, limit: int = TERMS) -> list[tuple[str, float]]:
     """Terms that mark toxic rows, (term, lower bound of its log odds), strongest first. labelled: (t, y), no nulls.
 
-    All labelled rows are counted; `limit` bounds the terms kept.
+    All rows given are counted; `limit` bounds the terms kept.
     """
     sizes = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -172,18 +173,21 @@ def _fit_linear(rows: list[tuple[int, list[int]]], target: np.ndarray, n_votes:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", label: str = "toxic",
-          terms_kept: int = TERMS, sample: int = SAMPLE) -> Classifier:
+          terms_kept: int = TERMS, sample: int = SAMPLE, mined_ids: int = MINED_IDS) -> Classifier:
     """Learn from `docs` and the 0/1 `label` of `labels`, joined by id; rows with null ids, texts or labels don't teach.
 
-    Terms are mined from all labelled rows and the label model is estimated from the vote patterns of all rows of `docs`;
-    both are counted on the executors. Vote patterns are at most 2 ** voters. The linear classifier is fitted to the
+    Terms are mined from the rows of at most `mined_ids` labelled ids, the smallest by hash; these ids are broadcast, so
+    texts stay where they are. The label model is estimated from the vote patterns of all rows of `docs`. Both are
+    counted on the executors. Vote patterns are at most 2 ** voters. The linear classifier is fitted to the
     posterior labels of at most `sample` rows, the smallest by hashed id and text; half of the weight of a labelled
     row's target is its label. Without labelled toxic rows the lexicons alone decide.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("t")).where("t is not null")
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.col(label).cast("int")).alias("y"))
-    found = mine_terms(rows.join(known, "_id").select("t", "y"), terms_kept)
+    here = known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
+    teachers = here.orderBy(F.xxhash64("_id"), "_id").limit(mined_ids)
+    found = mine_terms(rows.join(F.broadcast(teachers), "_id").select("t", "y"), terms_kept)
     voters = Voters({t: i for i, (t, _) in enumerate(found)})
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
@@ -193,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([m[0] for m in made], type=pa.int64()),
                                               pa.array([m[1] for m in made], type=pa.list_(pa.int32()))], ["_id", "h", "votes", "columns"])
 
-    # votes meet the labels, not texts: only the mining moves texts between executors
+    # votes meet the labels, not texts: no text moves between executors
     read_all = rows.select("_id", "t", F.xxhash64("_id", "t").alias("h")).mapInArrow(
         vote, f"_id {dict(rows.dtypes)['_id']}, h long, votes long, columns array<int>")
     votes = cut(read_all.join(known, "_id", "left").select("h", "y", "votes", "columns"))
