@@ -73,10 +73,21 @@ def test_radius_join_with_a_crowded_cell(spark):
     b = scatter(60, 8) + [(2000, 49.7501, 6.1001)]
     x = spark.createDataFrame(a, "id int, lat double, lng double")
     y = spark.createDataFrame(b, "ref int, lat double, lng double")
-    got = sorted((r.id, r.t_ref) for r in spatial.radius_join(x, y, 5, max_latitude=51).collect())
+    got = sorted((r.id, r.t_ref) for r in spatial.radius_join(x, y, 5).collect())
     assert got == sorted((i, j) for i, p, q in a for j, s, t in b if cosines(p, q, s, t) <= 5)
 
 
+@pytest.mark.parametrize("radius", [60, 1500, 9000])
+def test_radius_join_over_poles_and_date_line(spark, radius):
+    a = scatter(40, 9, (-90, -180), (90, 180)) + [(100, 89.9, 10.0), (101, 70.0, 179.9), (102, -89.95, -120.0), (103, 10.0, 180.0)]
+    b = scatter(40, 10, (-90, -180), (90, 180)) + [(200, 89.95, -170.0), (201, 70.1, -179.95), (202, -89.8, 60.0), (203, 10.0, -180.0)]
+    x = spark.createDataFrame(a, "id int, lat double, lng double")
+    y = spark.createDataFrame(b, "ref int, lat double, lng double")
+    got = sorted((r.id, r.t_ref) for r in spatial.radius_join(x, y, radius).collect())
+    assert {(100, 200), (101, 201), (102, 202), (103, 203)} <= set(got)
+    assert got == sorted((i, j) for i, p, q in a for j, s, t in b if cosines(p, q, s, t) <= radius)
+
+
 def simplified(points, tolerance):
     """Textbook recursion."""
     lat0 = math.radians(sum(p[0] for p in points) / len(points))

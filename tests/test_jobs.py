@@ -62,6 +62,12 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT haversine_km(49.6, 6.1, 49.7, 6.1) AS km, fold('Péiteng-2') AS f, domain('https://WWW.x.lu/a') AS d, valid_point(0D, 0D) AS v").first()
     assert abs(row.km - 11.119) < 0.01 and (row.f, row.d, row.v) == ("peiteng", "x.lu", False)
     assert spark.sql("SELECT * FROM sitemap_entries('<url><loc>a</loc></url>')").collect() == [("a", "")]
+    xml = "<sitemap>\n<loc> b </loc><lastmod>2024</lastmod></sitemap><url><loc></loc></url>"
+    ics = "BEGIN:VEVENT\r\nUID:1\r\nDTSTART;VALUE=DATE:20240102\r\nSUMMARY:Long\r\n er\r\nEND:VEVENT\r\nBEGIN:VEVENT\nUID:2\nEND:VEVENT"
+    spark.createDataFrame([(xml, ics), (None, None)], "xml string, ics string").createOrReplaceTempView("stored_feeds")
+    assert spark.sql("SELECT e.* FROM stored_feeds, LATERAL sitemap_entries(xml) e").collect() == [("b", "2024")]
+    found = spark.sql("SELECT v.* FROM stored_feeds, LATERAL vevents(ics) v ORDER BY uid").collect()
+    assert found == [("1", "20240102", "Longer"), ("2", None, None)]
 
 
 def test_words_of_a_hot_text_stay_whole(spark):

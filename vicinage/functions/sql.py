@@ -1,42 +1,15 @@
-"""The most used functions for SQL users: SQL functions the optimizer inlines, and two table functions."""
+"""The most used functions for SQL users: SQL functions the optimizer inlines, scalar ones and table functions."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from .geo import EARTH_KM
 from .text import ACCENTED, PLAIN
 
 
-@udtf(returnType="url string, lastmod string")
-class SitemapEntries:
-    """sitemap_entries(xml): one row per url or sitemap node."""
-
-    def eval(self, xml: str) -> Iterator[tuple[str, str]]:
-        for node in re.findall(r"(?is)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>", xml or ""):
-            loc = re.search(r"(?is)<loc[^>]*>(.*?)</loc>", node)
-            mod = re.search(r"(?is)<lastmod[^>]*>(.*?)</lastmod>", node)
-            if loc and loc.group(1).strip():
-                yield loc.group(1).strip(), mod.group(1).strip() if mod else ""
-
-
-@udtf(returnType="uid string, start string, summary string")
-class Vevents:
-    """vevents(ics): one row per calendar event."""
-
-    def eval(self, ics: str) -> Iterator[tuple[str | None, str | None, str | None]]:
-        text = re.sub(r"\n[ \t]", "", (ics or "").replace("\r\n", "\n"))
-        for block in re.findall(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT", text):
-            found = (re.search(rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", block) for name in ("UID", "DTSTART", "SUMMARY"))
-            yield tuple(m.group(1).strip() if m else None for m in found)
-
-
 def register(spark: SparkSession) -> None:
-    """Temporary functions haversine_km, fold, domain, valid_point; table functions sitemap_entries, vevents."""
+    """Temporary functions haversine_km, fold, domain, valid_point; table functions sitemap_entries(xml), vevents(ics)."""
     double = lambda *names: ", ".join(f"{n} DOUBLE" for n in names)
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION haversine_km({double('lat1', 'lng1', 'lat2', 'lng2')}) RETURNS DOUBLE RETURN
       {2 * EARTH_KM} * asin(sqrt(least(pow(sin(radians(lat2 - lat1) / 2), 2)
@@ -47,5 +20,12 @@ def register(spark: SparkSession) -> None:
       regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^www[.]', '')""")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION valid_point({double('lat', 'lng')}) RETURNS BOOLEAN RETURN
       coalesce(lat IS NOT NULL AND lng IS NOT NULL AND NOT (lat = 0 AND lng = 0), false)""")
-    spark.udtf.register("sitemap_entries", SitemapEntries)
-    spark.udtf.register("vevents", Vevents)
+    inner = lambda tag: rf"trim(regexp_extract(node, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1))"
+    spark.sql(rf"""CREATE OR REPLACE TEMPORARY FUNCTION sitemap_entries(xml STRING) RETURNS TABLE (url STRING, lastmod STRING) RETURN
+      SELECT {inner('loc')}, {inner('lastmod')}
+      FROM explode(regexp_extract_all(xml, '(?is)<(url|sitemap)>(.*?)</\\1>', 2)) AS t(node) WHERE {inner('loc')} <> ''""")
+    stated = lambda name: rf"nullif(trim(regexp_extract(block, '(?m)^{name}(?:;[^:\\n]*)?:(.*)$', 1)), '')"
+    spark.sql(rf"""CREATE OR REPLACE TEMPORARY FUNCTION vevents(ics STRING) RETURNS TABLE (uid STRING, start STRING, summary STRING) RETURN
+      SELECT {stated('UID')}, {stated('DTSTART')}, {stated('SUMMARY')}
+      FROM explode(regexp_extract_all(regexp_replace(replace(ics, '\r\n', '\n'), '\n[ \t]', ''),
+        '(?s)BEGIN:VEVENT\\n(.*?)END:VEVENT', 1)) AS t(block)""")

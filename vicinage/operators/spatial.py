@@ -1,8 +1,8 @@
 """Grid joins: radius, region, nearest.
 
 Latitude and longitude are cut into cells; near things share a cell or touch, so every join below
-is an equi join on the cell followed by the exact test. Busy cells are split by adaptive skew
-handling on the probe side, and the probe side is reduced to distinct positions first.
+is an equi join on the cell followed by the exact test. Probes are reduced to distinct positions
+first; busy cells are split by adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geo
 from ..session import cut
 
-MAX_LATITUDE = 85.0
+EARTH_DEGREE_KM = geo.EARTH_KM * math.pi / 180   # a degree of a great circle, as distances are measured
+MIN_RADIUS_KM = 0.001
 
 
 def cell(c: Column, size: float | Column) -> Column:
@@ -28,21 +29,44 @@ def _around(df: DataFrame, lat_size: float, lng_size: float) -> DataFrame:
                           "_cx": cell(F.col("lng"), lng_size) + F.col("_dx")}).drop("_dx", "_dy"))
 
 
-def radius_join(probes: DataFrame, targets: DataFrame, radius_km: float, max_latitude: float = MAX_LATITUDE) -> DataFrame:
-    """Pairs of a probe and a target within the radius, with `distance_km`.
+def _cells_of_band(row: Column, band: float) -> Column:
+    """How many cells a band of latitude has around the globe: as many as are no narrower than the radius.
 
-    Both sides have lat and lng; `targets` columns get the prefix `t_`. Cells are as high as the
-    radius and as wide as it is at `max_latitude`, so the 3 x 3 cells around a target always hold its circle.
+    A circle around a point at latitude f reaches asin(sin r / cos f) degrees of longitude; f is at most
+    one band away. Where a circle may hold a pole, the band is one cell.
     """
-    lat_size = radius_km / geo.KM_PER_DEGREE
-    lng_size = radius_km / (geo.KM_PER_DEGREE * max(math.cos(math.radians(max_latitude)), 0.01))
-    here = probes.filter(geo.valid_point(F.col("lat"), F.col("lng"))) \
-        .withColumns({"_cy": cell(F.col("lat"), lat_size), "_cx": cell(F.col("lng"), lng_size)})
-    there = _around(targets.filter(geo.valid_point(F.col("lat"), F.col("lng"))), lat_size, lng_size)
-    there = there.select("_cy", "_cx", *[F.col(c).alias(f"t_{c}") for c in targets.columns])
+    f = F.greatest(F.abs((row - 1) * band), F.abs((row + 2) * band))
+    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(band))) / F.cos(F.radians(f)))))
+    return F.when(f + band < 90, F.greatest(F.lit(1), F.floor(360 / reach))).otherwise(F.lit(1)).cast("bigint")
+
+
+def _turn(lng: Column, cells: Column) -> Column:
+    """The cell of a longitude among those around the globe; 180 and -180 are one place."""
+    return F.pmod(F.floor((lng + 180) / 360 * cells).cast("bigint"), cells)
+
+
+def radius_join(probes: DataFrame, targets: DataFrame, radius_km: float) -> DataFrame:
+    """Pairs of a probe and a target within the radius, with `distance_km`, anywhere on the globe.
+
+    Both sides have lat and lng; `targets` columns get the prefix `t_`. Bands are as high as the radius and
+    cut into cells at least as wide, so the cells beside a target's in its band and the next ones hold its
+    circle. Distinct probe positions meet the targets, so many probes on one spot cost one test.
+    """
+    band = max(radius_km, MIN_RADIUS_KM) / EARTH_DEGREE_KM * (1 + 1e-9)
+    valid = geo.valid_point(F.col("lat"), F.col("lng"))
+    here = probes.filter(valid)
+    spots = here.select("lat", "lng").distinct().withColumn("_cy", cell(F.col("lat"), band))
+    spots = spots.withColumn("_cx", _turn(F.col("lng"), _cells_of_band(F.col("_cy"), band)))
+    there = targets.filter(valid).withColumn("_cy", F.explode(F.transform(
+        F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda step: cell(F.col("lat"), band) + step)))
+    there = there.withColumn("_n", _cells_of_band(F.col("_cy"), band))
+    there = there.withColumn("_cx", F.explode(F.array_distinct(F.transform(
+        F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda step: F.pmod(_turn(F.col("lng"), F.col("_n")) + step, F.col("_n"))))))
+    prefixed = [F.col(c).alias(f"t_{c}") for c in targets.columns]
     d = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("t_lat"), F.col("t_lng"))
-    return (here.join(there, ["_cy", "_cx"]).withColumn("distance_km", d)
-            .filter(F.col("distance_km") <= radius_km).drop("_cy", "_cx"))
+    pairs = (spots.join(there.select("_cy", "_cx", *prefixed), ["_cy", "_cx"]).withColumn("distance_km", d)
+             .filter(F.col("distance_km") <= radius_km).drop("_cy", "_cx"))
+    return here.join(pairs, ["lat", "lng"]).select(*probes.columns, *[f"t_{c}" for c in targets.columns], "distance_km")
 
 
 def region_cells(regions: DataFrame, size: float) -> DataFrame:

@@ -14,20 +14,16 @@ UPCOMING = f"published AND (end_date >= DATE '{TODAY}' OR (end_date IS NULL AND
 
 
 @check("o01_relevance_order", f"""
-SELECT {ID}, row_number() OVER (ORDER BY featured DESC, {RELEVANT}, start_date DESC, CAST(id AS VARCHAR)) AS place
-FROM listings_v WHERE {UPCOMING} QUALIFY place <= 200""")
+SELECT {ID}, featured, CAST({RELEVANT} AS VARCHAR) AS relevant FROM listings_v WHERE {UPCOMING}
+ORDER BY featured DESC, {RELEVANT}, start_date DESC, CAST(id AS VARCHAR)""")
 def relevance(t):
-    from pyspark.sql import Window
-
-    hits = flt.filter_listings(t.listings, today=TODAY, upcoming=True)
-    top = hits.orderBy(*ops.relevance_keys(TODAY)).limit(200)
-    w = Window.orderBy(*ops.relevance_keys(TODAY))  # the page only: 200 rows
-    return top.select("id", F.row_number().over(w).cast("bigint").alias("place"))
+    rows = ops.by_relevance(flt.filter_listings(t.listings, today=TODAY, upcoming=True), TODAY)
+    return rows.select("id", "featured", iso(dates.relevant_from(F.col("start_date"), flt.day(TODAY))).alias("relevant"))
 
 
-@check("o02_score_order", f"WITH {SCORED} SELECT id, family_score FROM scored ORDER BY family_score DESC, id LIMIT 25")
+@check("o02_score_order", f"WITH {SCORED} SELECT id, family_score FROM scored ORDER BY family_score DESC, id")
 def score(t):
-    return ops.by_score(scored_places(t)).limit(25).select("id", "family_score")
+    return ops.by_score(scored_places(t)).select("id", "family_score")
 
 
 @check("o03_nearest_places", f"""

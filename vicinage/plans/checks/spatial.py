@@ -45,5 +45,5 @@ WHERE {haversine_sql('s.lat', 's.lng', 'c.lat', 'c.lng')} <= 2""")
 def radius(t):
     customers = points(t.customer.withColumn("k", F.col("c_custkey") * 3), "k", "k").select((F.col("k") / 3).cast("bigint").alias("c_custkey"), "lat", "lng")
     suppliers = points(t.supplier, "s_suppkey", "s_suppkey")
-    pairs = ops.radius_join(customers, suppliers, 2, max_latitude=51)
+    pairs = ops.radius_join(customers, suppliers, 2)
     return pairs.select("c_custkey", F.col("t_s_suppkey").alias("s_suppkey"), F.round("distance_km", 6).alias("km"))
