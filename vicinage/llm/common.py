@@ -7,6 +7,7 @@ carry the same key, at the same offset from the minimiser. Pieces split every wi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +36,15 @@ def keyed(docs: DataFrame) -> DataFrame:
                        F.pmod(F.xxhash64(text), F.lit(1 << 14)).alias("_tag"), text.alias("text"))
 
 
+def kept_rows(batch: pa.RecordBatch, keep: list[bool], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch that stay, in small messages, so that whole texts don't pile up on either side of the pipe."""
+    kept = batch.filter(pa.array(keep, type=pa.bool_()))
+    for i in range(0, kept.num_rows, rows):
+        yield kept.slice(i, rows)
+    del kept
+    pa.default_memory_pool().release_unused()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))

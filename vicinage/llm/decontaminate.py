@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinage.llm.common import kept_rows
+
 RANK, OVERSAMPLE, POWER = 512, 16, 2  # a rank near a shard's passages keeps the part outside the space, and with it false candidates, small
 WINDOWS = (32, 8)             # words of a document passage; the short one only where the benchmark has short items
 PART = 48                     # words of a benchmark passage; longer items have several, overlapping by half
@@ -276,7 +278,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = b.schema.get_field_index(text)
-                yield b.filter(pa.array([not shared.value.hits(t.as_py()) for t in b.column(at)], type=pa.bool_()))
+                yield from kept_rows(b, [not shared.value.hits(t.as_py()) for t in b.column(at)])
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

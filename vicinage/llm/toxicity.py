@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinage.llm.common import kept_rows
 from vicinage.session import cut
 
 # Insults by theme; each theme is one voter.
@@ -241,6 +242,6 @@ def drop_toxic(docs: DataFrame, model: Classifier, *, text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text)
-            yield b.filter(pa.array([shared.value.score(t.as_py()) < 0.5 for t in b.column(at)], type=pa.bool_()))
+            yield from kept_rows(b, [shared.value.score(t.as_py()) < 0.5 for t in b.column(at)])
 
     return docs.mapInArrow(run, docs.schema)
