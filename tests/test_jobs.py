@@ -7,7 +7,7 @@ from vicinage.operators import filters, ranking
 from vicinage.plans import quality
 from vicinage.plans.checks import feeds, quality as fixtures
 from vicinage.plans.views import CENTRE, TODAY
-from vicinage.sources import sinks
+from vicinage.sources import feeds as readers, sinks
 
 
 def test_second_run_changes_nothing(tables):
@@ -70,6 +70,19 @@ def test_sql_functions(spark):
     assert found == [("1", "20240102", "Longer"), ("2", None, None)]
 
 
+def test_mixed_sitemap_keeps_its_pages(spark):
+    loc = lambda tag, *us: "".join(f"<{tag}><loc>{u}</loc></{tag}>" for u in us)
+    pages = [f"https://x.lu/p{k}" for k in range(40)]
+    roots = spark.createDataFrame([("mixed", f"<urlset>{loc('url', *pages, 'https://x.lu/a.xml', 'https://x.lu/gone.xml')}</urlset>"),
+                                   ("index", f"<sitemapindex>{loc('sitemap', 'https://x.lu/a.xml', 'https://x.lu/gone.xml')}</sitemapindex>"),
+                                   ("lost", f"<sitemapindex>{loc('sitemap', 'https://x.lu/gone.xml')}</sitemapindex>")], "doc_url string, xml string")
+    stored = spark.createDataFrame([("https://x.lu/a.xml", f"<urlset>{loc('url', 'https://x.lu/in1', 'https://x.lu/in2')}</urlset>")], "doc_url string, xml string")
+    rows = readers.expand_index(readers.sitemap_entries(roots), stored).orderBy("doc_url", "_at", "_pos").collect()
+    of = lambda doc: [r.url for r in rows if r.doc_url == doc]
+    assert of("mixed") == [*pages, "https://x.lu/in1", "https://x.lu/in2", "https://x.lu/gone.xml"]
+    assert of("index") == ["https://x.lu/in1", "https://x.lu/in2"] and of("lost") == ["https://x.lu/gone.xml"]
+
+
 def test_words_of_a_hot_text_stay_whole(spark):
     """A third of all rows share one title: one of them is kept, and the others fall with it."""
     from vicinage.operators.personal import collapse_similar

@@ -367,31 +367,34 @@ def from_listing_blocks(pages: DataFrame, sources: DataFrame, selectors: dict[st
 # --- sitemaps, robots, links ------------------------------------------------------------------
 
 def sitemap_entries(docs: DataFrame) -> DataFrame:
-    """(doc_url, position, url, lastmod) of url and sitemap nodes; bare locations when there are none."""
+    """(doc_url, in_index, position, url, lastmod) of url and sitemap nodes; bare locations when there are none."""
     nodes = F.regexp_extract_all("xml", F.lit(r"(?is)<(url|sitemap)>(.*?)</\1>"), F.lit(2))
     bare = F.regexp_extract_all("xml", F.lit(r"(?is)<loc[^>]*>.*?</loc>"), F.lit(0))
     inner = lambda node, tag: F.trim(F.regexp_replace(
         F.regexp_extract(node, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"(?s)^\s*<!\[CDATA\[|\]\]>\s*$", ""))
     entry = lambda list_: F.filter(F.transform(list_, lambda n: F.struct(
         inner(n, "loc").alias("url"), inner(n, "lastmod").alias("lastmod"))), lambda e: F.length(e["url"]) > 0)
-    chosen = docs.withColumn("_e", entry(nodes))
+    chosen = docs.withColumn("in_index", F.col("xml").rlike("(?i)<sitemapindex")).withColumn("_e", entry(nodes))
     chosen = chosen.withColumn("_e", F.when(F.size("_e") > 0, F.col("_e")).otherwise(entry(bare)))
     keep = [c for c in docs.columns if c != "xml"]
-    return chosen.select(*keep, F.posexplode("_e").alias("position", "_x")).select(
-        *keep, "position", tx.unescape_html(F.trim("_x.url")).alias("url"), F.col("_x.lastmod").alias("lastmod"))
+    return chosen.select(*keep, "in_index", F.posexplode("_e").alias("position", "_x")).select(
+        *keep, "in_index", "position", tx.unescape_html(F.trim("_x.url")).alias("url"), F.col("_x.lastmod").alias("lastmod"))
 
 
 def expand_index(entries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Sitemaps that list other sitemaps are replaced by what those hold; one level deep.
+    """Entries that name stored sitemaps are replaced by what those hold; one level deep.
 
-    `entries`: of the root documents (doc_url, ...); `docs`: all stored documents (doc_url, xml).
+    Of a <sitemapindex> the whole list is replaced, once something is found; a <urlset> keeps its other entries.
+    `entries`: of the root documents (doc_url, in_index, ...); `docs`: all stored documents (doc_url, xml).
     """
     nested = (entries.filter(urls.looks_like_sitemap(F.col("url")))
               .select("doc_url", F.col("position").alias("_at"), F.col("url").alias("_child")))
     inside = sitemap_entries(docs).withColumnsRenamed({"doc_url": "_child", "position": "_pos"})
     found = nested.join(inside, "_child").select("doc_url", "_at", "_pos", "url", "lastmod")
-    replaced = found.select("doc_url").distinct()
-    kept = entries.join(replaced, "doc_url", "left_anti").select(
+    opened = found.select("doc_url", F.col("_at").alias("position")).distinct()
+    whole = opened.select(F.col("doc_url").alias("_whole")).distinct()
+    kept = entries.join(opened, ["doc_url", "position"], "left_anti")
+    kept = kept.join(whole, F.col("in_index") & (F.col("doc_url") == F.col("_whole")), "left_anti").select(
         "doc_url", F.col("position").alias("_at"), F.lit(0).alias("_pos"), "url", "lastmod")
     return kept.unionByName(found)
 
