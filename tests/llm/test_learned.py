@@ -98,6 +98,22 @@ def test_decontamination(spark, docs_of):
     assert decontaminate.contaminated(docs_of(docs), bench.limit(0)).count() == 0 == decontaminate.contaminated(docs_of([]), bench).count()
 
 
+def test_decontamination_without_short_items(spark, docs_of):
+    rng, line, _ = items()
+    texts = [f"{line(n - 7).capitalize()}. {line(7).capitalize()}." for n in range(12, 25)]
+    docs = []
+    for k in range(3 * len(texts)):
+        shown, host = texts[k % len(texts)].split(), line(120).split()
+        size = len(shown)
+        for at in rng.sample(range(size), size // 5):  # a fifth reworded
+            shown[at] = "altered"
+        docs.append((k, " ".join(host[:60] + shown + host[60:])))
+    for extra in ([], [(99, "one two three four five six", 1)]):
+        bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + extra, "item_id long, text string, doc_id int")
+        found = {(r.id, r.item) for r in decontaminate.contaminated(docs_of(docs), bench).collect()}
+        assert found == {(k, k % len(texts)) for k, _ in docs}
+
+
 def test_decontamination_query(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
     bench = {r.item_id: decontaminate.words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}

@@ -1,8 +1,11 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequence and answer checks.
 
-The TF-IDF passages of the benchmark get a distributed randomised SVD. Windows of documents are folded into its latent
-space; a window's cosine with an item is at most their latent product plus the product of the parts outside the space,
-so the candidate search loses nothing to the low rank. Candidates are confirmed on the words themselves.
+Every passage of an item is looked for in windows of twice its length. A copy that the checks can confirm shares a least
+share of the passage's words with a window, and with it a least weight: that of the passage's lightest words. Rounded
+weights are summed over all windows first, then words are counted. Where there are enough, the window is folded into the
+latent space of a distributed randomised SVD of all passages: its TF-IDF mass in common with a passage is at most their
+latent product plus the product of the parts outside the space. No test loses a copy, whatever the size of the corpus or
+the other items. Candidates are confirmed on the words themselves.
 """
 
 from __future__ import annotations
@@ -20,11 +23,14 @@ from pyspark.sql import functions as F
 from vicinage.llm.common import kept_rows
 
 RANK, OVERSAMPLE, POWER = 512, 16, 2  # a rank near a shard's passages keeps the part outside the space, and with it false candidates, small
-WINDOWS = (32, 8)             # words of a document passage; the short one only where the benchmark has short items
-PART = 48                     # words of a benchmark passage; longer items have several, overlapping by half
-COSINE = 0.4                  # a candidate's least cosine
+PART = 48                     # words of a benchmark passage at most; longer items have several of like length
+SIZES = tuple(range(8, PART + 1, 8))  # passages are searched by the next of these: windows of twice it, a quarter of the window apart
 LCS = 0.8                     # share of an item's words found in order
 PARAPHRASE, ANSWER = 0.6, 0.9  # a looser share, if the item's answer is there nearly word for word
+BLOCK = 128                   # windows compared at a time
+STEP = 4                      # words summed at once; divides the distance of windows
+STRETCH = 1 << 14             # words of a document searched at a time
+PASSAGES = 1_000              # passages of a broadcast model, about
 SHARD = 400                 # items of a broadcast model; larger benchmarks take more rounds
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?]\s+|\n+")
@@ -35,8 +41,9 @@ def words(text: str) -> list[str]:
 
 
 def parts(found: list[str]) -> list[list[str]]:
-    """The passages of an item: all of it, or overlapping stretches of PART words."""
-    return [found[i:i + PART] for i in range(0, max(1, len(found) - PART // 2), PART // 2)]
+    """The passages of an item: all of it, or stretches of like length. One of them shares as much as the item does."""
+    n = math.ceil(len(found) / PART)
+    return [found[len(found) * i // n:len(found) * (i + 1) // n] for i in range(n)]
 
 
 def answer_of(text: str) -> list[str]:
@@ -139,89 +146,122 @@ def latent_axes(passages: DataFrame, width: int, rank: int = RANK) -> np.ndarray
 class Index:
     """What is sent to the executors for one shard of the benchmark: vocabulary, axes and items, bounded by the shard."""
 
-    def __init__(self, items: list[tuple[int, str]], idf: dict[str, float], axes: np.ndarray, unknown: float):
+    def __init__(self, items: list[tuple[int, str]], idf: dict[str, float], axes: np.ndarray):
         self.column = {w: i for i, w in enumerate(idf)}
-        self.idf = np.array([*idf.values(), unknown])            # the last one is that of all other words
+        self.idf = np.array([*idf.values(), 0.0])                # the last one stands for all other words
         self.axes = np.vstack([axes, np.zeros((1, axes.shape[1]))]).astype(np.float32)
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
         self.answers = [answer_of(t) for _, t in items]
-        lat, rest, self.item_of = [], [], []
-        shortest = min(map(len, self.words), default=PART)
-        self.windows = WINDOWS if shortest < WINDOWS[0] // 3 else WINDOWS[:1]
-        for item, w in ((i, p) for i, w in enumerate(self.words) for p in parts(w)):
-            self.item_of.append(item)
-            cols, counts = np.unique([self.column[x] for x in w], return_counts=True)
-            vals = counts * self.idf[cols]
-            vals = vals / (np.linalg.norm(vals) or 1.0)
-            z = vals @ self.axes[cols]
-            lat.append(z)
-            rest.append(math.sqrt(max(0.0, 1.0 - float(z @ z))))
-        self.latent, self.rest = np.array(lat, dtype=np.float32).reshape(len(lat), -1), np.array(rest)
+        held: dict[int, list[tuple[int, list[str]]]] = {}
+        for i, w in enumerate(self.words):
+            for p in parts(w):
+                held.setdefault(next(s for s in SIZES if len(p) <= s), []).append((i, p))
+        self.groups = [Group(size, found, self) for size, found in sorted(held.items())]
+        self.marks = np.hstack([(g.counts > 0) * _rounded(self.idf)[:, None] for g in self.groups])
 
-    def candidates(self, found: list[str]) -> set[tuple[int, int]]:
-        """(item, first word of the window) pairs whose cosine may reach COSINE.
+    def candidates(self, found: list[str]) -> set[tuple[int, int, int]]:
+        """(item, first word, end) of the windows that share enough of one of the item's passages.
 
-        The length of a window counts repeated words apart, which never makes a cosine smaller than it is.
+        Every stretch of one and a half times a passage's length lies in one of its windows.
         """
-        n, get, other = len(found), self.column.get, len(self.column)
-        if not n:
-            return set()
-        cols = np.fromiter((get(w, other) for w in found), dtype=np.int64, count=n)
-        mass = self.idf[cols] ** 2
-        inside = np.where(cols == other, 0.0, mass)
-        total, part = (np.concatenate([[0.0], np.cumsum(x)]) for x in (mass, inside))
-        out: set[tuple[int, int]] = set()
-        for window in self.windows:
-            begin = np.unique(np.append(np.arange(0, max(1, n - window + 1), window // 4), max(0, n - window)))
-            end = np.minimum(begin + window, n)
-            size2, in2 = total[end] - total[begin], part[end] - part[begin]
-            go = (in2 > 0) & (in2 >= COSINE ** 2 * size2)
-            begin, end, size2 = begin[go], end[go], size2[go]
-            for k in range(0, len(begin), 512):
-                out |= self._near(cols, begin[k:k + 512], end[k:k + 512], np.sqrt(size2[k:k + 512]), window)
+        get, other = self.column.get, len(self.column)
+        out: set[tuple[int, int, int]] = set()
+        for low in range(0, max(1, len(found) - 2 * PART), STRETCH):
+            cols = np.array([get(w, other) for w in found[low:low + STRETCH + 2 * PART]], dtype=np.int64)
+            out |= {(i, low + b, low + e) for i, b, e in self._stretch(cols)}
         return out
 
-    def _near(self, cols, begin, end, norm, window) -> set[tuple[int, int]]:
-        other = len(self.column)
-        at = begin[:, None] + np.arange(window)
-        here = np.where(at < end[:, None], cols[np.minimum(at, len(cols) - 1)], other)
-        weight = np.where(here == other, 0.0, self.idf[here]).astype(np.float32)
-        z = np.matmul(weight[:, None, :], self.axes[here])[:, 0, :]
-        outside = np.sqrt(np.maximum(0.0, _own_norm2(here, weight) - (z ** 2).sum(axis=1)))
-        bound = (z @ self.latent.T + outside[:, None] * self.rest[None, :]) / norm[:, None]
-        w, part = np.nonzero(bound >= COSINE)
-        return {(self.item_of[p], b) for p, b in zip(part.tolist(), begin[w].tolist())}
+    def _stretch(self, cols: np.ndarray) -> set[tuple[int, int, int]]:
+        n, other, before, left = len(cols), len(self.column), None, 0
+        steps = np.append(cols, np.full(-n % STEP, other)).reshape(-1, STEP)
+        sums = np.zeros((len(steps) + 1, self.marks.shape[1]), dtype=np.uint16)
+        np.cumsum(sum(self.marks[steps[:, k]] for k in range(STEP)), axis=0, dtype=np.uint16, out=sums[1:])
+        out: set[tuple[int, int, int]] = set()
+        for group in self.groups:
+            window, mine = 2 * group.size, slice(left, left := left + len(group.need))
+            begin = np.arange(0, max(1, n - window + window // 4), window // 4)
+            low, high = begin // STEP, np.minimum((begin + window) // STEP, len(steps))
+            begin = begin[(sums[high, mine] - sums[low, mine] >= group.marked).any(axis=1)]
+            if len(begin) and before is None:
+                before = _previous(cols)
+            for k in range(0, len(begin), BLOCK):
+                out |= group.near(cols, before, begin[k:k + BLOCK], self)
+        return out
 
     def hits(self, text: str | None) -> list[tuple[int, float, bool]]:
         """(item, share, answer found) of the items that a whole text holds, the best place of each."""
         found = words(text or "")
         best: dict[int, tuple[float, bool]] = {}
-        for i, at in sorted(self.candidates(found)):
+        for i, at, end in sorted(self.candidates(found)):
             size = len(self.words[i])
-            seen = confirmed(self.words[i], self.answers[i], found[max(0, at - size):at + WINDOWS[0] + size])
+            seen = confirmed(self.words[i], self.answers[i], found[max(0, at - size):end + size])
             if seen and seen > best.get(i, (0.0, False)):
                 best[i] = seen
         return [(self.ids[i], *s) for i, s in sorted(best.items())]
 
 
-def _own_norm2(here: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared length of each window's vector inside the vocabulary, repeats of a word added before squaring."""
-    order = np.argsort(here, axis=1, kind="stable")
-    cols, vals = np.take_along_axis(here, order, 1), np.take_along_axis(weight, order, 1)
-    first = np.ones_like(cols, dtype=bool)
-    first[:, 1:] = cols[:, 1:] != cols[:, :-1]
-    flat = np.add.reduceat(vals.ravel(), np.flatnonzero(first.ravel()))
-    row = np.repeat(np.arange(len(cols)), first.sum(axis=1))
-    return np.bincount(row, flat.astype(float) ** 2, minlength=len(cols))
+class Group:
+    """The passages of like length: how often each has a word, how many words and what mass it must share."""
+
+    def __init__(self, size: int, found: list[tuple[int, list[str]]], index: Index):
+        self.size, self.item_of = size, np.array([i for i, _ in found])
+        self.counts = np.zeros((len(index.idf), len(found)), dtype=np.uint8)
+        need, mass, marked, lat, rest = [], [], [], [], []
+        for k, (_, p) in enumerate(found):
+            cols, counts = np.unique([index.column[x] for x in p], return_counts=True)
+            self.counts[cols, k] = counts
+            vals = counts * index.idf[cols]
+            need.append(math.ceil(PARAPHRASE * len(p) - 1e-9))
+            mass.append(np.sort(np.repeat(index.idf[cols] ** 2, counts))[:need[-1]].sum())
+            marked.append(np.sort(np.repeat(_rounded(index.idf[cols]), counts))[:need[-1]].sum())
+            z = vals @ index.axes[cols]
+            lat.append(z)
+            rest.append(math.sqrt(max(0.0, float(vals @ vals - z @ z))))
+        self.need, self.mass, self.marked = np.array(need), np.array(mass), np.array(marked, dtype=np.uint16)
+        self.latent, self.rest = np.array(lat, dtype=np.float32), np.array(rest)
+        self.norm = np.sqrt((self.latent.astype(float) ** 2).sum(axis=1) + self.rest ** 2)
+
+    def near(self, cols, before, begin, index: Index) -> set[tuple[int, int, int]]:
+        """A word counts once per window, as often as the passage has it."""
+        n, other, window = len(cols), len(index.column), 2 * self.size
+        at = begin[:, None] + np.arange(window)
+        here = np.take(cols, at, mode="clip")
+        here[(at >= n) | (np.take(before, at, mode="clip") >= begin[:, None])] = other
+        enough = self.counts[here].sum(axis=1, dtype=np.uint8) >= self.need
+        row = np.flatnonzero(enough.any(axis=1))
+        if not len(row):
+            return set()
+        w, part = np.nonzero(enough[row])
+        weight = index.idf[here[row]].astype(np.float32)
+        z = np.matmul(weight[:, None, :], index.axes[here[row]])[:, 0, :]
+        size2 = (weight.astype(float) ** 2).sum(axis=1)
+        outside = np.sqrt(np.maximum(0.0, size2 - (z.astype(float) ** 2).sum(axis=1)))
+        shared = (z[w] * self.latent[part]).sum(axis=1) + outside[w] * self.rest[part]
+        go = shared + 1e-4 * np.sqrt(size2[w]) * self.norm[part] >= self.mass[part]  # 32-bit numbers
+        return {(i, b, min(b + window, n)) for i, b in zip(self.item_of[part[go]].tolist(), begin[row[w[go]]].tolist())}
+
+
+def _rounded(idf: np.ndarray) -> np.ndarray:
+    """Small whole weights: STEP of them fit in a byte, those of a window in two."""
+    return np.minimum(np.round(2 * idf), 255 // STEP).astype(np.uint8)
+
+
+def _previous(cols: np.ndarray) -> np.ndarray:
+    """Where each word occurred last before; -1 where it did not."""
+    order = np.argsort(cols, kind="stable")
+    out = np.full(len(cols), -1, dtype=np.int64)
+    again = cols[order[1:]] == cols[order[:-1]]
+    out[order[1:][again]] = order[:-1][again]
+    return out
 
 
 def _models(docs: DataFrame, benchmark: DataFrame, item_col: str, text: str) -> Iterator[Index]:
     """One index per shard of the benchmark. Items without words are left out: nothing can hold them."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text).alias("t")).where("t is not null and item is not null")
-    n = items.count()
-    shards = max(1, math.ceil(n / SHARD))
+    n, passages = items.agg(F.count("*"), F.sum(F.ceil(F.size(F.split("t", r"\s+")) / PART))).first()
+    shards = max(1, math.ceil(n / SHARD), math.ceil((passages or 0) / PASSAGES))
     rows = docs.select(F.col(text).alias("t"))
     for k in range(shards):
         mine = sorted((r["item"], r["t"]) for r in items.where(F.pmod(F.xxhash64("item", "t"), F.lit(shards)) == k).collect())
@@ -231,7 +271,6 @@ def _models(docs: DataFrame, benchmark: DataFrame, item_col: str, text: str) ->
         vocabulary = sorted({w for _, t in mine for w in words(t)})
         seen, total = _document_frequencies(rows, vocabulary)
         idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
-        unknown = math.log(total + 1) + 1e-3
         column = {w: i for i, w in enumerate(vocabulary)}
 
         def sparse(batches: Iterator[pa.RecordBatch], column=column, idf=idf) -> Iterator[pa.RecordBatch]:
@@ -243,7 +282,7 @@ def _models(docs: DataFrame, benchmark: DataFrame, item_col: str, text: str) ->
                      pa.array([list(v / (np.linalg.norm(v) or 1.0)) for v in vals], type=pa.list_(pa.float64()))], ["cols", "vals"])
 
         passages = spark.createDataFrame([(t,) for _, t in mine], "t string").repartition(8).mapInArrow(sparse, "cols array<int>, vals array<double>")
-        yield Index(mine, idf, latent_axes(passages, len(vocabulary)), unknown)
+        yield Index(mine, idf, latent_axes(passages, len(vocabulary)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
