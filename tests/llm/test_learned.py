@@ -114,6 +114,25 @@ def test_decontamination_without_short_items(spark, docs_of):
         assert found == {(k, k % len(texts)) for k, _ in docs}
 
 
+def test_decontamination_ignores_corpus_size():
+    rng, line, _ = items()
+    texts = [line(n) for n in range(12, 25)]
+    vocabulary = sorted({w for t in texts for w in decontaminate.words(t)})
+    docs = [" ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 99)}" for _ in range(40)) + " " + texts[k % 13] + " z y x" * 20 for k in range(26)]
+    seen = {w: sum(w in d.split() for d in docs) for w in vocabulary}
+    for scale in (1, 1000):
+        idf = {w: float(np.log((26 * scale + 1) / (seen[w] * scale + 1))) + 1e-3 for w in vocabulary}
+        axes = np.linalg.qr(rng_matrix(len(vocabulary), 5))[0]
+        index = decontaminate.Index(list(enumerate(texts)), idf, axes)
+        assert [[h[0] for h in index.hits(d)] for d in docs] == [[k % 13] for k in range(26)]
+        long = " ".join(["filler"] * 40000) + " " + texts[3]
+        assert [h[0] for h in index.hits(long)] == [3] and index.hits("") == index.hits(None) == []
+
+
+def rng_matrix(rows, columns):
+    return np.random.default_rng(1).standard_normal((rows, columns))
+
+
 def test_decontamination_query(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
     bench = {r.item_id: decontaminate.words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
