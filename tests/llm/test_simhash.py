@@ -54,6 +54,17 @@ def test_odd_rows(docs_of):
     assert simhash_dedup.classes(docs_of([])).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(docs_of):
+    import random
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(40)) for _ in range(24)]
+    rows = [(None, t) for t in texts[:12]] + [(5, t) for t in texts[12:20]] + [(None, texts[0]), (5, texts[12]), (6, texts[1]), (7, texts[13])]
+    rows += [(8 + k, t) for k, t in enumerate(texts[20:])]
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.keep_one(docs_of(rows)).collect()]
+    want = [(None, t) for t in texts[:12]] + [(5, t) for t in texts[12:20]] + [(8 + k, t) for k, t in enumerate(texts[20:])]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("segments", [8, 16])
 def test_links_are_complete(spark, segments):
     import random

@@ -121,11 +121,23 @@ def classes(docs: DataFrame, *, shingle: int = 3, distance: int = 2, segments: i
     return prints.join(labels, "fp").select("id", "fp", F.when(F.col("component") != NULL_ID, F.col("component")).alias("component"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stand for their class: those whose id is the class's smallest; one row of repeated ones."""
-    at = options.get("id_col", "doc_id")
-    kept = classes(docs, **options).where(F.col("id").eqNullSafe(F.col("component"))).select(
-        F.coalesce("id", F.lit(NULL_ID)).alias("_kept")).distinct()
-    held = docs.withColumn("_held", F.coalesce(F.col(at).cast("long"), F.lit(NULL_ID)))
-    first = held.join(kept, F.col("_held") == F.col("_kept"), "left_semi")
-    return first.dropDuplicates(["_held"]).select(*docs.columns)
+def keep_one(docs: DataFrame, *, shingle: int = 3, distance: int = 2, segments: int = SEGMENTS, text: str = "text",
+             id_col: str = "doc_id") -> DataFrame:
+    """One row of `docs` for each class of fingerprints joined by chains: one with the class's smallest id, null first.
+
+    Rows are told apart by id and fingerprint; that ids are equal or null links nothing.
+    """
+    node = F.coalesce(F.col("id"), F.lit(NULL_ID))
+    distinct = cut(fingerprints(docs, shingle=shingle, text=text, id_col=id_col).groupBy("fp").agg(F.min(node).alias("id")))
+    found = components(links(distinct, distance=distance, segments=segments).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+    labels = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
+        F.coalesce("component", "fp").alias("class"), F.struct("id", "fp").alias("row"))
+    kept = labels.groupBy("class").agg(F.min("row").alias("row")).select(F.col("row.id").alias("_kept"), F.col("row.fp").alias("_kept_fp"))
+
+    @F.arrow_udf("long")
+    def print_of(texts: pa.Array) -> pa.Array:
+        return pa.array([_fingerprint(t.as_py() or "", shingle) for t in texts], type=pa.int64())
+
+    held = docs.withColumns({"_held": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_fp": print_of(F.col(text).cast("string"))})
+    first = held.join(kept, (F.col("_held") == F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi")
+    return first.dropDuplicates(["_held", "_fp"]).select(*docs.columns)
