@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from vicinage.llm import (
     chat_format,
+    conversation_repair,
     decontaminate,
     embedding_dedup,
     language_id,
+    packing,
     secret_scan,
     simhash_dedup,
     source_mix,
     substring_dedup,
     suffix_dedup,
+    token_alignment,
     toxicity,
 )
 from vicinage.llm.common import table
 
+TOKENIZERS = "/opt/tokenizers"   # where the vocabulary files lie that are not on the Python path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -123,3 +128,29 @@ def simhash(spark, sf_dir):
 def substrings(spark, sf_dir):
     found = substring_dedup.remove_later(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+@query("op11_token_alignment")
+def aligned(spark, sf_dir):
+    return token_alignment.link_statistics(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op12_conversation_repair")
+def repaired(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(rows), rows).drop("signature")
+
+
+@query("op13_best_fit_packing")
+def packed(spark, sf_dir):
+    found = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
