@@ -109,6 +109,34 @@ def test_byte_and_word_odd_rows(docs_of):
     assert suffix_dedup.remove_repeats(docs_of([])).count() == substring_dedup.remove_later(docs_of([])).count() == 0
 
 
+def many_of_one_id(repeated):
+    """500 unrelated texts of id 7 and 500 of null ids, and a few that repeat one of them."""
+    rng = random.Random(17)
+    text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(30, 90)))
+    rows = [(7, text()) for _ in range(500)] + [(None, text()) for _ in range(500)]
+    return rows + [(k, f"{text()} {rows[i][1]}") for k, i in enumerate(repeated, 8)]
+
+
+def test_texts_of_one_id_stay_apart_bytes(docs_of):
+    rows = many_of_one_id([3, 700, 999])
+    want = Counter(zip([i for i, _ in rows], brute_bytes([t.encode() for _, t in rows], 60)))
+    found = suffix_dedup.remove_repeats(docs_of(rows), length=60, head=20).collect()
+    assert Counter((r.id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in found) == want
+
+
+def test_texts_of_one_id_stay_apart_words(docs_of):
+    rows = many_of_one_id([3, 700, 999])
+    tails = {8: 3, 9: 700, 10: 999}
+    want = Counter()
+    for i, t in rows:
+        words = t.split()
+        kept = words[:-len(rows[tails[i]][1].split())] if i in tails else words
+        want[i, len(words), len(words) - len(kept), sha(" ".join(kept).encode())] += 1
+    for hot in (4096, 1):
+        found = substring_dedup.remove_later(docs_of(rows), hot=hot).collect()
+        assert Counter((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == want
+
+
 def test_long_texts_cross_blocks(docs_of, monkeypatch):
     from vicinage.llm import common
     monkeypatch.setattr(common, "BLOCK_BYTES", 1500)
@@ -118,10 +146,10 @@ def test_long_texts_cross_blocks(docs_of, monkeypatch):
     data = [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
     seen = Counter()
-    for *_, d, pack, _ in common.pieces_of(np.concatenate(data), offsets, np.arange(len(texts)), np.zeros(len(texts), dtype=np.int64),
+    for *_, d, _, pack, _ in common.pieces_of(np.concatenate(data), offsets, np.arange(len(texts)), np.zeros(len(texts), dtype=np.int64),
                                            60, 20, 1500, common.byte_values):
         for i, p in zip(d, pack):
-            for w in range((p >> 32), (p >> 32) + ((p >> 9) & 511)):
+            for w in range(common.pack_start(p), common.pack_start(p) + common.pack_count(p)):
                 seen[int(i), int(w)] += 1
     assert set(seen.values()) == {1}
     assert len(seen) == sum(max(0, len(t.encode()) - 59) for _, t in values)

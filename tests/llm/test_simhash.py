@@ -47,7 +47,7 @@ def test_odd_rows(docs_of):
     rows = [(1, None), (2, ""), (3, " \t "), (4, "One two"), (5, "one TWO"), (5, "one TWO"), (6, "Ä b c d" * 3000),
             (None, "x y z w"), (7, "x y z w"), (8, "a b c é")]
     got = {(r.id, r.fp % 2**64, r.component) for r in simhash_dedup.classes(docs_of(rows)).collect()}
-    assert {(1, 0, 1), (2, 0, 1), (3, 0, 1), (7, brute_print("x y z w"), None)} <= got
+    assert {(1, 0, 1), (2, 0, 1), (3, 0, 1), (7, brute_print("x y z w"), 7)} <= got
     assert {r[2] for r in got if r[0] in (4, 5)} == {4}
     kept = [r.doc_id for r in simhash_dedup.keep_one(docs_of(rows)).collect()]
     assert sorted(kept, key=str) == sorted([1, 4, 6, None, 8], key=str)
@@ -76,3 +76,22 @@ def test_links_are_complete(spark, segments):
            for r in simhash_dedup.links(spark.createDataFrame(signed, "fp long"), segments=segments).collect()}
     want = {frozenset((p, q)) for p in prints for q in prints if p < q and bin(p ^ q).count("1") <= 2}
     assert got == want
+
+
+def test_ids_link_nothing(docs_of):
+    """Rows of one id or of null ids stay apart; components are those of the fingerprints, named by their smallest id."""
+    import random
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(30)) for _ in range(300)]
+    rows = [(None, t) for t in texts[:100]] + [(7, t) for t in texts[100:200]] + [(None, texts[0]), (5, texts[0]), (9, texts[1]), (8, texts[100]), (6, texts[150])]
+    rows += [(100 + k, t) for k, t in enumerate(texts[200:])]
+    prints = [brute_print(t) for _, t in rows]
+    of = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 and of[i] != of[j]:
+                of = [of[j] if c == of[i] else c for c in of]
+    least = {c: min((rows[k][0] for k in range(len(rows)) if of[k] == c and rows[k][0] is not None), default=None) for c in of}
+    want = sorted(((r[0], p, least[c]) for r, p, c in zip(rows, prints, of)), key=str)
+    got = sorted(((r.id, r.fp % 2**64, r.component) for r in simhash_dedup.classes(docs_of(rows)).collect()), key=str)
+    assert got == want and {None, 5, 9, 6, 7} <= set(least.values())

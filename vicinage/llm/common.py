@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinage.session import fresh_path
+
 NULL_ID = -(1 << 63)          # stands for a null id: before every other one
 BLOCK_BYTES = 1 << 21         # text bytes hashed at a time
 BLOCK_WORDS = 1 << 19         # word hashes windowed at a time
+PACK_MOST = (1 << 16) - 1     # windows of a piece, and the offset of its minimiser
 _POSITION = np.uint64((1 << 24) - 1)
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -30,10 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(_d, _tag, text): id without nulls, a tag that keeps rows of one id with different texts apart, text without nulls."""
+    """(_d, _tag, text): id without nulls, a hash that keeps rows of one id with different texts apart, text without nulls.
+
+    Rows of one id and one text are the same row to all that joins on (_d, _tag).
+    """
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_d"),
-                       F.pmod(F.xxhash64(text), F.lit(1 << 14)).alias("_tag"), text.alias("text"))
+                       F.xxhash64(text).alias("_tag"), text.alias("text"))
 
 
 def kept_rows(batch: pa.RecordBatch, keep: list[bool], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -114,6 +121,37 @@ def pieces(values: np.ndarray, of: np.ndarray, length: int, k: int):
     return grams[anchor].view(np.int64), piece.view(np.int64), begin, count, anchor - begin
 
 
+class Ragged:
+    """Rows of numbers of unequal lengths, one after the other."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes, self.begins = flat, sizes, np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, rows: list[list[int]]) -> Ragged:
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        return cls(np.fromiter(chain.from_iterable(rows), dtype="<u4", count=int(sizes.sum())), sizes)
+
+    def take(self, rows: np.ndarray) -> Ragged:
+        sizes = self.sizes[rows]
+        shift = np.repeat(self.begins[rows] - (np.cumsum(sizes) - sizes), sizes)
+        return Ragged(self.flat[shift + np.arange(len(shift))], sizes)
+
+    @staticmethod
+    def joined(left: Ragged, right: Ragged) -> Ragged:
+        """Row by row the numbers of both."""
+        n = len(left.sizes)
+        both = Ragged(np.concatenate([left.flat, right.flat]), np.concatenate([left.sizes, right.sizes]))
+        return Ragged(both.take(np.arange(2 * n).reshape(2, n).T.ravel()).flat, left.sizes + right.sizes)
+
+
+def byte_symbols() -> dict[int, str]:
+    """The sign for each byte in a byte-level vocabulary: printable Latin-1 is itself, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column of a batch, and where each row starts (one entry more than rows)."""
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -171,10 +209,12 @@ def text_blocks(offsets: np.ndarray, size: int, overlap: int):
 
 def pieces_of(values: np.ndarray, offsets: np.ndarray, d: np.ndarray, tag: np.ndarray, length: int, k: int, size: int,
               values_of=lambda v: v):
-    """Columns (key, piece, d, pack) of all pieces of a batch, block by block, with the block and the anchors.
+    """Columns (key, piece, d, tag, pack) of all pieces of a batch, block by block, and the anchors.
 
-    pack holds the first window's place in its row, the row's tag, the number of windows, and the minimiser's offset.
+    pack holds the first window's place in its row, the number of windows, and the minimiser's offset.
     """
+    if length - k + 1 > PACK_MOST:
+        raise ValueError(f"a window may hold {PACK_MOST} grams at most, not {length - k + 1}")
     for low, high, i, j in text_blocks(offsets, size, length - 1):
         edges = np.clip(offsets[i:j + 1], low, high) - low
         of = np.repeat(np.arange(i, j), np.diff(edges))
@@ -184,11 +224,20 @@ def pieces_of(values: np.ndarray, offsets: np.ndarray, d: np.ndarray, tag: np.nd
         key, piece, begin, count, anchor = found
         row = of[begin]
         start = begin + low - offsets[row]
-        yield key, piece, d[row], (start << 32) | (tag[row] << 18) | (count << 9) | anchor, begin + anchor + low
+        yield key, piece, d[row], tag[row], (start << 32) | (count << 16) | anchor, begin + anchor + low
+
+
+def pack_start(pack: np.ndarray) -> np.ndarray:
+    return pack >> 32
+
+
+def pack_count(pack: np.ndarray) -> np.ndarray:
+    return (pack >> 16) & PACK_MOST
 
 
-PACK_START, PACK_TAG = "shiftright(pack, 32)", "shiftright(pack, 18) & 16383"
-PACK_COUNT, PACK_ANCHOR = "shiftright(pack, 9) & 511", "pack & 511"
+def span_of(length: int) -> list[str]:
+    """SQL of (d, tag, a, b): what the windows of a piece cover."""
+    return ["d", "tag", "shiftright(pack, 32) AS a", f"shiftright(pack, 32) + (shiftright(pack, 16) & {PACK_MOST}) + {length - 1} AS b"]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -202,6 +251,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+class Scratch:
+    """Tables of one run in the shared folder, each dropped as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, name: str, rows: DataFrame) -> DataFrame:
+        self.paths[name] = fresh_path(self.spark, name)
+        rows.write.option("compression", "zstd").parquet(self.paths[name])
+        return self.spark.read.schema(rows.schema).parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            discard(self.spark, self.paths.pop(name))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a scratch table of this run."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -101,24 +101,23 @@ def classes(docs: DataFrame, *, shingle: int = 3, distance: int = 2, segments: i
             id_col: str = "doc_id") -> DataFrame:
     """(id, fp, component): documents joined by chains of fingerprints at most `distance` bits apart.
 
-    component is the smallest id that can be reached. Equal fingerprints are collapsed before the search, so a group of
-    copies of any size costs one row there; all links between different fingerprints are found. A null id counts as the
-    smallest one inside, and its component reads null. Repeated rows stay. Empty table: empty result. Other columns are
-    not looked at, whatever their names.
+    component is the smallest id that can be reached, nulls left out: null if all ids of a class are. Equal fingerprints
+    are collapsed before the search, so a group of copies of any size costs one row there; all links between different
+    fingerprints are found. Only fingerprints link: rows of one id, or of null ids, are rows of their own. Repeated rows
+    stay. Empty table: empty result. Other columns are not looked at, whatever their names.
     """
     prints = cut(fingerprints(docs, shingle=shingle, text=text, id_col=id_col))
-    node = F.coalesce("id", F.lit(NULL_ID))
-    distinct = cut(prints.groupBy("fp").agg(F.min(node).alias("node")))
-    pairs = links(distinct, distance=distance, segments=segments)
-    a = distinct.select(F.col("fp").alias("fp_a"), F.col("node").alias("a"))
-    b = distinct.select(F.col("fp").alias("fp_b"), F.col("node").alias("b"))
-    # one id may carry several fingerprints: its rows are one document, linked by their id
-    same = prints.select("fp", node.alias("b")).join(distinct, "fp").select(F.col("node").alias("a"), "b").where("a <> b")
-    repeated = prints.groupBy("id").count().where("count > 1").select(F.coalesce("id", F.lit(NULL_ID)).alias("b"))
-    same = same.join(repeated.select(F.col("b").alias("_b")), F.col("b") == F.col("_b"), "left_semi")
-    found = components(pairs.join(a, "fp_a").join(b, "fp_b").select("a", "b").unionByName(same))
-    labels = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(labels, "fp").select("id", "fp", F.when(F.col("component") != NULL_ID, F.col("component")).alias("component"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("id")))
+    labels = _labelled(distinct, distance, segments)
+    least = labels.groupBy("class").agg(F.min("id").alias("component"))
+    return prints.join(cut(labels.join(least, "class").select("fp", "component")), "fp").select("id", "fp", "component")
+
+
+def _labelled(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
+    """(class, id, fp) of distinct fingerprints; the class is the smallest fingerprint that can be reached."""
+    pairs = links(distinct, distance=distance, segments=segments).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    return distinct.join(components(pairs), F.col("fp") == F.col("node"), "left").select(
+        F.coalesce("component", "fp").alias("class"), "id", "fp")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 3, distance: int = 2, segments: int = SEGMENTS, text: str = "text",
@@ -129,10 +128,8 @@ def keep_one(docs: DataFrame, *, shingle: int = 3, distance: int = 2, segments:
     """
     node = F.coalesce(F.col("id"), F.lit(NULL_ID))
     distinct = cut(fingerprints(docs, shingle=shingle, text=text, id_col=id_col).groupBy("fp").agg(F.min(node).alias("id")))
-    found = components(links(distinct, distance=distance, segments=segments).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
-    labels = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
-        F.coalesce("component", "fp").alias("class"), F.struct("id", "fp").alias("row"))
-    kept = labels.groupBy("class").agg(F.min("row").alias("row")).select(F.col("row.id").alias("_kept"), F.col("row.fp").alias("_kept_fp"))
+    labels = _labelled(distinct, distance, segments)
+    kept = labels.groupBy("class").agg(F.min(F.struct("id", "fp")).alias("row")).select(F.col("row.id").alias("_kept"), F.col("row.fp").alias("_kept_fp"))
 
     @F.arrow_udf("long")
     def print_of(texts: pa.Array) -> pa.Array:

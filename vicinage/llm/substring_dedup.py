@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinage.llm import common
-from vicinage.llm.common import NULL_ID, Rolling, keyed, merged
-from vicinage.session import cut, fresh_path
+from vicinage.llm.common import NULL_ID, Rolling, Scratch, keyed, merged, span_of
+from vicinage.session import cut
 
 LENGTH = 20                   # words of a match
 GRAM = 5                      # words of a minimiser
@@ -124,35 +124,35 @@ def match_reference(docs: DataFrame, reference: DataFrame, *, length: int = LENG
 
 
 def word_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, piece, d, pack) of every piece of every text; docs: (_d, _tag, text)."""
+    """(key, piece, d, tag, pack) of every piece of every text; docs: (_d, _tag, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             hashes, at = _hashed(batch.column(2))
             for made in common.pieces_of(hashes, at, d, tag, length, gram, common.BLOCK_WORDS):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made[:4]], ["key", "piece", "d", "pack"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made[:5]], ["key", "piece", "d", "tag", "pack"])
 
-    return docs.mapInArrow(run, "key long, piece long, d long, pack long")
+    return docs.mapInArrow(run, "key long, piece long, d long, tag long, pack long")
 
 
 _SPANS = "d long, tag long, a long, b long"
 
 
 def _streamed(bodies: DataFrame, length: int) -> DataFrame:
-    """Spans of each body that occur in an earlier body of its key. bodies: (key, d, pack, body) in that order."""
+    """Spans of each body that occur in an earlier body of its key. bodies: (key, d, tag, pack, body) in that order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, automaton, seen = None, SuffixAutomaton(), None
         for batch in batches:
             out = []
-            for k, d, pack, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, d, pack) == seen:             # a repeated row is the same place
+            for k, d, tag, pack, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, d, tag, pack) == seen:        # a repeated row is the same place
                     continue
-                seen = (k, d, pack)
+                seen = (k, d, tag, pack)
                 words = np.frombuffer(body, dtype=np.int64).tolist()
                 if k != key:
                     key, automaton = k, SuffixAutomaton()
                 else:
-                    start, tag = pack >> 32, (pack >> 18) & 16383
+                    start = common.pack_start(pack)
                     out += [(d, tag, start + a, start + b) for a, b in automaton.covered(words, length)]
                 automaton.add(words)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=pa.int64()) for i in range(4)], ["d", "tag", "a", "b"])
@@ -164,60 +164,62 @@ def _exploded(bodies: DataFrame, length: int) -> DataFrame:
     """The same for minimisers with very many bodies: the first place of every window, by partial minima."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, d, pack = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            body = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64)
-            count = (pack >> 9) & 511
+            key, d, tag, pack = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            body = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64)
+            count = common.pack_count(pack)
             row = np.repeat(np.arange(len(key)), count)
             j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             at = (np.cumsum(count + length - 1) - (count + length - 1))[row] + j
             h = common.mix(Rolling(body).of(at, at + length) ^ common.mix(key.view(np.uint64))[row])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), d[row], (pack[row] >> 18) & 16383, (pack[row] >> 32) + j)],
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), d[row], tag[row], common.pack_start(pack)[row] + j)],
                                              ["h", "d", "tag", "a"])
 
     windows = bodies.mapInArrow(run, "h long, d long, tag long, a long")
-    first = windows.groupBy("h").agg(F.min(F.struct("d", "a", "tag")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
-    return windows.join(first, "h").where(F.struct("d", "a", "tag") > F.col("first")).select("d", "tag", "a", (F.col("a") + length).alias("b"))
+    first = windows.groupBy("h").agg(F.min(F.struct("d", "tag", "a")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
+    return windows.join(first, "h").where(F.struct("d", "tag", "a") > F.col("first")).select("d", "tag", "a", (F.col("a") + length).alias("b"))
 
 
 def later_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(d, tag, a, b): stretches of words covered by windows of `length` words that also start earlier.
 
-    docs: as `common.keyed` makes it. Earlier: a smaller id, or the same id and a smaller place. Rows of one id and one
-    text are the same document; of rows of one id with different texts, equal places are ordered by a hash of the text.
+    docs: as `common.keyed` makes it. Earlier: a smaller id, or the same document and a smaller place. Rows of one id and
+    one text are the same document; of rows of one id with different texts, that with the smaller hash of the text is the earlier one.
     """
+    scratch = Scratch(docs.sparkSession)
     made = word_pieces(docs, length, gram)
-    # joins follow checkpoints, not aggregations, so that adaptive execution can split a hot key
+    # joins follow written tables, not aggregations, so that adaptive execution can split a hot key
     often = cut(made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    again = cut(made.join(often, "key"))
-    groups = cut(again.groupBy("key", "piece").agg(F.min(F.struct("d", "pack")).alias("first"), F.count("*").alias("n")))
-    copies = again.join(groups.where("n > 1").select("key", "piece", "first"), ["key", "piece"]).where(
-        F.struct("d", "pack") > F.col("first")).selectExpr(
-        "d", f"{common.PACK_TAG} AS tag", f"{common.PACK_START} AS a", f"{common.PACK_START} + ({common.PACK_COUNT}) + {length - 1} AS b")
+    again = scratch.keep("again", made.join(often, "key"))
+    groups = scratch.keep("groups", again.groupBy("key", "piece").agg(F.min(F.struct("d", "tag", "pack")).alias("first"), F.count("*").alias("n")))
+    later = again.join(groups.where("n > 1").select("key", "piece", "first"), ["key", "piece"]).where(F.struct("d", "tag", "pack") > F.col("first"))
+    copies = scratch.keep("copies", later.selectExpr(*span_of(length)))
+    scratch.drop("again")
     varied = cut(groups.groupBy("key").agg(F.count("*").alias("v")).where("v > 1"))
-    shown = groups.join(varied, "key").selectExpr("key", "v", "first.d AS d", "first.pack AS pack")
-    per_doc = shown.groupBy("d", F.expr(common.PACK_TAG).alias("tag")).agg(F.collect_list(F.struct("key", "v", "pack")).alias("want"))
+    shown = groups.join(varied, "key").selectExpr("key", "v", "first.d AS d", "first.tag AS tag", "first.pack AS pack")
+    per_doc = shown.groupBy("d", "tag").agg(F.collect_list(F.struct("key", "v", "pack")).alias("want"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, at = _hashed(batch.column(1))
-            want = batch.column(2)
+            hashes, at = _hashed(batch.column(2))
+            want = batch.column(3)
             item = want.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(want.offsets.to_numpy()))
             pack = item.field("pack").to_numpy()
-            begin = at[row] + (pack >> 32)
-            end = begin + ((pack >> 9) & 511) + length - 1
+            begin = at[row] + common.pack_start(pack)
+            end = begin + common.pack_count(pack) + length - 1
             body = [hashes[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
-            yield pa.RecordBatch.from_arrays([item.field("key"), batch.column(0).take(pa.array(row)), item.field("pack"),
-                                              pa.array(body, type=pa.binary()), item.field("v")], ["key", "d", "pack", "body", "v"])
-
-    texts = docs.join(per_doc, (F.col("_d") == F.col("d")) & (F.col("_tag") == F.col("tag"))).select("d", "text", "want")
-    path = fresh_path(docs.sparkSession, "bodies")
-    texts.mapInArrow(extract, "key long, d long, pack long, body binary, v long").write.parquet(path)
-    bodies = docs.sparkSession.read.parquet(path)
-    few = bodies.where(F.col("v") <= hot).select("key", "d", "pack", "body").repartition("key").sortWithinPartitions("key", "d", "pack")
-    many = bodies.where(F.col("v") > hot).select("key", "d", "pack", "body")
+            d, tag = (batch.column(i).take(pa.array(row)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([item.field("key"), d, tag, item.field("pack"), pa.array(body, type=pa.binary()), item.field("v")],
+                                             ["key", "d", "tag", "pack", "body", "v"])
+
+    texts = docs.join(per_doc, (F.col("_d") == F.col("d")) & (F.col("_tag") == F.col("tag"))).select("d", "tag", "text", "want")
+    bodies = scratch.keep("bodies", texts.mapInArrow(extract, "key long, d long, tag long, pack long, body binary, v long"))
+    scratch.drop("groups")
+    own = ["key", "d", "tag", "pack", "body"]
+    few = bodies.where(F.col("v") <= hot).select(*own).repartition("key").sortWithinPartitions(*own[:4])
+    many = bodies.where(F.col("v") > hot).select(*own)
     found = cut(copies.unionByName(_streamed(few, length)).unionByName(_exploded(many, length)))
-    common.discard(docs.sparkSession, path)
+    scratch.drop("copies", "bodies")
     return found
 
 

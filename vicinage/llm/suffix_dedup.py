@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinage.llm import common
-from vicinage.llm.common import NULL_ID, Rolling, discard, keyed, merged, mix
+from vicinage.llm.common import NULL_ID, Rolling, Scratch, discard, keyed, merged, mix, span_of
 from vicinage.session import cut, fresh_path
 
 LENGTH = 400                  # bytes of a match
@@ -36,17 +36,16 @@ def _first_eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sampled_suffixes(docs: DataFrame, length: int, head: int) -> DataFrame:
-    """(key, piece, d, pack, head) of every piece of every text; docs: (_d, _tag, text)."""
+    """(key, piece, d, tag, pack, head) of every piece of every text; docs: (_d, _tag, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.buffer_of(batch.column(2))
             d, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for key, piece, at, pack, anchor in common.pieces_of(data, offsets, d, tag, length, head, common.BLOCK_BYTES,
-                                                                 common.byte_values):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, piece, at, pack, _first_eight(data, anchor))],
-                                                 ["key", "piece", "d", "pack", "head"])
+            for *columns, anchor in common.pieces_of(data, offsets, d, tag, length, head, common.BLOCK_BYTES, common.byte_values):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, _first_eight(data, anchor))],
+                                                 ["key", "piece", "d", "tag", "pack", "head"])
 
-    return docs.mapInArrow(run, "key long, piece long, d long, pack long, head long")
+    return docs.mapInArrow(run, "key long, piece long, d long, tag long, pack long, head long")
 
 
 class SuffixIndex:
@@ -113,28 +112,28 @@ def _repeated(h: np.ndarray) -> np.ndarray:
 
 
 def _compared(bodies: DataFrame, length: int) -> DataFrame:
-    """(d, tag, a, b) covered by windows that two bodies of one key share. bodies: (key, d, pack, n, body), sorted by key."""
-    def matches(key, d, pack, n, body):
-        key, d, pack, n = (np.array(x, dtype=np.int64) for x in (key, d, pack, n))
-        row, j, h = _windows(body, key, (pack >> 9) & 511, length)
+    """(d, tag, a, b) covered by windows that two bodies of one key share. bodies: (key, d, tag, pack, n, body), sorted by key."""
+    def matches(key, d, tag, pack, n, body):
+        key, d, tag, pack, n = (np.array(x, dtype=np.int64) for x in (key, d, tag, pack, n))
+        row, j, h = _windows(body, key, common.pack_count(pack), length)
         hit = _repeated(h) & (n[row] == 1)
         row, j = row[hit], j[hit]
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)])) if len(row) else row
         last = np.append(first[1:], len(row)) - 1
-        r, start = row[first], (pack >> 32)[row[first]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[r], (pack[r] >> 18) & 16383, start + j[first], start + j[last] + length)],
+        r, start = row[first], common.pack_start(pack)[row[first]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[r], tag[r], start + j[first], start + j[last] + length)],
                                           ["d", "tag", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = ([], [], [], [], []), 0
+        held, size = tuple([] for _ in range(6)), 0
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
                 if size > _BODY_BYTES and values[0] != held[0][-1]:
                     yield matches(*held)
-                    held, size = ([], [], [], [], []), 0
+                    held, size = tuple([] for _ in range(6)), 0
                 for part, v in zip(held, values):
                     part.append(v)
-                size += len(values[4])
+                size += len(values[5])
         if held[0]:
             yield matches(*held)
 
@@ -146,9 +145,9 @@ def _exploded(bodies: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
-                key, d, pack, n = (batch.column(k).slice(i, 1024).to_numpy(zero_copy_only=False) for k in range(4))
-                row, j, h = _windows(batch.column(4).slice(i, 1024).to_pylist(), key, (pack >> 9) & 511, length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), d[row], (pack[row] >> 18) & 16383, (pack[row] >> 32) + j, n[row])],
+                key, d, tag, pack, n = (batch.column(k).slice(i, 1024).to_numpy(zero_copy_only=False) for k in range(5))
+                row, j, h = _windows(batch.column(5).slice(i, 1024).to_pylist(), key, common.pack_count(pack), length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), d[row], tag[row], common.pack_start(pack)[row] + j, n[row])],
                                                  ["h", "d", "tag", "a", "n"])
 
     windows = bodies.mapInArrow(run, "h long, d long, tag long, a long, n long")
@@ -162,46 +161,46 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, head: int = HEAD, b
     docs: as `common.keyed` makes it. Stretches of a document may overlap; their union is what is covered.
     """
     spark = docs.sparkSession
-    path = fresh_path(spark, "pieces")
-    sampled_suffixes(docs, length, head).withColumn("batch", F.pmod(F.xxhash64("d"), F.lit(batches))).write.partitionBy("batch").parquet(path)
-    parts = spark.read.schema("key long, piece long, d long, pack long, head long, batch int").parquet(path)
+    scratch = Scratch(spark)
+    arrival = F.pmod(F.xxhash64("d"), F.lit(batches)).cast("int").alias("batch")
+    parts = scratch.keep("pieces", sampled_suffixes(docs, length, head).select("*", arrival))
     index, keys = SuffixIndex(spark), None
     for i in range(batches):
         found = index.add(parts.where(F.col("batch") == i).select("head", "key"))
         keys = found if keys is None else keys.unionByName(found)
     index.drop()
-    # joins follow checkpoints, not aggregations, so that adaptive execution can split a hot key
-    again = cut(parts.select("key", "piece", "d", "pack").join(cut(keys.distinct()), "key"))
-    discard(spark, path)
-    groups = cut(again.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(F.struct("d", "pack")).alias("first")))
-    copies = again.join(groups.where("n > 1").select("key", "piece"), ["key", "piece"]).selectExpr(
-        "d", f"{common.PACK_TAG} AS tag", f"{common.PACK_START} AS a", f"{common.PACK_START} + ({common.PACK_COUNT}) + {length - 1} AS b")
+    # joins follow written tables, not aggregations, so that adaptive execution can split a hot key
+    again = scratch.keep("again", parts.select("key", "piece", "d", "tag", "pack").join(cut(keys.distinct()), "key"))
+    scratch.drop("pieces")
+    groups = scratch.keep("groups", again.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(F.struct("d", "tag", "pack")).alias("first")))
+    copies = scratch.keep("copies", again.join(groups.where("n > 1").select("key", "piece"), ["key", "piece"]).selectExpr(*span_of(length)))
+    scratch.drop("again")
     varied = cut(groups.groupBy("key").agg(F.count("*").alias("v")).where("v > 1"))
-    shown = groups.join(varied, "key").selectExpr("key", "v", "n", "first.d AS d", "first.pack AS pack")
-    per_doc = shown.groupBy("d", F.expr("shiftright(pack, 18) & 16383").alias("tag")).agg(F.collect_list(F.struct("key", "v", "n", "pack")).alias("want"))
+    shown = groups.join(varied, "key").selectExpr("key", "v", "n", "first.d AS d", "first.tag AS tag", "first.pack AS pack")
+    per_doc = shown.groupBy("d", "tag").agg(F.collect_list(F.struct("key", "v", "n", "pack")).alias("want"))
 
     def extract(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
-            data, offsets = common.buffer_of(batch.column(1))
-            want = batch.column(2)
+            data, offsets = common.buffer_of(batch.column(2))
+            want = batch.column(3)
             item = want.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(want.offsets.to_numpy()))
             pack = item.field("pack").to_numpy()
-            begin = offsets[row] + (pack >> 32)
-            end = begin + ((pack >> 9) & 511) + length - 1
+            begin = offsets[row] + common.pack_start(pack)
+            end = begin + common.pack_count(pack) + length - 1
             body = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
-            yield pa.RecordBatch.from_arrays([item.field("key"), batch.column(0).take(pa.array(row)), item.field("pack"), item.field("n"),
-                                              pa.array(body, type=pa.binary()), item.field("v")], ["key", "d", "pack", "n", "body", "v"])
-
-    texts = docs.join(per_doc, (F.col("_d") == F.col("d")) & (F.col("_tag") == F.col("tag"))).select("d", "text", "want")
-    bodies = texts.mapInArrow(extract, "key long, d long, pack long, n long, body binary, v long")
-    path = fresh_path(spark, "bodies")
-    bodies.write.parquet(path)
-    bodies = spark.read.parquet(path)
-    few = bodies.where(F.col("v") <= hot).select("key", "d", "pack", "n", "body").repartition("key").sortWithinPartitions("key")
-    many = bodies.where(F.col("v") > hot).select("key", "d", "pack", "n", "body")
+            d, tag = (batch.column(i).take(pa.array(row)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([item.field("key"), d, tag, item.field("pack"), item.field("n"), pa.array(body, type=pa.binary()), item.field("v")],
+                                             ["key", "d", "tag", "pack", "n", "body", "v"])
+
+    texts = docs.join(per_doc, (F.col("_d") == F.col("d")) & (F.col("_tag") == F.col("tag"))).select("d", "tag", "text", "want")
+    bodies = scratch.keep("bodies", texts.mapInArrow(extract, "key long, d long, tag long, pack long, n long, body binary, v long"))
+    scratch.drop("groups")
+    own = ["key", "d", "tag", "pack", "n", "body"]
+    few = bodies.where(F.col("v") <= hot).select(*own).repartition("key").sortWithinPartitions("key")
+    many = bodies.where(F.col("v") > hot).select(*own)
     found = cut(copies.unionByName(_compared(few, length)).unionByName(_exploded(many, length)))
-    discard(spark, path)
+    scratch.drop("copies", "bodies")
     return found
 
 
