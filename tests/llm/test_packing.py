@@ -99,9 +99,41 @@ def test_packing_odd_rows(docs_of):
     assert packing.pack(docs_of([]), FILE).collect() == []
 
 
-def test_words_are_forgotten(docs_of, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 2)
-    words = packing.WordIds(packing._content(FILE))
-    plain = Tokenizer.from_file(FILE)
-    for text in ("one two three", "four five", "one six"):
-        assert np.frombuffer(words.of([text])[0], dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+def test_every_token_is_what_its_merges_make():
+    """Then merging by the rank of what comes out is merging by the rank of the pair: no other pair that spells a token comes about."""
+    import json
+
+    model = json.loads(packing._content(FILE))["model"]
+    rank = {tuple(m): i for i, m in enumerate(model["merges"])}
+    for token in model["vocab"]:
+        core, end = token.removesuffix("</w>"), token.endswith("</w>")
+        parts = [*core[:-1], core[-1] + "</w>"] if end else [*core]
+        while len(parts) > 1:
+            best = min((rank.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if best[0] == 1 << 30:
+                break
+            parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        assert parts == [token]
+
+
+def test_ids_equal_the_tokenizer():
+    import pyarrow as pa
+
+    words, plain = packing.WordIds(packing._content(FILE)), Tokenizer.from_file(FILE)
+    rng = random.Random(8)
+    parts = ["The", "ÉTÉ,", "été", "don't", "I'LL", "x's.", "ß!", "ÿ;", "a1b2", "12", "\n", "e\u0301", "É\u0301.", "×", "İ", "Σ", "...", "<|endoftext|>", "中文", "", "a\tb", "Öl?!", "\u212b", "naïve.", "_a_", "\x00", "a***", "b$$$.", "c_", "d'", "e\ue000f", "<|x", "a<|endoftext|>"]
+    for _ in range(30):
+        texts = [rng.choice([" ", " ", "", "  "]).join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+        found = words.of(pa.array([*texts, None]))
+        assert [x.tolist() for x in np.split(found.flat, np.cumsum(found.sizes)[:-1])] == [e.ids for e in plain.encode_batch([*texts, ""], add_special_tokens=False)]
+        sliced = words.of(pa.array([*texts, None]).slice(5, 7))
+        assert sliced.sizes.tolist() == found.sizes[5:12].tolist()
+
+
+def test_ids_of_all_words_of_a_table(spark):
+    import pyarrow as pa
+
+    words, plain = packing.WordIds(packing._content(FILE)), Tokenizer.from_file(FILE)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found = words.of(pa.array(texts))
+    assert [x.tolist() for x in np.split(found.flat, np.cumsum(found.sizes)[:-1])] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]

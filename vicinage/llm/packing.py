@@ -8,6 +8,7 @@ capacities that finds the tightest open bin; equal bins are filled as one range,
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
@@ -16,17 +17,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vicinage.llm.common import Ragged, byte_symbols
 from vicinage.session import fresh_path
 
 SIZE = 2048                   # tokens of a sequence
 END = 0                       # the id that ends a document
-CACHE_WORDS = 1 << 18         # words whose ids a task remembers
-CACHE_CHARS = 1 << 24         # characters of those words
-BLOCK_CHARS = 1 << 20         # characters of text tokenised at a time
+BLOCK_BYTES = 1 << 24         # bytes of text tokenised at a time
+# letters whose lower case and normal form are plain, then signs that are one run to a tokenizer; no apostrophe, which may begin a run of its own
+PLAIN_WORD = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<stops>[!-&(-/:-@\[-`{-~]*)$"
+WORD_END = "\ue000"           # stands for the end of a word between runs, in which it can't occur
 _RANK_BITS = 44
 
 
@@ -111,45 +115,75 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[Run]:
 
 
 class WordIds:
-    """Ids of whole texts, from those of their words.
+    """Ids of whole texts, from those of their different words.
 
-    Exact for tokenizers that drop white space before they merge, as no token reaches over a space. Words are parted at
-    spaces only; other white space stays inside them and is left to the tokenizer.
+    Exact for byte-level tokenizers with word ends that lower case and drop white space before they merge: no token reaches over white space.
+    A word of plain Latin letters and stops is what it is to every such tokenizer, one run of each. All runs of a block are
+    merged in one call, by the vocabulary's merges as ranks, with a private character as the end of a word; any other word goes through
+    the tokenizer itself.
     """
 
     def __init__(self, tokenizer: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(tokenizer)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known, self.chars = {"": b""}, 0
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids, unsigned little-endian 32-bit numbers."""
-        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self._forget()
-        split = [t.split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        for word, found in zip(new, self.encoder.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
-            self.chars += len(word)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-
-def blocks_of(column: pa.Array, chars: int) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) stretches of a string column, of about so many characters or one longer text; null: empty."""
-    first, held, size = 0, [], 0
-    for i, value in enumerate(column):
-        text = value.as_py() or ""
-        if held and size + len(text) > chars:
-            yield first, held
-            first, held, size = i, [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield first, held
+        model = json.loads(tokenizer)["model"]
+        shown = byte_symbols()
+        of_symbol, vocab, suffix, mark = {c: bytes([b]) for b, c in shown.items()}, model["vocab"], model["end_of_word_suffix"], WORD_END.encode()
+
+        def spelt(token: str) -> bytes:
+            ends = token.endswith(suffix)
+            return b"".join(of_symbol[c] for c in (token[:-len(suffix)] if ends else token)) + mark * ends
+
+        steps = [bytes([b]) for b in range(256)] + [mark[:2], mark] + [bytes([b]) + mark for b in range(256)]
+        steps += [spelt(a) + spelt(b) for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        ranks: dict[bytes, int] = {}
+        for step in steps:
+            ranks.setdefault(step, len(ranks))
+        self.merger = tiktoken.Encoding("runs", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens={})
+        self.id_of, self.ends = np.zeros(len(ranks), dtype="<u4"), np.zeros(len(ranks), dtype=bool)
+        for token, i in vocab.items():
+            if set(token.removesuffix(suffix)) <= of_symbol.keys() and (rank := ranks.get(spelt(token))) is not None:
+                self.id_of[rank], self.ends[rank] = i, token.endswith(suffix)
+
+    def _runs(self, column: pa.Array) -> Ragged:
+        """Ids of runs of lower-case letters or of stops, each merged once; an empty one has none."""
+        coded = column.dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        full = np.array([bool(r) for r in runs], dtype=bool)
+        found = np.array(self.merger.encode_ordinary("".join(r + WORD_END for r in runs if r)), dtype=np.int64)
+        sizes = np.zeros(len(runs), dtype=np.int64)
+        sizes[full] = np.diff(np.flatnonzero(self.ends[found]), prepend=-1)
+        return Ragged(self.id_of[found], sizes).take(coded.indices.to_numpy())
+
+    def of(self, texts: pa.Array) -> Ragged:
+        """Per text its ids; nulls are empty."""
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        parted = pc.extract_regex(words, PLAIN_WORD)
+        plain = parted.is_valid().to_numpy(zero_copy_only=False)
+        letters, stops = (pc.fill_null(parted.field(k), "") for k in ("letters", "stops"))
+        made = Ragged.joined(self._runs(pc.utf8_lower(letters)), self._runs(stops))
+        odd = words.filter(pa.array(~plain)).to_pylist()
+        other = Ragged.of([e.ids for e in self.encoder.encode_batch_fast(odd, add_special_tokens=False)])
+        row = np.arange(len(words))
+        row[~plain] = len(words) + np.arange(len(odd))
+        every = Ragged(np.concatenate([made.flat, other.flat]), np.concatenate([made.sizes, other.sizes])).take(row)
+        whole = every.take(coded.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(whole.sizes)])
+        return Ragged(whole.flat, np.diff(ends[split.offsets.to_numpy() - split.offsets[0].as_py()]))
+
+
+def blocks_of(column: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) stretches of a string column, of about so many bytes or one longer text."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, side="right")))
+        yield low, column.slice(low, high - low)
+        low = high
 
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long, part long, slot long, ids binary"
@@ -167,14 +201,16 @@ def pieces(docs: DataFrame, tokenizer: str, *, size: int = SIZE, text: str = "te
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, part, slots = WordIds(sent.value), TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
-            for first, texts in blocks_of(batch.column(1), BLOCK_CHARS):
+            for first, texts in blocks_of(batch.column(1), BLOCK_BYTES):
                 rows, whole = [], words.of(texts)
-                for i, ids in enumerate(whole):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                        own = ids[at:at + 4 * size]
+                data, at = whole.flat.tobytes(), 0
+                for i, size_ in enumerate(whole.sizes.tolist()):
+                    ids = data[4 * at:4 * (at + size_)] + end
+                    at += size_
+                    for piece, low in enumerate(range(0, len(ids), 4 * size)):
+                        own = ids[low:low + 4 * size]
                         length = len(own) // 4
-                        rows.append((first + i, piece, at // 4, length, zlib.crc32(own), slots[length], own))
+                        rows.append((first + i, piece, low // 4, length, zlib.crc32(own), slots[length], own))
                         slots[length] += 1
                 row, piece, start, length, crc, slot, own = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
