@@ -9,11 +9,11 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from vicinage.llm import queries, token_alignment
+from vicinage.llm import common, queries, token_alignment
 
 SMALL = "/root/testdata/sf0.001"
 A, B = queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("piece_bpe_32k.model")
-BACK = {c: b for c, b in token_alignment._byte_of().items()}
+BACK = {c: b for b, c in common.byte_symbols().items()}
 
 
 def brute_groups(texts):
@@ -75,11 +75,10 @@ ODD = [None, "", " ", "  ", "a", "a ", " a", "a  b", "a\n b", "a \n b ", "tab\t\
 
 
 @pytest.mark.parametrize("unit", [4, 1 << 16])
-def test_alignment_odd_rows(docs_of, monkeypatch, unit):
-    words = token_alignment.Words(open(A, encoding="utf-8").read(), open(B, "rb").read())
+def test_alignment_odd_rows(monkeypatch, unit):
+    words = token_alignment.Encoders(open(A, encoding="utf-8").read(), open(B, "rb").read())
     tables = [np.array([f"{i}{end}" for i in range(len(s)) for end in ",|;"], dtype=object) for s in (words.a_bytes, words.b_bytes)]
-    monkeypatch.setattr(token_alignment, "UNIT_WORDS", unit)
-    monkeypatch.setattr(token_alignment, "CACHE_WORDS", 50)
+    monkeypatch.setattr(token_alignment, "UNIT_CHARS", unit)
     monkeypatch.setattr(token_alignment, "PRODUCT", 100)
     for text, groups in zip(ODD, brute_groups(ODD)):
         row = token_alignment._aligned(words, [text or ""], tables, True)[0]
@@ -110,5 +109,4 @@ def test_overlaps_are_all_shared_bytes():
             frames.append(pd.DataFrame({"unit": np.searchsorted(np.cumsum(sizes), ends), "start": np.append(0, ends[:-1]), "end": ends, "at": np.arange(len(ends))}))
         a, b = frames
         want = [(i, j) for i in range(len(a)) for j in range(len(b)) if max(a.start[i], b.start[j]) < min(a.end[i], b.end[j])]
-        found = token_alignment.overlaps(a, b)
-        assert list(zip(found["a"], found["b"])) == want
+        assert list(zip(*(x.tolist() for x in token_alignment.overlaps(a, b)))) == want

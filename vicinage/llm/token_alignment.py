@@ -9,148 +9,150 @@ documents hold it, so neither a frequent pair nor a repeated document weighs on
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinage.llm.common import Ragged, byte_symbols
 from vicinage.session import cut, fresh_path
 
-BLOCK_CHARS = 1 << 19         # characters of text aligned at a time
-UNIT_WORDS = 1 << 16          # words of one document aligned at a time; longer ones go by stretches
+BLOCK_CHARS = 1 << 21         # characters of text aligned at a time
+UNIT_CHARS = 1 << 19          # characters of one document aligned at a time; longer ones go by stretches
 CHUNK_CHARS = 1 << 24         # characters of the documents that ask for counts together
-CACHE_WORDS = 1 << 18         # words whose tokens a task remembers
-CACHE_CHARS = 1 << 24         # characters of those words
 PRODUCT = 1 << 22             # pairs of ids spread out at a time
 _B_BITS = 24                  # of a pair's number, the second id
+_CUT = re.compile(r"(?<=\S) (?! *\Z)")
 _PARTED = re.compile(r"(?<=\S)(?= )(?! +\Z)")
 _UNEVEN = re.compile(r"\s |\s\Z")
 
 
-def _byte_of() -> dict[str, int]:
-    """The printable stand-in for each byte in a byte-level vocabulary: printable Latin-1 is itself, the rest follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class Ragged:
-    """Rows of numbers of unequal lengths that grow at the end."""
-
-    def __init__(self):
-        self.flat, self.ends, self.rows, self.used = np.zeros(1024, dtype=np.int64), np.zeros(1025, dtype=np.int64), 0, 0
-
-    def extend(self, rows: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        flat = np.fromiter((x for row in rows for x in row), dtype=np.int64, count=int(sizes.sum()))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.rows + len(rows) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used:self.used + len(flat)] = flat
-        self.ends[self.rows + 1:self.rows + len(rows) + 1] = self.used + np.cumsum(sizes)
-        self.rows, self.used = self.rows + len(rows), self.used + len(flat)
-
-    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of these rows one after the other, and how many each has."""
-        begin, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
-        shift = np.repeat(begin - (np.cumsum(size) - size), size)
-        return self.flat[shift + np.arange(len(shift))], size
-
-
-class Words:
-    """Tokens of both sides by word. A word is what follows a space, and is encoded with it.
-
-    Exact where a space follows another character than white space: neither a byte-level pattern nor a piece of the second
-    vocabulary reaches over such a place.
-    """
+class Encoders:
+    """Both tokenizers, with the bytes of each token."""
 
     def __init__(self, byte_level: str, pieces: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_str(byte_level)
-        self.a.encode_special_tokens = True
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        # a byte-level vocabulary lists its tokens in the order of their merges, so the ids are the ranks
+        told, back = json.loads(byte_level), {c: b for b, c in byte_symbols().items()}
+        special = {t["content"] for t in told["added_tokens"]}
+        ranks = {bytes(back[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        back = _byte_of()
-        self.a_bytes = [bytes(back[c] for c in self.a.id_to_token(i)) if set(self.a.id_to_token(i)) <= back.keys() else self.a.id_to_token(i).encode()
-                        for i in range(self.a.get_vocab_size())]
+        spelt = {i: t for t, i in ranks.items()}
+        self.a_bytes = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-        self.a_size, self.b_size = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (self.a_bytes, self.b_bytes))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known, self.chars, self.ids, self.same = {}, 0, (Ragged(), Ragged()), np.zeros(0, dtype=bool)
-
-    def numbers(self, documents: list[list[str]]) -> list[np.ndarray]:
-        """Per document the numbers of its words, valid until the next call."""
-        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self._forget()
-        new = list(set().union(*documents) - self.known.keys())
-        if new:
-            a = [e.ids for e in self.a.encode_batch([" " + w for w in new], add_special_tokens=False)]
-            b = self.b.encode(new, num_threads=1)
-            whole = [(" " + w).encode() for w in new]
-            same = [b"".join(map(self.a_bytes.__getitem__, x)) == t == b"".join(map(self.b_bytes.__getitem__, y)) for t, x, y in zip(whole, a, b)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.chars += sum(map(len, new))
-            for ragged, rows in zip(self.ids, (a, b)):
-                ragged.extend(rows)
-            self.same = np.concatenate([self.same, same])
-        return [np.fromiter(map(self.known.__getitem__, d), dtype=np.int64, count=len(d)) for d in documents]
+        self.sizes = [np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (self.a_bytes, self.b_bytes)]
+
+    def tokens(self, units: list[str]) -> tuple[list[Ragged], np.ndarray]:
+        """Per unit the ids of both sides, and whether both give back its bytes. Each different word is encoded once.
+
+        A word is what follows a space, see `split`; it is encoded as it would be there.
+        """
+        even = not any(map(_UNEVEN.search, (" " + u for u in units)))
+        if even:
+            parted = pc.split_pattern(pa.array(units, type=pa.large_string()), " ")
+            counts, flat = np.diff(parted.offsets.to_numpy()), parted.flatten()
+        else:
+            lists = [split(u) for u in units]
+            counts, flat = np.fromiter(map(len, lists), dtype=np.int64, count=len(units)), pa.array(list(chain.from_iterable(lists)), type=pa.large_string())
+        coded = flat.dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        b = self.b.encode(words, num_threads=1)
+        sizes = pc.binary_length(coded.dictionary).to_numpy() + 1
+        sides = []
+        for each in (self._a_of(words, sizes, even), Ragged.of(b)):
+            taken = each.take(codes)
+            sides.append(Ragged(taken.flat.astype(np.int64), np.add.reduceat(taken.sizes, np.cumsum(counts) - counts)))
+        if (" " + " ".join(words)).encode() == b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(b))):
+            return sides, np.ones(len(units), dtype=bool)
+        same = np.array([(" " + w).encode() == b"".join(map(self.b_bytes.__getitem__, x)) for w, x in zip(words, b)])
+        return sides, np.logical_and.reduceat(same[codes], np.cumsum(counts) - counts)
+
+    def _a_of(self, words: list[str], sizes: np.ndarray, even: bool) -> Ragged:
+        """Ids of each word with its space, `sizes` bytes; the byte-level side gives back whatever it gets.
+
+        Words that end in other than white space are encoded in one text and told apart by their bytes.
+        """
+        plain = np.ones(len(words), dtype=bool) if even else np.array([bool(w) and not w[-1].isspace() for w in words])
+        joined = words if even else [w for w, p in zip(words, plain) if p]
+        ids = np.array(self.a.encode_ordinary(" " + " ".join(joined)) if joined else [], dtype=np.int64)
+        at = np.searchsorted(np.cumsum(self.sizes[0][ids]), np.cumsum(sizes[plain])) + 1
+        rest = Ragged.of([self.a.encode_ordinary(" " + w) for w, p in zip(words, plain) if not p])
+        row = np.where(plain, np.cumsum(plain) - 1, len(joined) + np.cumsum(~plain) - 1)
+        return Ragged(np.concatenate([ids, rest.flat.astype(np.int64)]), np.concatenate([np.diff(at, prepend=0), rest.sizes])).take(row)
 
 
 def split(text: str) -> list[str]:
-    """The words of a text: joined by spaces, they are the text."""
+    """The words of a text: joined by spaces, they are the text. None ends in white space but the last, and none is empty if the text is not.
+
+    At a space behind another character than white space both sides cut: neither a byte-level pattern nor a piece of the
+    second vocabulary reaches over such a place.
+    """
     spaced = " " + text
     return text.split(" ") if not _UNEVEN.search(spaced) else [w[1:] for w in _PARTED.split(spaced)]
 
 
+def stretches(text: str, size: int) -> list[str]:
+    """A text in stretches of about `size` characters, which spaces join.
+
+    Each is encoded as the text would be there: cuts are made where `split` makes them.
+    """
+    out, low = [], 0
+    while len(text) - low > size:
+        cut_at = _CUT.search(text, low + size - 1)
+        if cut_at is None:
+            break
+        out.append(text[low:cut_at.start()])
+        low = cut_at.end()
+    return [*out, text[low:]]
+
+
 def _tokens(ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray) -> pd.DataFrame:
     end = np.cumsum(sizes[ids])
     return pd.DataFrame({"unit": unit, "start": end - sizes[ids], "end": end, "id": ids, "at": np.arange(len(ids))})
 
 
-def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """(a, b, a_end, b_end): all pairs of tokens of the two sides that share bytes, once, in order of their places.
+def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(places in a, places in b) of all pairs of tokens of the two sides that share bytes, once, in order.
 
-    Both frames hold (unit, start, end, at), the units laid end to end and both sides covering the same bytes.
+    Both frames hold (unit, start), the units laid end to end and both sides covering the same bytes: the token that covers
+    a start is the last of its unit to begin there or before.
     """
-    under = pd.merge_asof(a[["unit", "start", "end", "at"]], b[["unit", "start", "end", "at"]], on="start", by="unit", suffixes=("_a", "_b"))
-    over = pd.merge_asof(b[["unit", "start", "end", "at"]], a[["unit", "start", "end", "at"]], on="start", by="unit", suffixes=("_b", "_a"))
-    both = np.concatenate([f[["at_a", "at_b", "end_a", "end_b"]].to_numpy(dtype=np.int64) for f in (under, over)])
-    both = both[np.argsort(both[:, 0] * (len(b) + 1) + both[:, 1], kind="stable")]
-    if len(both):
-        both = both[np.concatenate([[True], (both[1:, :2] != both[:-1, :2]).any(axis=1)])]
-    return pd.DataFrame(both, columns=["a", "b", "a_end", "b_end"])
+    under = pd.merge_asof(a[["unit", "start"]], b[["unit", "start", "at"]], on="start", by="unit")["at"].to_numpy(dtype=np.int64)
+    over = pd.merge_asof(b[["unit", "start"]], a[["unit", "start", "at"]], on="start", by="unit")["at"].to_numpy(dtype=np.int64)
+    n = len(b) + 1
+    both = np.concatenate([np.arange(len(a)) * n + under, over * n + np.arange(len(b))])
+    both.sort(kind="stable")                         # two sorted runs
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return both // n, both % n
 
 
 class Batch:
     """Groups of a batch of units; every unit's last tokens end together, so no group spans two."""
 
-    def __init__(self, words: Words, numbers: list[np.ndarray]):
-        flat = np.concatenate(numbers)
-        unit = np.repeat(np.arange(len(numbers)), [len(n) for n in numbers])
-        sides = []
-        for ragged, sizes in zip(words.ids, (words.a_size, words.b_size)):
-            ids, each = ragged.gather(flat)
-            sides.append(_tokens(ids, sizes, np.repeat(unit, each)))
-        self.a, self.b = sides
-        pairs = overlaps(self.a, self.b)
-        closing = pairs[pairs["a_end"] == pairs["b_end"]]
+    def __init__(self, sizes: list[np.ndarray], tokens: list[Ragged]):
+        self.a, self.b = (_tokens(t.flat, size, np.repeat(np.arange(len(t.sizes)), t.sizes)) for size, t in zip(sizes, tokens))
+        left, right = overlaps(self.a, self.b)
+        closing = self.a["end"].to_numpy()[left] == self.b["end"].to_numpy()[right]
         # tokens of each side up to and with every group's last
-        self.a_ends, self.b_ends = closing["a"].to_numpy() + 1, closing["b"].to_numpy() + 1
-        self.a_group = np.repeat(np.arange(len(closing)), np.diff(self.a_ends, prepend=0))
-        self.b_group = np.repeat(np.arange(len(closing)), np.diff(self.b_ends, prepend=0))
-        self.unit = self.a["unit"].to_numpy()[closing["a"].to_numpy()]
+        self.a_ends, self.b_ends = left[closing] + 1, right[closing] + 1
+        self.a_group = np.repeat(np.arange(len(self.a_ends)), np.diff(self.a_ends, prepend=0))
+        self.b_group = np.repeat(np.arange(len(self.b_ends)), np.diff(self.b_ends, prepend=0))
+        self.unit = self.a["unit"].to_numpy()[self.a_ends - 1]
 
     def spelt(self, a_words: list[str], b_words: list[str], units: int) -> list[str]:
         """Per unit its groups `a1,a2|b1;a3|b2`; the tables hold each id's number followed by `,` `|` `;` in turn."""
@@ -238,8 +240,8 @@ def align(docs: DataFrame, byte_level: str, pieces: str, *, groups: bool = True,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = Words(*sent.value)
-        tables = [np.array([f"{i}{end}" for i in range(len(side)) for end in ",|;"], dtype=object) for side in (words.a_bytes, words.b_bytes)]
+        encoders = Encoders(*sent.value)
+        tables = [np.array([f"{i}{end}" for i in range(len(side)) for end in ",|;"], dtype=object) for side in (encoders.a_bytes, encoders.b_bytes)]
         part, chars = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             texts = batch.column(1)
@@ -250,7 +252,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, *, groups: bool = True,
                     held.append(texts[high].as_py() or "")
                     size += len(held[-1])
                     high += 1
-                rows = _aligned(words, held, tables, groups)
+                rows = _aligned(encoders, held, tables, groups)
                 kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(held), type=pa.int64()), batch.column(0).slice(low, high - low),
@@ -263,23 +265,24 @@ def align(docs: DataFrame, byte_level: str, pieces: str, *, groups: bool = True,
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, _ALIGNED)
 
 
-def _aligned(words: Words, texts: list[str], tables: list[np.ndarray], keep: bool) -> list[tuple]:
-    """The rows of some documents; long ones by stretches of words, which end where both sides' tokens do."""
+def _aligned(encoders: Encoders, texts: list[str], tables: list[np.ndarray], keep: bool) -> list[tuple]:
+    """The rows of some documents; long ones by stretches, which end where both sides' tokens do."""
     found = [_Document() for _ in texts]
-    queue = [(d, w[i:i + UNIT_WORDS]) for d, w in ((d, split(t)) for d, t in enumerate(texts) if t) for i in range(0, len(w), UNIT_WORDS)]
+    queue = [(d, part) for d, t in enumerate(texts) if t for part in stretches(t, UNIT_CHARS)]
     while queue:
         size = now = 0
-        while now < len(queue) and (not now or size < 2 * UNIT_WORDS):
+        while now < len(queue) and (not now or size < BLOCK_CHARS):
             size += len(queue[now][1])
             now += 1
         units, queue = queue[:now], queue[now:]
-        numbers = words.numbers([w for _, w in units])
-        for (d, _), n in zip(units, numbers):
-            found[d].same &= bool(words.same[n].all())
-        kept = [(d, n) for (d, _), n in zip(units, numbers) if found[d].same]
-        if not kept:
+        sides, same = encoders.tokens([part for _, part in units])
+        for (d, _), ok in zip(units, same):
+            found[d].same &= bool(ok)
+        rows = np.array([i for i, (d, _) in enumerate(units) if found[d].same], dtype=np.int64)
+        if not len(rows):
             continue
-        made = Batch(words, [n for _, n in kept])
+        kept = [units[i] for i in rows]
+        made = Batch(encoders.sizes, [side.take(rows) for side in sides])
         spelt = made.spelt(*tables, len(kept))
         unit, pair, n = made.links()
         edges = np.searchsorted(unit, np.arange(len(kept) + 1))
