@@ -6,11 +6,14 @@ also how late a ping may be.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from threading import Event
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from ..config.profiles import REQUEST_LIMITS
 from ..functions.text import hash_client
+from ..operators.ranking import first_per
 
 LATENESS = "1 hour"
 
@@ -79,14 +82,63 @@ def over_limit(requests: DataFrame, limits: list[tuple[str, int]] = REQUEST_LIMI
     return out
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows a query has dropped for being later than the watermark."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0))
-               for progress in query.recentProgress for op in progress["stateOperators"])
+class ProgressLog(StreamingQueryListener):
+    """A table of what every batch reports, for queries of any length: a query itself remembers its last hundred only.
 
+    Rows (query_id, run_id, batch_id, at, rows, late) are held until there are `every` of them or a query ends, and then
+    written below `path`, so a listener holds a bounded number whatever the stream. A batch that is replayed reports again;
+    `late_rows` counts its last report.
+    """
 
-def run_to_end(writer: DataStreamWriter) -> StreamingQuery:
-    """Process everything there is, in as many micro-batches as the source gives, then stop."""
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+    SCHEMA = "query_id string, run_id string, batch_id long, at string, rows long, late long"
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 1000):
+        self.spark, self.path, self.every = spark, path, every
+        self.held: list[tuple] = []
+        self.ended: dict[str, Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), Event())
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(int(op.numRowsDroppedByWatermark) for op in p.stateOperators)
+        self.held.append((str(p.id), str(p.runId), int(p.batchId), str(p.timestamp), int(p.numInputRows), late))
+        if len(self.held) >= self.every:
+            self.flush()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.flush()
+        self.ended.setdefault(str(event.runId), Event()).set()
+
+    def flush(self) -> None:
+        rows, self.held = self.held, []
+        if rows:
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+
+def late_rows(progress: DataFrame) -> DataFrame:
+    """(query_id, batches, rows, late): what each query has read, and dropped for being later than the watermark."""
+    last = first_per(progress, ["query_id", "batch_id"], [F.col("at").desc(), F.col("late").desc()])
+    return last.groupBy("query_id").agg(F.count("*").alias("batches"), F.sum("rows").alias("rows"), F.sum("late").alias("late"))
+
+
+def run_to_end(writer: DataStreamWriter, log: ProgressLog | None = None) -> StreamingQuery:
+    """Process everything there is, in as many micro-batches as the source gives, then stop; with `log`, what it reports is written."""
+    if log is not None:
+        log.spark.streams.addListener(log)
+    try:
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        if log is not None and not log.ended.setdefault(str(query.runId), Event()).wait(60):
+            raise RuntimeError("the end of the query was not reported")
+    finally:
+        if log is not None:
+            log.spark.streams.removeListener(log)
     return query
