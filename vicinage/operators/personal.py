@@ -7,9 +7,11 @@ listing: the number of signatures is set by the option tables and does not grow
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import profiles as P
 from ..config.regions import NEIGHBOURS
@@ -19,6 +21,7 @@ from .ranking import first_per
 
 ANSWERS = ["persona", "interests", "child_age_groups", "preferred_cantons", "near_cantons", "budget"]
 TRAITS = ["canton", "interest_hits", "age_hits", "price_step"]
+FIRST_LOOK = 64               # rows a set of answers looks at first
 PRICE_STEPS = [-1.0, 0.0, 15.0, 30.0, 1e9]
 
 
@@ -61,20 +64,12 @@ def listing_traits() -> dict[str, Column]:
     return {"interest_hits": interests, "age_hits": ages, "price_step": step.when(price.isNotNull(), F.lit(PRICE_STEPS[-1]))}
 
 
-def listing_signatures(listings: DataFrame, order: Column, keep: int = 0) -> tuple[DataFrame, DataFrame | None]:
-    """(signatures with a short id and counts, the first `keep` listings of each in list order).
-
-    The distinct signatures are written once: ids must not change between their uses, and everything
-    after this point works on them alone.
-    """
-    traits = listings.withColumns(listing_traits()).withColumn("_traits", F.to_json(F.struct(*TRAITS)))
-    counts = cut(traits.groupBy("_traits", *TRAITS).agg(F.count("*").alias("n"))
-                 .withColumn("signature", F.monotonically_increasing_id()))
-    best = None
-    if keep:
-        first = first_per(traits.select("_traits", "id", order.alias("place")), ["_traits"], ["place"], keep)
-        best = first.join(counts.select("_traits", "signature"), "_traits").drop("_traits")
-    return counts.drop("_traits"), best
+def listing_signatures(listings: DataFrame, order: Column | None = None) -> DataFrame:
+    """(signature, traits, n, place): the distinct signatures with a number that follows from the traits, how many listings
+    have each, and the first place of one in list order. Everything that scores works on these alone."""
+    place = F.min(order) if order is not None else F.lit(None)
+    return listings.withColumns(listing_traits()).groupBy(*TRAITS).agg(F.count("*").alias("n"), place.alias("place")) \
+        .withColumn("signature", F.xxhash64(*TRAITS))
 
 
 def answer_sets(profiles: DataFrame) -> DataFrame:
@@ -137,7 +132,7 @@ def score_signatures(sets: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def score_profiles(profiles: DataFrame, listings: DataFrame) -> DataFrame:
     """Per user: how many listings match (score above zero), the best score and the sum."""
-    counts, _ = listing_signatures(listings, F.col("id"))
+    counts = cut(listing_signatures(listings))
     sets = answer_sets(profiles)
     scored = score_signatures(sets, counts).join(counts.select("signature", "n"), "signature")
     per = scored.groupBy("answers").agg(
@@ -165,17 +160,111 @@ def for_you(scored: DataFrame, key: list, order: list, slots: int = P.SLOTS, hom
         .drop("_home", "_group_rank", "_reserved")
 
 
-def for_you_all(profiles: DataFrame, listings: DataFrame, order: Column) -> DataFrame:
+def _candidates(scored: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each set of answers by score, then place: (answers, score, place, id, canton, home, words, ...).
+
+    They lie in the first k signatures by score and first place, and of those only where fewer than k rows score better.
+    """
+    near = first_per(scored, ["answers"], [F.col("score").desc(), "place"], k)
+    same = F.sum("n").over(Window.partitionBy("answers", "score"))
+    upto = F.sum("n").over(Window.partitionBy("answers").orderBy(F.col("score").desc()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    wanted = near.withColumn("_better", upto - same).filter(F.col("_better") < k).drop("_better", "place", "n")
+    inside = rows.join(wanted.select("signature").distinct(), "signature", "left_semi")
+    first = first_per(inside, ["signature"], ["place"], k)
+    return first_per(wanted.join(first, "signature"), ["answers"], [F.col("score").desc(), "place"], k)
+
+
+class _Picks:
+    """One set of answers: rows in order, those left whose titles share no word with a kept one, and what the quotas take."""
+
+    def __init__(self, slots: int, home_slots: int, per_canton: int):
+        self.slots, self.home_slots, self.per_canton = slots, home_slots, per_canton
+        self.words, self.kept, self.cantons, self.read, self.home_read = set(), [], {}, 0, 0
+
+    def add(self, row: tuple) -> None:
+        id_, canton, home, score, words = row
+        self.read, self.home_read = self.read + 1, self.home_read + home
+        if not self.words.isdisjoint(words):
+            return
+        self.words.update(words)
+        if self.cantons.get(canton, 0) < self.per_canton:
+            self.cantons[canton] = self.cantons.get(canton, 0) + 1
+            self.kept.append((id_, canton, home, score))
+
+    def picks(self) -> list[tuple]:
+        """Home rows up to their reserve, then the rest by place."""
+        home = [r for r in self.kept if r[2]][:self.home_slots]
+        return (home + [r for r in self.kept if r not in home])[:self.slots]
+
+    def settled(self, rows: int, home_rows: int, cantons: int) -> bool:
+        """Whether rows still to come could change nothing."""
+        full = sum(n >= self.per_canton for n in self.cantons.values())
+        reserve = min(self.home_slots, sum(r[2] for r in self.kept)) if self.home_read == home_rows else self.home_slots
+        enough = sum(r[2] for r in self.kept) >= reserve and len(self.kept) >= self.slots
+        return self.read == rows or full == cantons or enough
+
+
+def _picked(rows: DataFrame, slots: int, home_slots: int, per_canton: int) -> DataFrame:
+    """(answers, slot, id, canton, score, settled); a row without slot tells if a set of answers is settled."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answers, state, bounds = None, None, None
+
+        def told() -> list[tuple]:
+            done = state.settled(*bounds)
+            out = [(answers, i + 1, r[0], r[1], r[3], done) for i, r in enumerate(state.picks())] if done else []
+            return [*out, (answers, None, None, None, None, done)]
+
+        for batch in batches:
+            out = []
+            for a, id_, canton, home, score, words, *limits in batch.itertuples(index=False, name=None):
+                if a != answers:
+                    if state is not None:
+                        out += told()
+                    answers, state, bounds = a, _Picks(slots, home_slots, per_canton), limits
+                state.add((id_, canton, bool(home), score, list(words)))
+            yield made(out)
+        if state is not None:
+            yield made(told())
+
+    def made(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["answers", "slot", "id", "canton", "score", "settled"])
+        return frame.astype({"slot": "Int32"})
+
+    ordered = rows.repartition("answers").sortWithinPartitions("answers", F.col("score").desc(), "place")
+    return ordered.select("answers", "id", "canton", "home", "score", "words", "rows", "home_rows", "cantons").mapInPandas(
+        run, f"answers long, slot int, id {kinds['id']}, canton {kinds['canton']}, score double, settled boolean")
+
+
+def for_you_all(profiles: DataFrame, listings: DataFrame, order: Column, title: Column | None = None, slots: int = P.SLOTS,
+                home_slots: int = P.HOME_SLOTS, per_canton: int = P.PER_CANTON, first: int = FIRST_LOOK) -> DataFrame:
     """(user_id, slot, id, canton, score) for all users at once.
 
-    Listings of one signature score alike for everyone and share a canton, so only the first
-    `PER_CANTON` of each signature can ever be picked. Picks are made per set of answers and then
-    handed to its users.
+    Listings are walked by score, then `order`; one whose `title` shares a significant word with a kept one falls out, and
+    the quotas choose among those kept. Picks are made per set of answers and then handed to its users. A set of answers
+    sees its first rows only: `first` of them, and eight times as many where they left slots open and more could fill them.
     """
-    counts, best = listing_signatures(listings, order, P.PER_CANTON)
+    words = match.title_words(title) if title is not None else F.array().cast("array<string>")
+    traits = listings.withColumns({**listing_traits(), "place": order, "words": words}) \
+        .select(F.xxhash64(*TRAITS).alias("signature"), "id", "place", "words")
+    counts = cut(listing_signatures(listings, order))
     sets = answer_sets(profiles)
-    scored = score_signatures(sets, counts).join(counts.select("signature", "canton"), "signature")
-    picks = for_you(scored.join(best, "signature"), ["answers"], ["place"])
+    scored = score_signatures(sets, counts).join(counts.select("signature", "canton", "n", "place"), "signature")
+    each = Window.partitionBy("answers")
+    scored = cut(scored.withColumns({
+        "rows": F.sum("n").over(each), "home_rows": F.sum(F.when(F.col("home"), F.col("n")).otherwise(0)).over(each),
+        "cantons": F.size(F.collect_set(F.coalesce("canton", F.lit(""))).over(each))}))
+    found, k = [], first
+    while True:
+        told = cut(_picked(_candidates(scored, traits, k), slots, home_slots, per_canton))
+        found.append(told.filter(F.col("slot").isNotNull()))
+        if told.filter(~F.col("settled")).isEmpty():
+            break
+        scored = scored.join(told.filter(~F.col("settled")).select("answers").distinct(), "answers", "left_semi")
+        k *= 8
+    picks = reduce(lambda a, b: a.unionByName(b), found).drop("settled")
     users = profiles.select("user_id", answers_key().alias("_key")).join(sets.select("_key", "answers"), "_key")
     return users.join(picks, "answers").select("user_id", "slot", "id", "canton", "score")
 

@@ -73,14 +73,21 @@ def score_all(t):
     return ops.score_profiles(profiles(t), t.listings).select("user_id", "matches", "best", F.round("total", 3).alias("total"))
 
 
+# Titles of one significant word each, shared across signatures, or of none: the greedy collapse keeps the first of each word.
+WORD = "CASE WHEN id % 7 <> 0 THEN concat('thema', CAST(id * 7919 % 211 AS VARCHAR(9))) END"
+
+
 @check("w05_for_you", f"""
-WITH {SCORES}, capped AS (SELECT * FROM scores WHERE score > 0
-    QUALIFY row_number() OVER (PARTITION BY {ANSWERS}, canton ORDER BY score DESC, id) <= 4),
+WITH {SCORES}, kept AS (SELECT * FROM (SELECT *, {WORD} AS word FROM scores WHERE score > 0)
+    QUALIFY word IS NULL OR row_number() OVER (PARTITION BY {ANSWERS}, word ORDER BY score DESC, id) = 1),
+capped AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY {ANSWERS}, canton ORDER BY score DESC, id) <= 4),
 held AS (SELECT *, canton = preferred_canton AND row_number() OVER (PARTITION BY {ANSWERS}, canton = preferred_canton ORDER BY score DESC, id) <= 2 AS home FROM capped),
 picks AS (SELECT *, row_number() OVER (PARTITION BY {ANSWERS} ORDER BY home DESC, score DESC, id) AS slot FROM held QUALIFY slot <= 8)
 SELECT user_id, slot, CAST(id AS VARCHAR) AS id, score FROM profiles_v JOIN picks USING ({ANSWERS})""")
 def for_you(t):
-    picks = ops.for_you_all(profiles(t), t.listings, F.col("key"))
+    word = F.when(F.col("key") % 7 != 0, F.concat(F.lit("Thema"), (F.col("key") * 7919 % 211).cast("string")))
+    title = F.concat_ws(" ", F.lit("Les Spectacle -"), word)
+    picks = ops.for_you_all(profiles(t), t.listings, F.col("key"), title)
     return picks.select("user_id", F.col("slot").cast("bigint").alias("slot"), "id", "score")
 
 
