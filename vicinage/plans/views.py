@@ -97,8 +97,9 @@ def with_views(sql: str) -> str:
     if not used:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in NAMES})})" for n in used)
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
     return f"WITH {ctes}\n{body}"
 
 
