@@ -152,6 +152,63 @@ def test_decontamination_ignores_corpus_size():
         assert [h[0] for h in index.hits(long)] == [3] and index.hits("") == index.hits(None) == []
 
 
+@pytest.fixture(scope="module")
+def shard(spark):
+    """The real benchmark's index, its items, and clean hosts."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    indexes = [i for some in decontaminate._models(docs, bench, "item_id", "text") for i in some]
+    assert len(indexes) == 1
+    hosts = [w for r in docs.collect() for w in [decontaminate.words(r.text or "")] if len(w) > 150]
+    return indexes[0], [(r.item_id, r.text) for r in bench.collect()], hosts
+
+
+def planted_copies(index, hosts, level, n=120):
+    """(item's place, words of a host that holds it) with a share of its words replaced, or its clauses in another order."""
+    rng = random.Random(level)
+    for _ in range(n):
+        i = rng.randrange(len(index.words))
+        shown, host = list(index.words[i]), rng.choice(hosts)
+        if level == "clauses":
+            size = max(3, len(shown) // 3)
+            clauses = [shown[k:k + size] for k in range(0, len(shown), size)]
+            rng.shuffle(clauses)
+            shown = [w for c in clauses for w in c]
+        else:
+            for k in rng.sample(range(len(shown)), len(shown) * int(level) // 100):
+                shown[k] = rng.choice(host)
+        at = rng.randint(0, len(host))
+        yield i, host[max(0, at - 200):at] + shown + host[at:at + 200]
+
+
+@pytest.mark.parametrize("level", ["0", "20", "40", "clauses"])
+def test_latent_search_finds_copies(shard, level):
+    index, _, hosts = shard
+    found = [i in {c[0] for c in index.candidates(w)} for i, w in planted_copies(index, hosts, level)]
+    assert sum(found) >= (0.99 if level == "0" else 0.9) * len(found)
+
+
+def test_nothing_is_found_without_axes(shard):
+    index, items, hosts = shard
+    idf = {w: 1.0 for w in index.column}
+    blind = decontaminate.Index(items, idf, np.zeros((len(idf), 4)))
+    assert not any(blind.candidates(w) for _, w in planted_copies(index, hosts, "0", n=20))
+
+
+def test_latent_search_against_all_pairs(shard, monkeypatch):
+    """Every window of every passage judged, against the candidates only."""
+    index, items, hosts = shard
+    texts = [" ".join(w) for level in ("0", "20") for _, w in planted_copies(index, hosts, level, n=8)] + [" ".join(w[:200]) for w in hosts[:4]]
+    found = [set(h[:1] for h in index.hits(t)) for t in texts]
+    monkeypatch.setattr(decontaminate, "COSINE", -10.0)
+    for group in index.groups:
+        monkeypatch.setattr(group, "held", np.full_like(group.held, -np.inf))
+        monkeypatch.setattr(group, "least", -1.0)
+    every = [set(h[:1] for h in index.hits(t)) for t in texts]
+    assert all(f <= e for f, e in zip(found, every))
+    assert sum(map(len, found)) >= 0.9 * sum(map(len, every)) > 0
+
+
 def rng_matrix(rows, columns):
     return np.random.default_rng(1).standard_normal((rows, columns))
 

@@ -1,11 +1,9 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequence and answer checks.
 
-Every passage of an item is looked for in windows of twice its length. A copy that the checks can confirm shares a least
-share of the passage's words with a window, and with it a least weight: that of the passage's lightest words. Rounded
-weights are summed over all windows first, then words are counted. Where there are enough, the window is folded into the
-latent space of a distributed randomised SVD of all passages: its TF-IDF mass in common with a passage is at most their
-latent product plus the product of the parts outside the space. No test loses a copy, whatever the size of the corpus or
-the other items. Candidates are confirmed on the words themselves.
+A distributed randomised SVD of the benchmark's TF-IDF passages gives the axes of a latent space. Every document is folded
+into it, window by window, and a window whose cosine with a passage reaches COSINE is a candidate for the passage's
+item. Words outside the benchmark's vocabulary have no place in that space, so they dilute nothing. Candidates are
+confirmed on the words themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +21,32 @@ from pyspark.sql import functions as F
 
 from vicinage.llm.common import kept_rows
 
-RANK, OVERSAMPLE, POWER = 512, 16, 2  # a rank near a shard's passages keeps the part outside the space, and with it false candidates, small
+RANK, OVERSAMPLE, POWER = 128, 16, 2
+COSINE = 0.6                  # between a window and a passage, in the latent space
+HELD = 0.4                    # share of a passage's length in that space that a window must reach in its direction
 PART = 48                     # words of a benchmark passage at most; longer items have several of like length
-SIZES = tuple(range(8, PART + 1, 8))  # passages are searched by the next of these: windows of twice it, a quarter of the window apart
+SIZES = tuple(range(8, PART + 1, 8))  # passages are searched by the next of these: windows of one and a half times it, half of it apart
 LCS = 0.8                     # share of an item's words found in order
 PARAPHRASE, ANSWER = 0.6, 0.9  # a looser share, if the item's answer is there nearly word for word
-BLOCK = 128                   # windows compared at a time
-STEP = 4                      # words summed at once; divides the distance of windows
+COMMON, RARE = 0.1, 5         # words in more than that share of documents place nothing, but for passages of fewer rarer ones
 STRETCH = 1 << 14             # words of a document searched at a time
-PASSAGES = 1_000              # passages of a broadcast model, about
-SHARD = 400                 # items of a broadcast model; larger benchmarks take more rounds
+BLOCK = 1 << 12               # windows compared at a time
+PASSAGES = 1_000              # passages of a model, about
+SHARD = 400                   # items of a model; larger benchmarks have several
+TOGETHER = 8                  # models that one pass over the documents searches: what is broadcast at a time
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?]\s+|\n+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters and digits, lowered."""
+    out = []
+    for w in text.lower().split():
+        if w.isalnum():
+            out.append(w)
+        else:
+            out += _WORD.findall(w)
+    return out
 
 
 def parts(found: list[str]) -> list[list[str]]:
@@ -55,29 +64,36 @@ def answer_of(text: str) -> list[str]:
     return words(text)
 
 
+class Pattern:
+    """A sequence to be found: where each of its words stands, as bits."""
+
+    def __init__(self, sequence: list[str]):
+        self.size, self.where = len(sequence), {}
+        for i, w in enumerate(sequence):
+            self.where[w] = self.where.get(w, 0) | (1 << i)
+
+    def lcs(self, other: list[str]) -> int:
+        """Length of the longest common subsequence, with one machine integer of `size` bits per step."""
+        full = (1 << self.size) - 1
+        row, get = full, self.where.get
+        for w in other:
+            m = get(w)
+            if m is not None:
+                hit = row & m
+                row = ((row + hit) | (row - hit)) & full
+        return self.size - row.bit_count()
+
+
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, with one machine integer of len(a) bits per step."""
-    if not a or not b:
-        return 0
-    where: dict[str, int] = {}
-    for i, w in enumerate(a):
-        where[w] = where.get(w, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for w in b:
-        m = where.get(w)
-        if m is not None:
-            hit = row & m
-            row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def confirmed(item: list[str], answer: list[str], region: list[str]) -> tuple[float, bool] | None:
+    return Pattern(a).lcs(b)
+
+
+def confirmed(item: Pattern, answer: Pattern, region: list[str]) -> tuple[float, bool] | None:
     """(share of the item found in order, answer found), if that makes the region a copy or a paraphrase."""
-    share = lcs(item, region) / len(item)
+    share = item.lcs(region) / item.size
     if share < PARAPHRASE:
         return None
-    has_answer = lcs(answer, region) >= ANSWER * len(answer)
+    has_answer = answer.lcs(region) >= ANSWER * answer.size
     return (share, has_answer) if share >= LCS or has_answer else None
 
 
@@ -148,141 +164,149 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], idf: dict[str, float], axes: np.ndarray):
         self.column = {w: i for i, w in enumerate(idf)}
-        self.idf = np.array([*idf.values(), 0.0])                # the last one stands for all other words
-        self.axes = np.vstack([axes, np.zeros((1, axes.shape[1]))]).astype(np.float32)
+        weights = np.array([*idf.values()])
+        # what a word adds to its window's place
+        self.places = (weights[:, None] * axes).astype(np.float32)
+        self.mass = (weights ** 2).astype(np.float32)
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
-        self.answers = [answer_of(t) for _, t in items]
+        self.patterns = [(Pattern(w), Pattern(answer_of(t))) for w, (_, t) in zip(self.words, items)]
         held: dict[int, list[tuple[int, list[str]]]] = {}
         for i, w in enumerate(self.words):
             for p in parts(w):
                 held.setdefault(next(s for s in SIZES if len(p) <= s), []).append((i, p))
         self.groups = [Group(size, found, self) for size, found in sorted(held.items())]
-        self.marks = np.hstack([(g.counts > 0) * _rounded(self.idf)[:, None] for g in self.groups])
 
     def candidates(self, found: list[str]) -> set[tuple[int, int, int]]:
-        """(item, first word, end) of the windows that share enough of one of the item's passages.
+        """(item, first word, end) of the windows whose latent cosine with one of the item's passages reaches COSINE.
 
-        Every stretch of one and a half times a passage's length lies in one of its windows.
+        Every stretch of a passage's length lies in one of its windows.
         """
         get, other = self.column.get, len(self.column)
         out: set[tuple[int, int, int]] = set()
         for low in range(0, max(1, len(found) - 2 * PART), STRETCH):
-            cols = np.array([get(w, other) for w in found[low:low + STRETCH + 2 * PART]], dtype=np.int64)
+            some = found[low:low + STRETCH + 2 * PART]
+            cols = np.fromiter(map(get, some, repeat(other)), dtype=np.int64, count=len(some))
             out |= {(i, low + b, low + e) for i, b, e in self._stretch(cols)}
         return out
 
     def _stretch(self, cols: np.ndarray) -> set[tuple[int, int, int]]:
-        n, other, before, left = len(cols), len(self.column), None, 0
-        steps = np.append(cols, np.full(-n % STEP, other)).reshape(-1, STEP)
-        sums = np.zeros((len(steps) + 1, self.marks.shape[1]), dtype=np.uint16)
-        np.cumsum(sum(self.marks[steps[:, k]] for k in range(STEP)), axis=0, dtype=np.uint16, out=sums[1:])
+        n = len(cols)
+        placed = np.flatnonzero(cols != len(self.column))
+        if not len(placed):
+            return set()
+        upto = np.zeros(n + 1, dtype=np.int64)         # words with a place before each word
+        upto[placed + 1] = 1
+        np.cumsum(upto, out=upto)
+        mass = np.concatenate([[0.0], np.cumsum(self.mass[cols[placed]], dtype=float)])
+        sums = np.zeros((len(placed) + 1, self.places.shape[1]), dtype=np.float32)
+        np.cumsum(self.places[cols[placed]], axis=0, out=sums[1:])
         out: set[tuple[int, int, int]] = set()
         for group in self.groups:
-            window, mine = 2 * group.size, slice(left, left := left + len(group.need))
-            begin = np.arange(0, max(1, n - window + window // 4), window // 4)
-            low, high = begin // STEP, np.minimum((begin + window) // STEP, len(steps))
-            begin = begin[(sums[high, mine] - sums[low, mine] >= group.marked).any(axis=1)]
-            if len(begin) and before is None:
-                before = _previous(cols)
-            for k in range(0, len(begin), BLOCK):
-                out |= group.near(cols, before, begin[k:k + BLOCK], self)
+            window, apart = group.size * 3 // 2, group.size // 2
+            begin = np.arange(0, max(1, n - window + apart), apart)
+            low, high = upto[begin], upto[np.minimum(begin + window, n)]
+            some = np.flatnonzero(mass[high] - mass[low] >= group.least)
+            for k in range(0, len(some), BLOCK):
+                at = some[k:k + BLOCK]
+                window_at, passage = group.near(sums[high[at]] - sums[low[at]])
+                out |= {(i, b, min(b + window, n)) for i, b in zip(group.item_of[passage].tolist(), begin[at[window_at]].tolist())}
         return out
 
     def hits(self, text: str | None) -> list[tuple[int, float, bool]]:
-        """(item, share, answer found) of the items that a whole text holds, the best place of each."""
+        """(item, share, answer found) of the items that a whole text holds, the best place of each.
+
+        A candidate is judged with as many words before and after it as the item has, so one that begins within half of
+        that after another adds nothing.
+        """
         found = words(text or "")
         best: dict[int, tuple[float, bool]] = {}
+        judged = (-1, 0)
         for i, at, end in sorted(self.candidates(found)):
             size = len(self.words[i])
-            seen = confirmed(self.words[i], self.answers[i], found[max(0, at - size):end + size])
+            if i == judged[0] and at <= judged[1] + size // 2:
+                continue
+            judged = (i, at)
+            seen = confirmed(*self.patterns[i], found[max(0, at - size):end + size])
             if seen and seen > best.get(i, (0.0, False)):
                 best[i] = seen
         return [(self.ids[i], *s) for i, s in sorted(best.items())]
 
 
 class Group:
-    """The passages of like length: how often each has a word, how many words and what mass it must share."""
+    """The passages of like length, as directions in the latent space."""
 
     def __init__(self, size: int, found: list[tuple[int, list[str]]], index: Index):
         self.size, self.item_of = size, np.array([i for i, _ in found])
-        self.counts = np.zeros((len(index.idf), len(found)), dtype=np.uint8)
-        need, mass, marked, lat, rest = [], [], [], [], []
-        for k, (_, p) in enumerate(found):
-            cols, counts = np.unique([index.column[x] for x in p], return_counts=True)
-            self.counts[cols, k] = counts
-            vals = counts * index.idf[cols]
-            need.append(math.ceil(PARAPHRASE * len(p) - 1e-9))
-            mass.append(np.sort(np.repeat(index.idf[cols] ** 2, counts))[:need[-1]].sum())
-            marked.append(np.sort(np.repeat(_rounded(index.idf[cols]), counts))[:need[-1]].sum())
-            z = vals @ index.axes[cols]
-            lat.append(z)
-            rest.append(math.sqrt(max(0.0, float(vals @ vals - z @ z))))
-        self.need, self.mass, self.marked = np.array(need), np.array(mass), np.array(marked, dtype=np.uint16)
-        self.latent, self.rest = np.array(lat, dtype=np.float32), np.array(rest)
-        self.norm = np.sqrt((self.latent.astype(float) ** 2).sum(axis=1) + self.rest ** 2)
-
-    def near(self, cols, before, begin, index: Index) -> set[tuple[int, int, int]]:
-        """A word counts once per window, as often as the passage has it."""
-        n, other, window = len(cols), len(index.column), 2 * self.size
-        at = begin[:, None] + np.arange(window)
-        here = np.take(cols, at, mode="clip")
-        here[(at >= n) | (np.take(before, at, mode="clip") >= begin[:, None])] = other
-        enough = self.counts[here].sum(axis=1, dtype=np.uint8) >= self.need
-        row = np.flatnonzero(enough.any(axis=1))
-        if not len(row):
-            return set()
-        w, part = np.nonzero(enough[row])
-        weight = index.idf[here[row]].astype(np.float32)
-        z = np.matmul(weight[:, None, :], index.axes[here[row]])[:, 0, :]
-        size2 = (weight.astype(float) ** 2).sum(axis=1)
-        outside = np.sqrt(np.maximum(0.0, size2 - (z.astype(float) ** 2).sum(axis=1)))
-        shared = (z[w] * self.latent[part]).sum(axis=1) + outside[w] * self.rest[part]
-        go = shared + 1e-4 * np.sqrt(size2[w]) * self.norm[part] >= self.mass[part]  # 32-bit numbers
-        return {(i, b, min(b + window, n)) for i, b in zip(self.item_of[part[go]].tolist(), begin[row[w[go]]].tolist())}
-
-
-def _rounded(idf: np.ndarray) -> np.ndarray:
-    """Small whole weights: STEP of them fit in a byte, those of a window in two."""
-    return np.minimum(np.round(2 * idf), 255 // STEP).astype(np.uint8)
-
-
-def _previous(cols: np.ndarray) -> np.ndarray:
-    """Where each word occurred last before; -1 where it did not."""
-    order = np.argsort(cols, kind="stable")
-    out = np.full(len(cols), -1, dtype=np.int64)
-    again = cols[order[1:]] == cols[order[:-1]]
-    out[order[1:][again]] = order[:-1][again]
-    return out
+        latent, held, least = [], [], []
+        for _, p in found:
+            cols = np.array([index.column[x] for x in p if x in index.column], dtype=np.int64)
+            z = index.places[cols].astype(float).sum(axis=0)
+            held.append(HELD * np.linalg.norm(z))
+            latent.append(z / (np.linalg.norm(z) or 1.0))
+            # a confirmed copy lacks at most so many words, so it has the mass of the others at least
+            missing = len(p) - math.ceil(PARAPHRASE * len(p) - 1e-9)
+            least.append(np.sort(index.mass[cols])[:max(0, len(cols) - missing)].sum(dtype=float))
+        self.latent = np.array(latent, dtype=np.float32).T
+        self.held = np.maximum(np.array(held, dtype=np.float32), 1e-6)
+        self.least = min(least) * (1 - 1e-6)
+
+    def near(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, passage) of every pair whose cosine reaches COSINE, the window reaching HELD of the way to the passage.
+
+        A place at the origin is near nothing.
+        """
+        size = np.sqrt(np.einsum("ij,ij->i", places, places))
+        return np.nonzero(places @ self.latent >= np.maximum((COSINE * size)[:, None], self.held))
 
 
-def _models(docs: DataFrame, benchmark: DataFrame, item_col: str, text: str) -> Iterator[Index]:
-    """One index per shard of the benchmark. Items without words are left out: nothing can hold them."""
+def _models(docs: DataFrame, benchmark: DataFrame, item_col: str, text: str) -> Iterator[list[Index]]:
+    """The indexes of the benchmark's shards, TOGETHER at a time. Items without words are left out: nothing can hold them."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text).alias("t")).where("t is not null and item is not null")
     n, passages = items.agg(F.count("*"), F.sum(F.ceil(F.size(F.split("t", r"\s+")) / PART))).first()
     shards = max(1, math.ceil(n / SHARD), math.ceil((passages or 0) / PASSAGES))
     rows = docs.select(F.col(text).alias("t"))
-    for k in range(shards):
-        mine = sorted((r["item"], r["t"]) for r in items.where(F.pmod(F.xxhash64("item", "t"), F.lit(shards)) == k).collect())
-        mine = [r for r in mine if words(r[1])]
-        if not mine:
+    shard = F.pmod(F.xxhash64("item", "t"), F.lit(shards)).cast("int")
+    for first in range(0, shards, TOGETHER):
+        held: dict[int, list[tuple[int, str]]] = {}
+        for r in items.withColumn("shard", shard).where(F.col("shard").between(first, first + TOGETHER - 1)).collect():
+            if words(r["t"]):
+                held.setdefault(r["shard"], []).append((r["item"], r["t"]))
+        if not held:
             continue
-        vocabulary = sorted({w for _, t in mine for w in words(t)})
-        seen, total = _document_frequencies(rows, vocabulary)
-        idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
-        column = {w: i for i, w in enumerate(vocabulary)}
+        seen, total = _document_frequencies(rows, sorted({w for mine in held.values() for _, t in mine for w in words(t)}))
+        yield [_index(spark, sorted(mine), seen, total) for _, mine in sorted(held.items())]
 
-        def sparse(batches: Iterator[pa.RecordBatch], column=column, idf=idf) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                made = [Counter(p) for t in b.column(0) for p in parts(words(t.as_py()))]
-                vals = [np.array([c * idf[w] for w, c in m.items()]) for m in made]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([[column[w] for w in m] for m in made], type=pa.list_(pa.int32())),
-                     pa.array([list(v / (np.linalg.norm(v) or 1.0)) for v in vals], type=pa.list_(pa.float64()))], ["cols", "vals"])
 
-        passages = spark.createDataFrame([(t,) for _, t in mine], "t string").repartition(8).mapInArrow(sparse, "cols array<int>, vals array<double>")
-        yield Index(mine, idf, latent_axes(passages, len(vocabulary)))
+def weights(passages: list[list[str]], seen: dict[str, int], total: int) -> dict[str, float]:
+    """The inverse document frequency of every word that has a place.
+
+    Common words tell languages apart, not passages, and have none; a passage with hardly any other word keeps them all.
+    """
+    rarer = lambda w: seen.get(w, 0) <= COMMON * total
+    kept: set[str] = set()
+    for p in passages:
+        rare = {w for w in p if rarer(w)}
+        kept |= rare if len(rare) >= RARE else set(p)
+    return {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1e-3 for w in sorted(kept)}
+
+
+def _index(spark, mine: list[tuple[int, str]], seen: dict[str, int], total: int) -> Index:
+    """The model of one shard's items, given in how many documents each word occurs."""
+    idf = weights([p for _, t in mine for p in parts(words(t))], seen, total)
+    column = {w: i for i, w in enumerate(idf)}
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [Counter(w for w in p if w in column) for t in b.column(0) for p in parts(words(t.as_py()))]
+            vals = [np.array([c * idf[w] for w, c in m.items()]) for m in made]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([[column[w] for w in m] for m in made], type=pa.list_(pa.int32())),
+                 pa.array([list(v / (np.linalg.norm(v) or 1.0)) for v in vals], type=pa.list_(pa.float64()))], ["cols", "vals"])
+
+    passages = spark.createDataFrame([(t,) for _, t in mine], "t string").repartition(8).mapInArrow(sparse, "cols array<int>, vals array<double>")
+    return Index(mine, idf, latent_axes(passages, len(idf)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
@@ -295,12 +319,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     out = None
-    for index in _models(docs, benchmark, item_col, text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _models(docs, benchmark, item_col, text):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                made = [(i.as_py(), *h) for i, t in zip(b.column(0), b.column(1)) for h in shared.value.hits(t.as_py())]
+                made = [(i.as_py(), *h) for i, t in zip(b.column(0), b.column(1)) for index in shared.value for h in index.hits(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], type=t) for k, t in enumerate(
                     (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["id", "item", "share", "answer"])
 
@@ -311,13 +335,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of `docs` that hold no benchmark item."""
-    for index in _models(docs, benchmark, item_col, text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _models(docs, benchmark, item_col, text):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = b.schema.get_field_index(text)
-                yield from kept_rows(b, [not shared.value.hits(t.as_py()) for t in b.column(at)])
+                yield from kept_rows(b, [not any(index.hits(t.as_py()) for index in shared.value) for t in b.column(at)])
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
