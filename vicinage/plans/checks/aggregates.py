@@ -187,16 +187,6 @@ def views(t):
     return ops.view_counts(t.pings_v)
 
 
-@check("u01_union_feeds", """
-SELECT CAST(o_orderkey AS VARCHAR) AS external_id, 'orders' AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders
-UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, NULL FROM part""")
-def union(t):
-    a = t.orders.select(F.col("o_orderkey").cast("string").alias("external_id"), F.lit("orders").alias("title"),
-                        F.to_date("o_orderdate").cast("string").alias("day"))
-    b = t.part.select(F.col("p_partkey").cast("string").alias("external_id"), F.col("p_name").alias("title"))
-    return sets.union_feeds(a, b)
-
-
 @check("u02_others", f"SELECT {ID} FROM listings_v WHERE NOT (published AND featured)")
 def others(t):
     return sets.others(t.listings, t.listings.filter("published AND featured")).select("id")

@@ -1,12 +1,15 @@
 """Feed readers over payloads built from the driver's tables, and over its pages."""
 
+import json
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ...functions.dates import iso
 from ...plans.builder import build_listings
-from ...sources import feeds as ops
+from ...sources import feeds as ops, kinds
 from ..views import TODAY
-from .base import check
+from .base import CHECKS, check
 
 DAY = "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)"
 GATE = "year(o_orderdate) BETWEEN 1997 AND 2003"
@@ -294,6 +297,16 @@ def refused(t):
     return build_listings(candidates(t), sources(t), t.communes, now())[1].select("external_id", "reason")
 
 
+def curated_pages(t):
+    """Detail pages whose title names a commune in brackets, or none."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    title = (F.when(k % 4 == 0, F.concat(F.lit("Spill (Uelzecht - "), name, F.lit(")"))).when(k % 4 == 1, F.concat(F.lit("Spill ("), name, F.lit(", Zzz)")))
+             .when(k % 4 == 2, F.concat(F.lit("Spill ("), name, F.lit("/Xyz)"))).otherwise(F.lit("Spill")))
+    html = F.concat(F.lit('<meta property="og:title" content="'), title, F.lit('">'), F.when(
+        k % 4 == 0, '<iframe src="https://google.com/maps/embed?q=49.8,6.1">').otherwise(""))
+    return t.part.select(k.alias("page_id"), F.concat(F.lit("https://x.lu/p/"), k.cast("string"), F.lit("/")).alias("url"), html.alias("html"))
+
+
 @check("f40_curated_detail", """
 SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 THEN p_name ELSE '' END AS commune, CASE WHEN p_partkey % 4 < 3 THEN canton ELSE '' END AS canton,
   CASE p_partkey % 4 WHEN 0 THEN 'address' WHEN 3 THEN 'fallback' ELSE 'commune' END AS precision,
@@ -301,11 +314,65 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 THEN p_name ELSE '' END AS c
 def detail(t):
     from ...sources.curated import curated_details
 
-    k, name = F.col("p_partkey"), F.col("p_name")
-    title = (F.when(k % 4 == 0, F.concat(F.lit("Spill (Uelzecht - "), name, F.lit(")"))).when(k % 4 == 1, F.concat(F.lit("Spill ("), name, F.lit(", Zzz)")))
-             .when(k % 4 == 2, F.concat(F.lit("Spill ("), F.lit(")"))).otherwise(F.lit("Spill")))
-    title = F.when(k % 4 == 2, F.concat(F.lit("Spill ("), name, F.lit("/Xyz)"))).otherwise(title)
-    html = F.concat(F.lit('<meta property="og:title" content="'), title, F.lit('">'), F.when(
-        k % 4 == 0, '<iframe src="https://google.com/maps/embed?q=49.8,6.1">').otherwise(""))
-    pages = t.part.select(k.alias("page_id"), F.concat(F.lit("https://x.lu/p/"), k.cast("string"), F.lit("/")).alias("url"), html.alias("html"))
-    return curated_details(pages, t.communes).select(F.col("page_id").alias("id"), "commune", "canton", "precision", "lat", "title")
+    return curated_details(curated_pages(t), t.communes).select(F.col("page_id").alias("id"), "commune", "canton", "precision", "lat", "title")
+
+
+KINDS = ["data_public_lu", "ical", "json_ld", "html_scraper", "sitemap", "kids_in_lux"]
+CARDS = {"item": ".event-card", "title": "h3", "date": ".date", "date_attr": "datetime", "location": ".venue", "link": "a"}
+
+
+def all_sources(t):
+    """The fifty feeds once for each kind, a hundred numbers apart."""
+    kind = F.posexplode(F.array(*map(F.lit, KINDS))).alias("_n", "kind")
+    every = sources(t).select("*", kind).withColumn("source_id", F.col("source_id") + F.col("_n") * 100).drop("_n")
+    return every.withColumn("selectors", F.when(F.col("kind") == "html_scraper", F.lit(json.dumps(CARDS))))
+
+
+def all_payloads(t):
+    """What all kinds have stored; every seventh sitemap page has Event nodes, the others have OpenGraph only."""
+    def of(kind, rows, body, url=F.lit(None).cast("string")):
+        n = KINDS.index(kind)
+        number = F.col("page_id") if "page_id" in rows.columns else F.monotonically_increasing_id()
+        source = F.col("source_id") if "source_id" in rows.columns else F.lit(n).cast("bigint")
+        return rows.select(F.concat(F.lit(f"{kind}:"), number.cast("string")).alias("payload_id"), (source + 100 * n).alias("source_id"), url.alias("url"), body.alias("payload"))
+
+    page, url = F.col("html"), F.col("url")
+    parts = [of("data_public_lu", json_payloads(t), F.col("payload")), of("ical", calendars(t), F.col("payload")), of("json_ld", ld_pages(t), page, url),
+             of("html_scraper", card_pages(t), page, url), of("sitemap", ld_pages(t).filter("page_id % 7 = 0"), page, url),
+             of("sitemap", og_pages(t).filter("page_id % 7 <> 0"), page, url), of("kids_in_lux", curated_pages(t), page, url)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_OF = lambda kind, name, external="external_id", day="start_date", where="true": (
+    f"SELECT '{kind}' AS kind, {external} AS external_id, title, {day} AS start_date FROM ({CHECKS[name].sql}) WHERE {where}")
+# a made id begins with the number of its source, which here is one of the fourth kind
+NUMBERED = "CASE WHEN external_id LIKE '/e/%' THEN external_id ELSE CAST(split_part(external_id, ':', 1) AS INT) + 300 || substr(external_id, strpos(external_id, ':')) END"
+UNION = " UNION ALL ".join([
+    _OF("data_public_lu", "s02_open_data_json"), _OF("ical", "s03_ical"), _OF("json_ld", "s04_json_ld"), _OF("html_scraper", "s06_listing_blocks", external=NUMBERED),
+    _OF("sitemap", "s04_json_ld", where="CAST(regexp_extract(external_id, '[0-9]+$') AS BIGINT) % 7 = 0"), _OF("sitemap", "s05_open_graph", where="page_id % 7 <> 0"),
+    _OF("kids_in_lux", "f40_curated_detail", external="'kids-in-lux:' || id", day=f"'{TODAY}'")])
+
+
+@check("u01_union_feeds", UNION)
+def union(t):
+    """All stored payloads, each read by the kind of its source."""
+    rows = kinds.read_all(all_payloads(t), all_sources(t), TODAY, t.communes)
+    return rows.select("kind", "external_id", "title", iso(F.col("start_date")).alias("start_date"))
+
+
+@check("s20_refresh_curated", f"""
+SELECT 'kids-in-lux:' || id AS external_id, CASE WHEN id % 2 = 0 THEN 'stored' ELSE 'new' END AS first_seen, 'Spill' AS title, CASE WHEN commune <> '' THEN commune ELSE canton END AS town,
+  true AS written FROM ({CHECKS["f40_curated_detail"].sql})
+UNION ALL SELECT 'kids-in-lux:gone', 'stored', 'Old', 'Old', NULL""")
+def refreshed(t):
+    """Half of the curated pages are known with an older text; what is read again keeps its first day, what is gone stays."""
+    rows = kinds.curated_reader("kids-in-lux", t.communes)(
+        curated_pages(t).select(F.col("page_id").alias("payload_id"), F.lit(1).alias("source_id"), "url", F.col("html").alias("payload")), sources(t), TODAY)
+    built = rows.select("external_id", F.concat(F.lit("n"), "external_id").alias("id"), "title", "town", "start_date", F.lit("new").alias("created_at"))
+    gone = built.sparkSession.range(1).select(F.lit("kids-in-lux:gone").alias("external_id"))
+    known = built.filter(F.regexp_extract("external_id", r"(\d+)$", 1).cast("int") % 2 == 0).select("external_id").unionByName(gone)
+    old = known.select("external_id", F.concat(F.lit("o"), "external_id").alias("id"), F.lit("Old").alias("title"), F.lit("Old").alias("town"),
+                       F.lit("1990-01-01").cast("date").alias("start_date"), F.lit("stored").alias("created_at"))
+    out = kinds.refresh_curated(old, built)
+    kept = F.when(F.col("created_at") == "stored", F.col("id").startswith("o")).otherwise(F.col("id").startswith("n"))
+    return out.filter(kept).select("external_id", F.col("created_at").alias("first_seen"), "title", "town", F.col("_written").alias("written"))

@@ -1,7 +1,6 @@
 """Stored feed payloads to candidate listings.
 
-Every reader takes payload rows and gives the same candidate columns, so `FEEDS` is the plug-in
-point: a kind is a function of (payloads, sources, today).
+Readers give the same candidate columns; `kinds` puts them behind one signature.
 """
 
 from __future__ import annotations
@@ -222,10 +221,11 @@ def _ld(node: Column, path: str) -> Column:
     return tx.unescape_html(F.try_variant_get(first, "$", "string"))
 
 
-def from_json_ld(pages: DataFrame, sources: DataFrame, today) -> DataFrame:
-    """Candidates from Event nodes. `pages`: (page_id, source_id, url, html)."""
+def from_json_ld(pages: DataFrame, sources: DataFrame, today, nodes: DataFrame | None = None) -> DataFrame:
+    """Candidates from Event nodes. `pages`: (page_id, source_id, url, html); `nodes`: their Event nodes, if at hand."""
     t = day(today)
-    nodes = json_ld_events(pages).join(pages.select("page_id", "source_id", "url"), "page_id")
+    found = json_ld_events(pages) if nodes is None else nodes
+    nodes = found.join(pages.select("page_id", "source_id", "url"), "page_id")
     e = with_source_defaults(nodes, sources)
     n = F.col("node")
     one = lambda v: F.get(_listed(v), 0)
@@ -479,9 +479,3 @@ def probe_pages(pages: DataFrame) -> DataFrame:
         count(hrefs(html), lambda h: h.rlike(PROBE_ANCHORS)).alias("event_anchors"))
     return facts.join(events, "page_id", "left").withColumn("jsonld_events", F.coalesce("jsonld_events", F.lit(0)))
 
-
-# Kind of source -> reader of its stored payloads.
-FEEDS: dict[str, Callable[..., DataFrame]] = {
-    "ical": from_ical, "data_public_lu": from_open_data_json, "json_ld": from_json_ld,
-    "html_scraper": from_listing_blocks, "sitemap": from_json_ld,
-}
