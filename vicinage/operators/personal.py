@@ -21,7 +21,7 @@ from .ranking import first_per
 
 ANSWERS = ["persona", "interests", "child_age_groups", "preferred_cantons", "near_cantons", "budget"]
 TRAITS = ["canton", "interest_hits", "age_hits", "price_step"]
-FIRST_LOOK = 64               # rows a set of answers looks at first
+FIRST_LOOK, WIDER = 256, 32   # rows a set of answers looks at first, and how many times as many next
 PRICE_STEPS = [-1.0, 0.0, 15.0, 30.0, 1e9]
 
 
@@ -160,16 +160,26 @@ def for_you(scored: DataFrame, key: list, order: list, slots: int = P.SLOTS, hom
         .drop("_home", "_group_rank", "_reserved")
 
 
-def _candidates(scored: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def _ranked(scored: DataFrame) -> DataFrame:
+    """Scored signatures with their rank within a set of answers, and how many rows score better.
+
+    Also per set of answers: its rows, its home rows, and in how many cantons they lie.
+    """
+    each = Window.partitionBy("answers")
+    scored = scored.withColumn("_down", -F.round(F.col("score") * 1e6).cast("bigint"))   # whole millionths, as scores are rounded to them
+    better = F.sum("n").over(each.orderBy("_down").rangeBetween(Window.unboundedPreceding, -1))
+    return scored.withColumns({
+        "rank": F.row_number().over(each.orderBy("_down", "place")), "better": F.coalesce(better, F.lit(0)), "rows": F.sum("n").over(each),
+        "home_rows": F.sum(F.when(F.col("home"), F.col("n")).otherwise(0)).over(each),
+        "cantons": F.size(F.collect_set(F.coalesce("canton", F.lit(""))).over(each))}).drop("_down")
+
+
+def _candidates(ranked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """The first k rows of each set of answers by score, then place: (answers, score, place, id, canton, home, words, ...).
 
     They lie in the first k signatures by score and first place, and of those only where fewer than k rows score better.
     """
-    near = first_per(scored, ["answers"], [F.col("score").desc(), "place"], k)
-    same = F.sum("n").over(Window.partitionBy("answers", "score"))
-    upto = F.sum("n").over(Window.partitionBy("answers").orderBy(F.col("score").desc()).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow))
-    wanted = near.withColumn("_better", upto - same).filter(F.col("_better") < k).drop("_better", "place", "n")
+    wanted = ranked.filter((F.col("rank") <= k) & (F.col("better") < k)).drop("rank", "better", "place", "n")
     inside = rows.join(wanted.select("signature").distinct(), "signature", "left_semi")
     first = first_per(inside, ["signature"], ["place"], k)
     return first_per(wanted.join(first, "signature"), ["answers"], [F.col("score").desc(), "place"], k)
@@ -180,17 +190,18 @@ class _Picks:
 
     def __init__(self, slots: int, home_slots: int, per_canton: int):
         self.slots, self.home_slots, self.per_canton = slots, home_slots, per_canton
-        self.words, self.kept, self.cantons, self.read, self.home_read = set(), [], {}, 0, 0
+        self.words, self.kept, self.cantons, self.read, self.home_read, self.homes = set(), [], {}, 0, 0, 0
 
     def add(self, row: tuple) -> None:
         id_, canton, home, score, words = row
         self.read, self.home_read = self.read + 1, self.home_read + home
-        if not self.words.isdisjoint(words):
+        if self.homes >= self.home_slots and len(self.kept) >= self.slots or not self.words.isdisjoint(words):
             return
         self.words.update(words)
         if self.cantons.get(canton, 0) < self.per_canton:
             self.cantons[canton] = self.cantons.get(canton, 0) + 1
             self.kept.append((id_, canton, home, score))
+            self.homes += home
 
     def picks(self) -> list[tuple]:
         """Home rows up to their reserve, then the rest by place."""
@@ -200,8 +211,7 @@ class _Picks:
     def settled(self, rows: int, home_rows: int, cantons: int) -> bool:
         """Whether rows still to come could change nothing."""
         full = sum(n >= self.per_canton for n in self.cantons.values())
-        reserve = min(self.home_slots, sum(r[2] for r in self.kept)) if self.home_read == home_rows else self.home_slots
-        enough = sum(r[2] for r in self.kept) >= reserve and len(self.kept) >= self.slots
+        enough = (self.homes >= self.home_slots or self.home_read == home_rows) and len(self.kept) >= self.slots
         return self.read == rows or full == cantons or enough
 
 
@@ -224,7 +234,7 @@ def _picked(rows: DataFrame, slots: int, home_slots: int, per_canton: int) -> Da
                     if state is not None:
                         out += told()
                     answers, state, bounds = a, _Picks(slots, home_slots, per_canton), limits
-                state.add((id_, canton, bool(home), score, list(words)))
+                state.add((id_, canton, bool(home), score, words.tolist()))
             yield made(out)
         if state is not None:
             yield made(told())
@@ -233,7 +243,8 @@ def _picked(rows: DataFrame, slots: int, home_slots: int, per_canton: int) -> Da
         frame = pd.DataFrame(out, columns=["answers", "slot", "id", "canton", "score", "settled"])
         return frame.astype({"slot": "Int32"})
 
-    ordered = rows.repartition("answers").sortWithinPartitions("answers", F.col("score").desc(), "place")
+    # the window of `_candidates` has dealt the rows by set of answers and put them in this order
+    ordered = rows.sortWithinPartitions("answers", F.col("score").desc(), "place")
     return ordered.select("answers", "id", "canton", "home", "score", "words", "rows", "home_rows", "cantons").mapInPandas(
         run, f"answers long, slot int, id {kinds['id']}, canton {kinds['canton']}, score double, settled boolean")
 
@@ -244,18 +255,15 @@ def for_you_all(profiles: DataFrame, listings: DataFrame, order: Column, title:
 
     Listings are walked by score, then `order`; one whose `title` shares a significant word with a kept one falls out, and
     the quotas choose among those kept. Picks are made per set of answers and then handed to its users. A set of answers
-    sees its first rows only: `first` of them, and eight times as many where they left slots open and more could fill them.
+    sees its first rows only: `first` of them, and WIDER times as many where they left slots open and more could fill them.
     """
-    words = match.title_words(title) if title is not None else F.array().cast("array<string>")
+    words = F.transform(match.title_words(title), lambda w: F.xxhash64(w)) if title is not None else F.array().cast("array<bigint>")
     traits = listings.withColumns({**listing_traits(), "place": order, "words": words}) \
         .select(F.xxhash64(*TRAITS).alias("signature"), "id", "place", "words")
     counts = cut(listing_signatures(listings, order))
     sets = answer_sets(profiles)
     scored = score_signatures(sets, counts).join(counts.select("signature", "canton", "n", "place"), "signature")
-    each = Window.partitionBy("answers")
-    scored = cut(scored.withColumns({
-        "rows": F.sum("n").over(each), "home_rows": F.sum(F.when(F.col("home"), F.col("n")).otherwise(0)).over(each),
-        "cantons": F.size(F.collect_set(F.coalesce("canton", F.lit(""))).over(each))}))
+    scored = cut(_ranked(scored))
     found, k = [], first
     while True:
         told = cut(_picked(_candidates(scored, traits, k), slots, home_slots, per_canton))
@@ -263,7 +271,7 @@ def for_you_all(profiles: DataFrame, listings: DataFrame, order: Column, title:
         if told.filter(~F.col("settled")).isEmpty():
             break
         scored = scored.join(told.filter(~F.col("settled")).select("answers").distinct(), "answers", "left_semi")
-        k *= 8
+        k *= WIDER
     picks = reduce(lambda a, b: a.unionByName(b), found).drop("settled")
     users = profiles.select("user_id", answers_key().alias("_key")).join(sets.select("_key", "answers"), "_key")
     return users.join(picks, "answers").select("user_id", "slot", "id", "canton", "score")
