@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from vicinage.llm.common import kept_rows
 
 RANK, OVERSAMPLE, POWER = 96, 16, 2
-COSINE = 0.6                  # between a window and a passage, in the latent space
+COSINE = 0.5                  # between a window and a passage, in the latent space
 HELD = 0.4                    # share of a passage's length in that space that a window must reach in its direction
 PART = 48                     # words of a benchmark passage at most; longer items have several of like length
 SIZES = tuple(range(8, PART + 1, 8))  # passages are searched by the next of these: windows of one and a half times it, half of it apart
