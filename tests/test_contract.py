@@ -16,7 +16,7 @@ SOME = ["p05_filter_listings", "p18_within_radius", "o01_relevance_order", "w01_
         "j03_canonical_towns", "j04_towns_in_text", "j06_nearest_commune", "j07_assign_region", "j08_radius_join",
         "j18_resolve_locations", "j17_score_all", "w05_for_you", "w04_collapse_similar", "s02_open_data_json", "s03_ical",
         "s04_json_ld", "s09_event_links", "s16_upsert", "s17_apply_patches", "q07_clean_texts", "q13_build_listings",
-        "q14_site_evidence", "t01_dedupe_pings", "t04_grant_stream", "g02_chain_ways"]
+        "q14_site_evidence", "t01_dedupe_pings", "t04_grant_stream", "t04_stored_ends", "t06_late_rows", "g01_simplify", "g02_chain_ways", "q11_route_geometry", "s20_refresh_curated"]
 
 
 def test_entry_gives_rows(spark):
