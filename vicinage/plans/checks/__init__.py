@@ -7,7 +7,7 @@ from importlib import import_module
 from .base import CHECKS, Check
 
 MODULES = ["filters", "ranking", "aggregates", "text", "places", "spatial", "towns", "personal", "feeds", "sinks", "quality",
-           "streams", "routes"]
+           "streams", "routes", "sqlfunctions"]
 
 
 def all_checks() -> dict[str, Check]:
