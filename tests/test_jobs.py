@@ -23,8 +23,8 @@ def test_second_run_changes_nothing(tables):
 def test_upsert_twice_writes_nothing(spark):
     batch = spark.createDataFrame([("a", 1, "new"), ("b", 2, "new")], "id string, n int, created_at string")
     target = batch.filter("id = 'a'").withColumn("created_at", F.lit("old"))
-    once = sinks.upsert(target, batch, "id").drop("_written")
-    again = sinks.upsert(once, batch, "id").orderBy("id").collect()
+    once = sinks.upsert(target, batch, "id", order=["n"]).drop("_written")
+    again = sinks.upsert(once, batch, "id", order=["n"]).orderBy("id").collect()
     assert [(r.id, r.created_at, r._written) for r in again] == [("a", "old", False), ("b", "new", False)]
 
 

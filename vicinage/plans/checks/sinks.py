@@ -92,7 +92,7 @@ def upsert(t):
     k = F.col("osm_id")
     target = rows.filter((k % 4 <= 1) | (k % 8 == 3))
     batch = rows.filter(k % 4 != 0).withColumns({"created_at": F.lit("new"), "family_score": F.col("family_score") + F.when(k % 4 == 3, 1).otherwise(0)})
-    return ops.upsert(target, batch, "id").select("id", "family_score", "created_at", F.col("_written").alias("written"))
+    return ops.upsert(target, batch, "id", order=["id"]).select("id", "family_score", "created_at", F.col("_written").alias("written"))
 
 
 @check("s17_apply_patches", f"""
@@ -102,12 +102,28 @@ def patch(t):
     k = F.col("key")
     p = t.listings.filter(k % 3 == 0).select(
         "id", F.array(F.lit("town"), F.lit("end_date")).alias("sent"), F.when(k % 2 == 0, "Patched").alias("town"),
-        F.lit(None).cast("date").alias("end_date"), F.lit(-1).cast("bigint").alias("view_count"))
+        F.lit(None).cast("date").alias("end_date"), F.lit(-1).cast("bigint").alias("view_count"), F.lit(1).alias("at"))
     rows = t.listings.withColumn("updated_at", F.lit(None).cast("timestamp"))
-    out = ops.apply_patches(rows, p, now())
+    out = ops.apply_patches(rows, p, now(), "at")
     return out.select("id", "town", iso(F.col("end_date")).alias("end_date"), "view_count", F.col("updated_at").isNotNull().alias("updated"))
 
 
+@check("s17_folded_patches", f"""
+SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'Second' ELSE 'First' END ELSE town END AS town,
+  CASE WHEN id % 3 = 0 THEN CASE WHEN id % 4 = 0 THEN NULL ELSE '2030-01-01' END ELSE CAST(end_date AS VARCHAR) END AS end_date FROM listings_v""")
+def folded(t):
+    """Three patches of a listing, out of order: the last town that is none clears nothing, the last end day may be cleared."""
+    k = F.col("key")
+    day = lambda d: F.lit(d).cast("date")
+    patch = lambda at, sent, town, end: F.struct(F.lit(at).alias("at"), sent.alias("sent"), town.alias("town"), end.alias("end_date"))
+    both, one = F.array(F.lit("town"), F.lit("end_date")), F.array(F.lit("town"))
+    patches = F.array(patch(3, F.when(k % 4 == 0, both).otherwise(one), F.when(k % 2 == 0, "Second"), day(None)),
+                      patch(1, both, F.lit("Zero"), day("2031-01-01")), patch(2, both, F.lit("First"), day("2030-01-01")))
+    p = t.listings.filter(k % 3 == 0).select("id", F.inline(patches))
+    out = ops.apply_patches(t.listings.withColumn("updated_at", F.lit(None).cast("timestamp")), p, now(), "at")
+    return out.select("id", "town", iso(F.col("end_date")).alias("end_date"))
+
+
 @check("s18_reconcile", """
 SELECT count(*) AS in_source, count(*) FILTER (WHERE id % 10 <> 0) AS in_target, count(*) FILTER (WHERE id % 10 = 0) AS only_source,
   CAST(0 AS BIGINT) AS only_target, false AS same FROM listings_v""")

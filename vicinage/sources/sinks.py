@@ -29,15 +29,14 @@ def _differs(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str, insert_only: tuple[str, ...] = ("created_at",),
-           ignore: tuple[str, ...] = ("updated_at",), order: list | None = None) -> DataFrame:
+def upsert(target: DataFrame, batch: DataFrame, key: str, order: list, insert_only: tuple[str, ...] = ("created_at",),
+           ignore: tuple[str, ...] = ("updated_at",)) -> DataFrame:
     """The new snapshot with `_written`: null for untouched rows, true for new or changed, false for identical.
 
     All batch fields are set; `insert_only` fields keep their stored value; a row that differs only
-    in `ignore` fields counts as identical. Of repeated keys in the batch the first row in `order` counts, by default
-    that of the smallest row hash.
+    in `ignore` fields counts as identical. Of repeated keys in the batch the first row in `order` counts.
     """
-    once = first_per(batch, [key], order or [F.xxhash64(*batch.columns)])
+    once = first_per(batch, [key], order)
     old = target.select(F.col(key), F.struct(*target.columns).alias("_old"))
     new = once.select(F.col(key), F.struct(*once.columns).alias("_new"))
     both = old.join(new, key, "full_outer")
@@ -64,28 +63,27 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, insert_only: tuple[str
     return both.select(*values, "_written")
 
 
-def apply_patches(target: DataFrame, patches: DataFrame, now: Column, key: str = "id",
-                  clearable: set[str] = CLEARABLE_FIELDS, order: str | None = None) -> DataFrame:
+def apply_patches(target: DataFrame, patches: DataFrame, now: Column, order: str, key: str = "id",
+                  clearable: set[str] = CLEARABLE_FIELDS) -> DataFrame:
     """Only the fields a patch names in `sent` change; null is taken only for clearable fields.
 
-    Patches of one id are folded first: of each field the last value that counts, in `order` (a column of `patches`; by
-    default the row's hash).
+    Patches of one id are folded first, by partial aggregates: of each field the last value that counts, in `order`, a
+    column of `patches` that tells them apart.
     """
     fields = [c for c in patches.columns if c not in (key, "sent", order)]
-    patches = patches.withColumn("_at", F.col(order) if order else F.xxhash64(*patches.columns))
-
     def last(c: str) -> Column:
         counts = F.array_contains("sent", c)
         counts = counts if c in clearable else counts & F.col(c).isNotNull()
-        return F.max_by(F.struct(c), F.when(counts, F.col("_at")))[c].alias(c)
+        return F.max_by(F.struct(c), F.when(counts, F.col(order)))[c].alias(c)
 
-    folded = patches.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("sent"))).alias("sent"), *map(last, fields))
-    p = folded.select(F.col(key), F.struct("sent", *fields).alias("_p"))
+    named = [F.max(F.array_contains("sent", c)).alias(f"_sent_{c}") for c in fields]
+    folded = patches.groupBy(key).agg(*named, *map(last, fields))
+    p = folded.select(F.col(key), F.struct(*[f"_sent_{c}" for c in fields], *fields).alias("_p"))
     joined = target.join(p, key, "left")
     values = []
     for c in target.columns:
         if c in fields and c != "updated_at":
-            sent = F.array_contains("_p.sent", c)
+            sent = F.col(f"_p._sent_{c}")
             take = sent if c in clearable else sent & F.col(f"_p.{c}").isNotNull()
             values.append(F.when(F.coalesce(take, F.lit(False)), F.col(f"_p.{c}")).otherwise(F.col(c)).alias(c))
         elif c == "updated_at":
@@ -146,4 +144,4 @@ def register_sources(target: DataFrame, found: DataFrame, now: Column, activate:
     """Registry upsert by name: everything is refreshed but the switch, the id and the creation time."""
     id_ = F.sha2(F.col("name"), 256)
     batch = found.withColumns({"id": id_, "active": F.lit(activate), "created_at": now})
-    return upsert(target, batch, "name", insert_only=("id", "active", "created_at"))
+    return upsert(target, batch, "name", order=[F.to_json(F.struct(*batch.columns))], insert_only=("id", "active", "created_at"))
