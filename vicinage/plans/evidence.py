@@ -82,7 +82,8 @@ def site_evidence(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, page
     candidates = cut(found.withColumn("_guess", F.lit(False)).unionByName(guessed))
     counts = candidates.groupBy("_host").agg(F.count("*").alias("_n"), F.bool_or("_guess").alias("_guess"))
     blocks = F.regexp_extract_all("html", F.lit(feeds.LD_BLOCK), F.lit(1))
-    marked = pages.select("url", F.exists(blocks, lambda b: b.rlike(EVENT_MARKUP)).alias("_marked")) \
+    asked = pages.join(candidates.select("url").distinct(), "url", "left_semi")   # only their pages are searched
+    marked = asked.select("url", F.exists(blocks, lambda b: b.rlike(EVENT_MARKUP)).alias("_marked")) \
         .groupBy("url").agg(F.bool_or("_marked").alias("_marked"))
     # Every candidate with a stored page is judged; the best marked one is the example, else the best of all.
     judged = candidates.select("_host", "url").join(marked, "url", "left").withColumn("_marked", F.coalesce("_marked", F.lit(False)))
