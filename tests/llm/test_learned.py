@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, planted cases, odd rows; and the pipeline stage by stage."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -225,6 +226,12 @@ def test_decontamination_query(spark):
         assert decontaminate.lcs(bench[i], text[d]) >= r.share * len(bench[i]) - 1e-9
 
 
+def test_words():
+    for text in ("", "It's a_b, ÉTÉ 42x!\u00a0naïve\tÄ-ö", "a\x1cb 中文。x", "word " * 3):
+        want = re.findall(r"[^\W_]+", text.lower())
+        assert decontaminate.words(text) == want and decontaminate.word_set(text) == set(want)
+
+
 def test_lcs():
     rng = random.Random(4)
     for _ in range(200):

@@ -49,6 +49,17 @@ def words(text: str) -> list[str]:
     return out
 
 
+def word_set(text: str) -> set[str]:
+    """The different words of a text."""
+    found = set()
+    for w in set(text.lower().split()):
+        if w.isalnum():
+            found.add(w)
+        else:
+            found.update(_WORD.findall(w))
+    return found
+
+
 def parts(found: list[str]) -> list[list[str]]:
     """The passages of an item: all of it, or stretches of like length. One of them shares as much as the item does."""
     n = math.ceil(len(found) / PART)
@@ -105,7 +116,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[
         held, rows = Counter(), 0
         for batch in batches:
             for t in batch.column(0):
-                held.update(shared.value.intersection(words(t.as_py() or "")))
+                held.update(shared.value & word_set(t.as_py() or ""))
                 rows += 1
         yield pa.RecordBatch.from_arrays([pa.array(["", *held], type=pa.string()), pa.array([rows, *held.values()], type=pa.int64())], ["w", "n"])
 
