@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .dates import let
+
 # Notation that is not evaluated, and the labels.
 UNSUPPORTED = (r"(?i)\b(PH|SH|easter|sunrise|sunset|dawn|dusk|week\s+\d)\b|\d{4}|\bJan|\bFeb|\bMar|\bApr|\bMay"
                r"|\bJun|\bJul|\bAug|\bSep|\bOct|\bNov|\bDec")
@@ -23,27 +25,29 @@ def _day(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(d) for d in DAYS]), F.lower(F.trim(name)))
 
 
-def _day_part(part: Column, day: Column) -> Column:
-    """struct(valid, covers): "Fr-Mo" wraps around the week."""
-    p = F.trim(part)
-    ranged = p.rlike(DAY_RANGE)
-    first = F.when(ranged, _day(F.regexp_extract(p, DAY_RANGE, 1))).otherwise(_day(p))
-    last = F.when(ranged, _day(F.regexp_extract(p, DAY_RANGE, 2))).otherwise(first)
-    return F.struct(((first > 0) & (last > 0)).alias("valid"),
-                    (F.pmod(day + 1 - first, F.lit(7)) <= F.pmod(last - first, F.lit(7))).alias("covers"))
+def _day_part(part: Column, day: Column, before: Column) -> Column:
+    """struct(valid, covers, eve): "Fr-Mo" wraps around the week."""
+    both = lambda d: F.struct(d.alias("first"), d.alias("last"))
+    ends = let(F.trim(part), lambda p: F.when(p.rlike(DAY_RANGE), F.struct(
+        _day(F.regexp_extract(p, DAY_RANGE, 1)).alias("first"), _day(F.regexp_extract(p, DAY_RANGE, 2)).alias("last"))
+    ).otherwise(let(_day(p), both)))
+    within = lambda e, d: F.pmod(d + 1 - e["first"], F.lit(7)) <= F.pmod(e["last"] - e["first"], F.lit(7))
+    return let(ends, lambda e: F.struct(((e["first"] > 0) & (e["last"] > 0)).alias("valid"),
+                                        within(e, day).alias("covers"), within(e, before).alias("eve")))
 
 
 def _span_part(part: Column, minute: Column) -> Column:
     """struct(valid, inside, carried): `carried` is the part of an overnight span after midnight."""
-    p = F.trim(part)
-    n = lambda i: F.regexp_extract(p, SPAN, i).try_cast("int")
-    start, end = n(1) * 60 + n(2), n(3) * 60 + n(4)
-    fine = p.rlike(SPAN) & (n(1) <= 24) & (n(3) <= 24) & (n(2) <= 59) & (n(4) <= 59)
-    overnight = start > end
-    return F.struct(
-        F.coalesce(fine, F.lit(False)).alias("valid"),
-        F.when(overnight, minute >= start).otherwise((minute >= start) & (minute < end)).alias("inside"),
-        (overnight & (minute < end)).alias("carried"))
+    numbers = let(F.trim(part), lambda p: F.struct(p.rlike(SPAN).alias("fits"), *[
+        F.regexp_extract(p, SPAN, i).try_cast("int").alias(name) for i, name in enumerate("abcd", start=1)]))
+    span = let(numbers, lambda n: F.struct(
+        (n["fits"] & (n["a"] <= 24) & (n["c"] <= 24) & (n["b"] <= 59) & (n["d"] <= 59)).alias("fine"),
+        (n["a"] * 60 + n["b"]).alias("start"), (n["c"] * 60 + n["d"]).alias("end")))
+    overnight = lambda s: s["start"] > s["end"]
+    return let(span, lambda s: F.struct(
+        F.coalesce(s["fine"], F.lit(False)).alias("valid"),
+        F.when(overnight(s), minute >= s["start"]).otherwise((minute >= s["start"]) & (minute < s["end"])).alias("inside"),
+        (overnight(s) & (minute < s["end"])).alias("carried")))
 
 
 def is_open_at(value: Column, moment: Column, carry_overnight: bool = False) -> Column:
@@ -52,29 +56,32 @@ def is_open_at(value: Column, moment: Column, carry_overnight: bool = False) ->
     A span past midnight counts its early hours on the day it is written for; with
     `carry_overnight` they count on the following day instead.
     """
-    text = F.trim(F.coalesce(value, F.lit("")))
-    today = F.weekday(moment)
-    before = F.pmod(today - 1, F.lit(7))
-    minute = F.hour(moment) * 60 + F.minute(moment)
+    asked = F.struct(F.trim(F.coalesce(value, F.lit(""))).alias("text"), F.weekday(moment).alias("day"),
+                     F.pmod(F.weekday(moment) - 1, F.lit(7)).alias("before"),
+                     (F.hour(moment) * 60 + F.minute(moment)).alias("minute"))
+    return let(asked, lambda a: _state(a["text"], a["day"], a["before"], a["minute"], carry_overnight))
+
 
+def _state(text: Column, today: Column, before: Column, minute: Column, carry_overnight: bool) -> Column:
     def parse(rule: Column) -> Column:
-        off = rule.rlike(OFF_RULE)
-        dayed = ~off & rule.rlike(DAY_RULE)
-        day_text = F.when(off, F.regexp_extract(rule, OFF_RULE, 1)).when(dayed, F.regexp_extract(rule, DAY_RULE, 1))
-        span_text = F.when(dayed, F.regexp_extract(rule, DAY_RULE, 2)).otherwise(rule)
-        days = F.transform(F.split(day_text, ","), lambda p: _day_part(p, today))
-        eve = F.transform(F.split(day_text, ","), lambda p: _day_part(p, before))
-        spans = F.transform(F.split(span_text, ","), lambda p: _span_part(p, minute))
-        everyday = day_text.isNull()
-        return F.struct(
-            ((everyday | F.forall(days, lambda d: d["valid"]))
-             & (off | F.forall(spans, lambda s: s["valid"]))).alias("valid"),
-            (everyday | F.exists(days, lambda d: d["covers"])).alias("today"),
-            (everyday | F.exists(eve, lambda d: d["covers"])).alias("eve"),
-            off.alias("off"),
-            F.exists(spans, lambda s: s["inside"]).alias("inside"),
-            F.exists(spans, lambda s: s["carried"]).alias("carried"),
-        )
+        kind = let(rule.rlike(OFF_RULE), lambda off: F.struct(off.alias("off"), (~off & rule.rlike(DAY_RULE)).alias("dayed")))
+        texts = let(kind, lambda k: F.struct(
+            k["off"].alias("off"),
+            F.when(k["off"], F.regexp_extract(rule, OFF_RULE, 1)).when(k["dayed"], F.regexp_extract(rule, DAY_RULE, 1)).alias("days"),
+            F.when(k["dayed"], F.regexp_extract(rule, DAY_RULE, 2)).otherwise(rule).alias("spans")))
+        read = let(texts, lambda t: F.struct(
+            t["off"].alias("off"), t["days"].isNull().alias("everyday"),
+            F.transform(F.split(t["days"], ","), lambda p: _day_part(p, today, before)).alias("days"),
+            F.transform(F.split(t["spans"], ","), lambda p: _span_part(p, minute)).alias("spans")))
+        return let(read, lambda r: F.struct(
+            ((r["everyday"] | F.forall(r["days"], lambda d: d["valid"]))
+             & (r["off"] | F.forall(r["spans"], lambda s: s["valid"]))).alias("valid"),
+            (r["everyday"] | F.exists(r["days"], lambda d: d["covers"])).alias("today"),
+            (r["everyday"] | F.exists(r["days"], lambda d: d["eve"])).alias("eve"),
+            r["off"].alias("off"),
+            F.exists(r["spans"], lambda s: s["inside"]).alias("inside"),
+            F.exists(r["spans"], lambda s: s["carried"]).alias("carried"),
+        ))
 
     rules = F.transform(F.filter(F.transform(F.split(text, ";"), lambda r: F.trim(r)), lambda r: F.length(r) > 0), parse)
 
@@ -86,17 +93,17 @@ def is_open_at(value: Column, moment: Column, carry_overnight: bool = False) ->
         return (F.when(rule["today"] & rule["off"], F.lit("closed"))
                 .when(~rule["off"] & opened, F.lit("open")).otherwise(state))
 
-    evaluated = F.aggregate(rules, F.lit("closed"), apply)
+    evaluated = lambda read: F.when(
+        (F.size(read) > 0) & F.forall(read, lambda r: r["valid"]), F.aggregate(read, F.lit("closed"), apply)).otherwise(F.lit("unknown"))
     return (
         F.when(text == "", F.lit("unknown"))
         .when(text == "24/7", F.lit("open"))
         .when(text.rlike(UNSUPPORTED), F.lit("unknown"))
-        .when((F.size(rules) > 0) & F.forall(rules, lambda r: r["valid"]), evaluated)
-        .otherwise(F.lit("unknown"))
+        .otherwise(let(rules, evaluated))
     )
 
 
 def open_label(value: Column, lang: str, moment: Column) -> Column:
     """The printed state, or null when it is not known."""
-    state = is_open_at(value, moment)
-    return F.when(state == "open", F.lit(LABELS["open"][lang])).when(state == "closed", F.lit(LABELS["closed"][lang]))
+    return let(is_open_at(value, moment), lambda state: F.when(state == "open", F.lit(LABELS["open"][lang])).when(
+        state == "closed", F.lit(LABELS["closed"][lang])))
