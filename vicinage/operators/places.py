@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tags as tagging, text as tx
+from ..session import with_once
 from .ranking import first_per
 from .spatial import assign_region
 
@@ -13,7 +14,7 @@ def classify(elements: DataFrame) -> DataFrame:
     """Elements with the first kind that matches and admits them; the rest fall away."""
     area = F.col("area_m2") if "area_m2" in elements.columns else None
     kind = tagging.classify(F.col("tags"), F.col("lat"), F.col("lng"), F.col("osm_type"), area)
-    return elements.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    return with_once(elements, kind=kind).filter(F.col("kind").isNotNull())
 
 
 def to_places(classified: DataFrame) -> DataFrame:

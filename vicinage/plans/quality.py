@@ -16,6 +16,7 @@ from ..functions import dates, geo, hints, tags as tagging, text as tx, urls
 from ..operators import routes as rt, sets, spatial, towns
 from ..operators.filters import day
 from ..schema import LANGS
+from ..session import with_once
 
 
 def revise(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -56,7 +57,7 @@ def changed(revised: DataFrame) -> DataFrame:
 
 
 def _let_row(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.withColumns({f"_{k}": v for k, v in columns.items()})
+    return with_once(df, **{f"_{k}": v for k, v in columns.items()})
 
 
 # --- texts ------------------------------------------------------------------------------------
