@@ -16,6 +16,7 @@ from ..session import cut
 
 EARTH_DEGREE_KM = geo.EARTH_KM * math.pi / 180   # a degree of a great circle, as distances are measured
 MIN_RADIUS_KM = 0.001
+SPREAD = 8                                       # shares of a spot's probes, and join tasks per core
 
 
 def cell(c: Column, size: float | Column) -> Column:
@@ -66,7 +67,13 @@ def radius_join(probes: DataFrame, targets: DataFrame, radius_km: float) -> Data
     d = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("t_lat"), F.col("t_lng"))
     pairs = (spots.join(there.select("_cy", "_cx", *prefixed), ["_cy", "_cx"]).withColumn("distance_km", d)
              .filter(F.col("distance_km") <= radius_km).drop("_cy", "_cx"))
-    return here.join(pairs, ["lat", "lng"]).select(*probes.columns, *[f"t_{c}" for c in targets.columns], "distance_km")
+    # Probes and targets of one spot multiply, so a spot's probes are dealt to several tasks, its targets sent to each.
+    tasks = SPREAD * probes.sparkSession.sparkContext.defaultParallelism
+    dealt = here.withColumn("_share", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int"))
+    copies = pairs.withColumn("_share", F.explode(F.array(*[F.lit(i) for i in range(SPREAD)])))
+    spot = ["lat", "lng", "_share"]
+    met = dealt.repartition(tasks, *spot).join(copies.repartition(tasks, *spot), spot)
+    return met.select(*probes.columns, *[f"t_{c}" for c in targets.columns], "distance_km")
 
 
 def region_cells(regions: DataFrame, size: float) -> DataFrame:
