@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import regions as R
 from ..functions import hints, text as tx
 from ..operators.towns import canonical_towns
+from ..session import with_once
 
 
 def build_listings(candidates: DataFrame, sources: DataFrame, communes: DataFrame, now: Column,
@@ -23,21 +24,21 @@ def build_listings(candidates: DataFrame, sources: DataFrame, communes: DataFram
     rows = candidates.join(defaults, "source_id", "left")
     site = tx.site_identity(F.coalesce("source_name", F.lit("")))
     cleaned = tx.normalise_text(F.col("title"))
-    rows = rows.withColumns({"_title": cleaned, "_site": site})
-    rows = rows.withColumns({"_section": tx.is_not_an_event(F.col("_title"), F.col("_site")),
-                             "_name": tx.strip_site_tail(F.col("_title"), F.col("_site"))})
+    rows = with_once(rows, _title=cleaned, _site=site)
+    rows = with_once(rows, _section=tx.is_not_an_event(F.col("_title"), F.col("_site")),
+                     _name=tx.strip_site_tail(F.col("_title"), F.col("_site")))
     prose = tx.normalise_text(tx.strip_page_builder(F.coalesce("description", F.lit(""))))
-    rows = rows.withColumn("_prose", F.coalesce(tx.some_text(prose), F.col("_name")))
-    rows = rows.withColumns({"_verdict": hints.assess(F.col("_name"), F.col("_prose")),
-                             "_text": hints.joined(F.col("_name"), F.col("_prose"))})
+    rows = with_once(rows, _prose=F.coalesce(tx.some_text(prose), F.col("_name")))
+    rows = with_once(rows, _verdict=hints.assess(F.col("_name"), F.col("_prose")),
+                     _text=hints.joined(F.col("_name"), F.col("_prose")))
     reason = F.when(F.col("_section"), "not an event").when(F.col("_verdict").isNotNull(), F.col("_verdict.reason"))
     rows = rows.withColumn("_reason", reason)
     refused = rows.filter(F.col("_reason").isNotNull()).select(
         "source_id", "external_id", F.col("_reason").alias("reason"), F.col("_verdict.matched").alias("matched"))
 
-    good = rows.filter(F.col("_reason").isNull()).withColumns({
-        "_age": hints.read_age(F.col("_text")), "_price": hints.read_price(F.col("_text")),
-        "_town": F.coalesce(tx.some_text(F.col("town")), tx.some_text(F.col("town_default")), F.lit(R.DEFAULT_TOWN))})
+    good = with_once(
+        rows.filter(F.col("_reason").isNull()), _age=hints.read_age(F.col("_text")), _price=hints.read_price(F.col("_text")),
+        _town=F.coalesce(tx.some_text(F.col("town")), tx.some_text(F.col("town_default")), F.lit(R.DEFAULT_TOWN)))
     good = canonical_towns(good, communes, town="_town", canton="canton_default", out="_town")
     stated = F.col("_age.source") == "event"
     low, high = F.col("age_min_default"), F.col("age_max_default")

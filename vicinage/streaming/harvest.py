@@ -29,7 +29,8 @@ KEYS = ["source_id", "external_id"]
 # Of repeated keys in a batch the earliest date counts, then the text: the same row wherever it lay.
 FIRST = ["start_date", "end_date", "title", "description", "town"]
 STATES = IMPORTED, LOCATED, AUDITED, DONE = "imported", "located", "audited", "done"
-# Precisions that a later run may better, and how long such a row rests between tries.
+# Tasks a batch is read by; precisions that a later run may better, and how long such a row rests between tries.
+TASKS_PER_CORE = 4
 VAGUE, REST_DAYS = ["", "canton", "commune", "fallback", "source_default"], 7
 
 Step = Callable[[DataFrame], DataFrame]
@@ -157,7 +158,9 @@ def harvest(payloads: DataFrame, path: str, checkpoint: str, *, read: Step, sour
 
     def imported(batch: DataFrame, number: int) -> DataFrame:
         spark = batch.sparkSession
-        made, _ = build_listings(fresh(read(batch), today), sources, communes, now)
+        # A file of payloads comes as one task, so its payloads are dealt out before they are read.
+        dealt = batch.repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        made, _ = build_listings(fresh(read(dealt), today), sources, communes, now)
         marked = made.withColumns({"publish": F.col("published"), "state": F.lit(IMPORTED), "attempts": F.lit(0), "geocoded_at": F.lit(None).cast("timestamp")})
         once = _write(first_per(marked, KEYS, FIRST), _work(path, number, "imported"))
         known = current(spark, path, number)
