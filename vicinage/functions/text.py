@@ -206,12 +206,15 @@ def _decode_entity(e: Column) -> Column:
 
 def unescape_html(c: Column) -> Column:
     """Decode named and numeric HTML entities once, as a browser would."""
-    pieces = F.split(c, ENTITY, -1)
-    found = F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
-    joined = F.array_join(
-        F.zip_with(pieces, F.transform(found, _decode_entity),
-                   lambda text, mark: F.concat(F.coalesce(text, F.lit("")), F.coalesce(mark, F.lit("")))), "")
-    return F.when(c.contains("&"), joined).otherwise(c)
+    def decoded(text: Column) -> Column:
+        pieces = F.split(text, ENTITY, -1)
+        found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+        joined = F.array_join(
+            F.zip_with(pieces, F.transform(found, _decode_entity),
+                       lambda piece, mark: F.concat(F.coalesce(piece, F.lit("")), F.coalesce(mark, F.lit("")))), "")
+        return F.when(text.contains("&"), joined).otherwise(text)
+
+    return F.get(F.transform(F.array(c), decoded), 0)       # however often the text is used, it is made once
 
 
 def tokens(c: Column, min_length: int = 4) -> Column:

@@ -16,6 +16,7 @@ from ..functions import dates, text as tx, urls
 from ..functions.dates import let
 from ..operators.filters import day
 from ..operators.ranking import first_per
+from ..session import with_once
 
 CANDIDATE = ["source_id", "external_id", "title", "description", "start_date", "end_date", "time", "town",
              "lat", "lng", "image"]
@@ -51,11 +52,15 @@ def from_open_data_json(payloads: DataFrame, sources: DataFrame, today) -> DataF
     p = F.col("payload")
     wrapped = F.from_json(p, f"result struct<records:array<{record}>>, records array<{record}>")
     inner = lambda c: F.when(F.size(c) > 0, c)
-    rows = F.when(F.ltrim(p).startswith("["), F.from_json(p, f"array<{record}>")).otherwise(
-        F.coalesce(inner(wrapped["result"]["records"]), inner(wrapped["records"])))
-    r = with_source_defaults(payloads.select("source_id", F.explode(rows).alias("r")), sources)
-    stated = lambda name: F.coalesce(*[_text(F.try_element_at("r", F.lit(k))) for k in JSON_FIELDS[name]])
+    rows = F.when(F.ltrim(p).startswith("["), F.from_json(p, f"array<{record}>")).otherwise(let(
+        wrapped, lambda w: F.coalesce(inner(w["result"]["records"]), inner(w["records"]))))
     t = day(today)
+    told = lambda name: F.coalesce(*[_text(F.try_element_at("r", F.lit(k))) for k in JSON_FIELDS[name]])
+    records = with_once(payloads.select("source_id", F.explode(rows).alias("r")), **{f"_{name}": told(name) for name in JSON_FIELDS})
+    stated = lambda name: F.col(f"_{name}")
+    records = with_once(records, start_date=dates.to_iso_date(stated("start"), t), end_date=dates.to_iso_date(stated("end"), t)).drop("r")
+    records = records.filter(stated("external_id").isNotNull() & F.col("start_date").isNotNull())
+    r = with_source_defaults(records, sources)
     number = lambda name: F.nullif(stated(name).try_cast("double"), F.lit(0.0))
     unreadable = (stated("lat").isNotNull() & stated("lat").try_cast("double").isNull()) \
         | (stated("lng").isNotNull() & stated("lng").try_cast("double").isNull())
@@ -65,12 +70,11 @@ def from_open_data_json(payloads: DataFrame, sources: DataFrame, today) -> DataF
     return r.select(
         "source_id", stated("external_id").alias("external_id"), title.alias("title"),
         F.coalesce(stated("description"), title).alias("description"),
-        dates.to_iso_date(stated("start"), t).alias("start_date"), dates.to_iso_date(stated("end"), t).alias("end_date"),
-        F.coalesce(stated("time"), F.lit("")).alias("time"),
+        "start_date", "end_date", F.coalesce(stated("time"), F.lit("")).alias("time"),
         F.coalesce(stated("town"), _text(F.col("town_default")), F.lit(DEFAULT_TOWN)).alias("town"),
         at("lat", "lat_default", SOURCE_CENTRE[0]).alias("lat"), at("lng", "lng_default", SOURCE_CENTRE[1]).alias("lng"),
         F.coalesce(stated("image"), F.col("image_default"), F.lit("")).alias("image"),
-    ).filter(F.col("external_id").isNotNull() & F.col("start_date").isNotNull())
+    )
 
 
 # --- calendars --------------------------------------------------------------------------------
@@ -349,8 +353,8 @@ def from_listing_blocks(pages: DataFrame, sources: DataFrame, selectors: dict[st
     pick = lambda name: select_text(item, selectors[name]) if name in selectors else F.lit("")
     raw_date = select_attr(item, selectors["date"], selectors["date_attr"]) if "date_attr" in selectors else pick("date")
     attr = lambda name, a: F.coalesce(select_attr(item, selectors[name], a), F.lit("")) if name in selectors else F.lit("")
-    rows = rows.withColumns({"title": pick("title"), "start_date": dates.to_iso_date(raw_date, t),
-                             "_link": attr("link", "href"), "_image": attr("image", "src")})
+    rows = with_once(rows, title=pick("title"), start_date=dates.to_iso_date(raw_date, t),
+                     _link=attr("link", "href"), _image=attr("image", "src"))
     made_id = F.concat_ws(":", F.col("source_id").cast("string"), F.col("start_date").cast("string"), F.col("title"))
     return rows.select(
         "source_id", F.coalesce(_text(F.col("_link")), made_id).alias("external_id"), "title",
