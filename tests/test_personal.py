@@ -70,3 +70,17 @@ def test_for_you_equals_the_greedy_walk(spark, first):
     for r in personal.for_you_all(profiles, listings, F.col("key"), F.col("title"), first=first).orderBy("user_id", "slot").collect():
         got.setdefault(r.user_id, []).append((r.id, r.score))
     assert got == want and len(want) > 10
+
+
+def test_a_long_home_canton_is_not_walked_row_by_row(spark, monkeypatch):
+    """Rows of one signature that say what an earlier one says stay out of the walk, and a look holds a few times the rows it asks for."""
+    home = [(f"h{i}", i, ["Nature"], 0, 99, "Wiltz", 0.0, WORDS[i % 3] if i % 5 else "") for i in range(3000)]
+    away = [(f"a{i}", 3000 + i, ["Nature"], 0, 99, c, 0.0, "") for i, c in enumerate(["Mersch", "Remich"] * 3)]
+    listings = spark.createDataFrame(home + away, "id string, key int, category array<string>, age_min int, age_max int, canton string, price_adult double, title string")
+    profiles = spark.createDataFrame([(1, "couple", ["nature"], [], ["Wiltz"], ["Mersch", "Remich"], "free")], "user_id int, persona string, interests array<string>, "
+                                     "child_age_groups array<string>, preferred_cantons array<string>, near_cantons array<string>, budget string")
+    walked, picked = [], personal._picked
+    monkeypatch.setattr(personal, "_picked", lambda rows, *a: (walked.append(rows.count()), picked(rows, *a))[1])
+    got = [r.id for r in personal.for_you_all(profiles, listings, F.col("key"), F.col("title"), first=8).orderBy("slot").collect()]
+    assert got == ["h0", "h1", "h2", "h3", "a0", "a1", "a2", "a3"]
+    assert sum(walked) < 100

@@ -21,7 +21,7 @@ from .ranking import first_per
 
 ANSWERS = ["persona", "interests", "child_age_groups", "preferred_cantons", "near_cantons", "budget"]
 TRAITS = ["canton", "interest_hits", "age_hits", "price_step"]
-FIRST_LOOK, WIDER = 256, 32   # rows a set of answers looks at first, and how many times as many next
+FIRST_LOOK, WIDER = 256, 4   # rows a set of answers looks at first beyond those of its first cantons, and how many times as many next
 PRICE_STEPS = [-1.0, 0.0, 15.0, 30.0, 1e9]
 
 
@@ -64,11 +64,10 @@ def listing_traits() -> dict[str, Column]:
     return {"interest_hits": interests, "age_hits": ages, "price_step": step.when(price.isNotNull(), F.lit(PRICE_STEPS[-1]))}
 
 
-def listing_signatures(listings: DataFrame, order: Column | None = None) -> DataFrame:
-    """(signature, traits, n, place): the distinct signatures with a number that follows from the traits, how many listings
-    have each, and the first place of one in list order. Everything that scores works on these alone."""
-    place = F.min(order) if order is not None else F.lit(None)
-    return listings.withColumns(listing_traits()).groupBy(*TRAITS).agg(F.count("*").alias("n"), place.alias("place")) \
+def listing_signatures(listings: DataFrame) -> DataFrame:
+    """(signature, traits, n): the distinct signatures with a number that follows from the traits, and how many listings
+    have each. Everything that scores works on these alone."""
+    return listings.withColumns(listing_traits()).groupBy(*TRAITS).agg(F.count("*").alias("n")) \
         .withColumn("signature", F.xxhash64(*TRAITS))
 
 
@@ -160,29 +159,54 @@ def for_you(scored: DataFrame, key: list, order: list, slots: int = P.SLOTS, hom
         .drop("_home", "_group_rank", "_reserved")
 
 
-def _ranked(scored: DataFrame) -> DataFrame:
-    """Scored signatures with their rank within a set of answers, and how many rows score better.
+def _telling(rows: DataFrame, per_canton: int) -> DataFrame:
+    """The rows (signature, place, words, ...) that a walk may need, and the `step` of their signature they belong to.
 
-    Also per set of answers: its rows, its home rows, and in how many cantons they lie.
+    Rows of one signature have one score. Of those with equal words all behave as the first one: it shares a word with a kept row, or
+    keeps the others out. Rows without words keep nothing out, and no canton gives more than `per_canton` of them. Steps
+    hold 3, 12, 48 ... rows in the order of their places.
     """
+    first = first_per(rows, ["signature", "words"], ["place"], per_canton, rank="_nth").filter((F.size("words") == 0) | (F.col("_nth") == 1))
+    place = F.row_number().over(Window.partitionBy("signature").orderBy("place"))
+    return first.withColumn("step", F.floor(F.log2(place) / 2).cast("int")).drop("_nth")
+
+
+def _ranked(scored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Steps of scored signatures, and how many rows lie before each for sure (`before`).
+
+    That is all rows that score better and, of those that score the same, the steps that another one follows up to there.
+    """
+    steps = rows.groupBy("signature", "step").agg(F.count("*").alias("n"), F.min("place").alias("begin"), F.max("place").alias("end"))
+    steps = cut(steps.withColumn("_over", F.coalesce(F.lag("n").over(Window.partitionBy("signature").orderBy("step")), F.lit(0))))
     each = Window.partitionBy("answers")
-    scored = scored.withColumn("_down", -F.round(F.col("score") * 1e6).cast("bigint"))   # whole millionths, as scores are rounded to them
-    better = F.sum("n").over(each.orderBy("_down").rangeBetween(Window.unboundedPreceding, -1))
-    return scored.withColumns({
-        "rank": F.row_number().over(each.orderBy("_down", "place")), "better": F.coalesce(better, F.lit(0)), "rows": F.sum("n").over(each),
-        "home_rows": F.sum(F.when(F.col("home"), F.col("n")).otherwise(0)).over(each),
-        "cantons": F.size(F.collect_set(F.coalesce("canton", F.lit(""))).over(each))}).drop("_down")
+    scored = scored.withColumn("down", -F.round(F.col("score") * 1e6).cast("bigint"))   # whole millionths, as scores are rounded to them
+    better = F.sum("n").over(each.orderBy("down").rangeBetween(Window.unboundedPreceding, -1))
+    over = F.sum("_over").over(Window.partitionBy("answers", "down").orderBy("begin").rowsBetween(Window.unboundedPreceding, 0))
+    return scored.join(steps, "signature").withColumn("before", F.coalesce(better, F.lit(0)) + over).drop("_over", "n")
 
 
-def _candidates(ranked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """The first k rows of each set of answers by score, then place: (answers, score, place, id, canton, home, words, ...).
+def _looks(ranked: DataFrame, cantons: int) -> DataFrame:
+    """Per set of answers the number of cantons of its rows, and how many rows lie before the last of the first `cantons` ones."""
+    per = ranked.groupBy("answers", F.coalesce("canton", F.lit("")).alias("canton")).agg(F.min("before").alias("before"))
+    places = F.sort_array(F.collect_list("before"))
+    return per.groupBy("answers").agg(F.count("*").cast("int").alias("cantons"),
+                                      F.element_at(places, F.least(F.lit(cantons), F.size(places))).alias("ahead"))
 
-    They lie in the first k signatures by score and first place, and of those only where fewer than k rows score better.
+
+def _candidates(ranked: DataFrame, rows: DataFrame, k: Column) -> DataFrame:
+    """At least the first k rows of each set of answers by score, then place: (answers, score, place, id, canton, home, words, ...).
+
+    They lie in the steps that have fewer than k rows before them, up to where the first of the other steps begins. `whole`: no
+    step is left; `home_whole`: no home row is.
     """
-    wanted = ranked.filter((F.col("rank") <= k) & (F.col("better") < k)).drop("rank", "better", "place", "n")
-    inside = rows.join(wanted.select("signature").distinct(), "signature", "left_semi")
-    first = first_per(inside, ["signature"], ["place"], k)
-    return first_per(wanted.join(first, "signature"), ["answers"], [F.col("score").desc(), "place"], k)
+    each = Window.partitionBy("answers")
+    at = lambda place: F.struct("down", F.col(place).alias("place"))
+    steps = ranked.withColumn("_upto", F.min(F.when(F.col("before") >= k, at("begin"))).over(each))
+    steps = steps.withColumns({
+        "whole": F.col("_upto").isNull(),
+        "home_whole": F.max(F.when(F.col("home"), at("end"))).over(each) <= F.col("_upto")}) \
+        .withColumn("home_whole", F.coalesce("home_whole", F.lit(True))).filter(F.col("before") < k).drop("begin", "end", "before", "ahead")
+    return steps.join(rows, ["signature", "step"]).filter(F.col("whole") | (at("place") <= F.col("_upto")))
 
 
 class _Picks:
@@ -190,11 +214,10 @@ class _Picks:
 
     def __init__(self, slots: int, home_slots: int, per_canton: int):
         self.slots, self.home_slots, self.per_canton = slots, home_slots, per_canton
-        self.words, self.kept, self.cantons, self.read, self.home_read, self.homes = set(), [], {}, 0, 0, 0
+        self.words, self.kept, self.cantons, self.homes = set(), [], {}, 0
 
     def add(self, row: tuple) -> None:
         id_, canton, home, score, words = row
-        self.read, self.home_read = self.read + 1, self.home_read + home
         if self.homes >= self.home_slots and len(self.kept) >= self.slots or not self.words.isdisjoint(words):
             return
         self.words.update(words)
@@ -208,11 +231,11 @@ class _Picks:
         home = [r for r in self.kept if r[2]][:self.home_slots]
         return (home + [r for r in self.kept if r not in home])[:self.slots]
 
-    def settled(self, rows: int, home_rows: int, cantons: int) -> bool:
+    def settled(self, whole: bool, home_whole: bool, cantons: int) -> bool:
         """Whether rows still to come could change nothing."""
         full = sum(n >= self.per_canton for n in self.cantons.values())
-        enough = (self.homes >= self.home_slots or self.home_read == home_rows) and len(self.kept) >= self.slots
-        return self.read == rows or full == cantons or enough
+        enough = (self.homes >= self.home_slots or home_whole) and len(self.kept) >= self.slots
+        return whole or full == cantons or enough
 
 
 def _picked(rows: DataFrame, slots: int, home_slots: int, per_canton: int) -> DataFrame:
@@ -243,9 +266,9 @@ def _picked(rows: DataFrame, slots: int, home_slots: int, per_canton: int) -> Da
         frame = pd.DataFrame(out, columns=["answers", "slot", "id", "canton", "score", "settled"])
         return frame.astype({"slot": "Int32"})
 
-    # the window of `_candidates` has dealt the rows by set of answers and put them in this order
-    ordered = rows.sortWithinPartitions("answers", F.col("score").desc(), "place")
-    return ordered.select("answers", "id", "canton", "home", "score", "words", "rows", "home_rows", "cantons").mapInPandas(
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(tasks, "answers").sortWithinPartitions("answers", "down", "place")
+    return ordered.select("answers", "id", "canton", "home", "score", "words", "whole", "home_whole", "cantons").mapInPandas(
         run, f"answers long, slot int, id {kinds['id']}, canton {kinds['canton']}, score double, settled boolean")
 
 
@@ -255,23 +278,26 @@ def for_you_all(profiles: DataFrame, listings: DataFrame, order: Column, title:
 
     Listings are walked by score, then `order`; one whose `title` shares a significant word with a kept one falls out, and
     the quotas choose among those kept. Picks are made per set of answers and then handed to its users. A set of answers
-    sees its first rows only: `first` of them, and WIDER times as many where they left slots open and more could fill them.
+    sees its first rows only: those before enough cantons have come, `first` more, and WIDER times as many where they left
+    slots open and more could fill them.
     """
-    words = F.transform(match.title_words(title), lambda w: F.xxhash64(w)) if title is not None else F.array().cast("array<bigint>")
-    traits = listings.withColumns({**listing_traits(), "place": order, "words": words}) \
+    words = F.array_sort(F.transform(match.title_words(title), lambda w: F.xxhash64(w))) if title is not None else F.array().cast("array<bigint>")
+    traits = listings.withColumns({**listing_traits(), "place": F.struct(order.alias("order"), "id"), "words": words}) \
         .select(F.xxhash64(*TRAITS).alias("signature"), "id", "place", "words")
-    counts = cut(listing_signatures(listings, order))
+    rows = cut(_telling(traits, per_canton))
+    counts = cut(listing_signatures(listings))
     sets = answer_sets(profiles)
-    scored = score_signatures(sets, counts).join(counts.select("signature", "canton", "n", "place"), "signature")
-    scored = cut(_ranked(scored))
-    found, k = [], first
+    scored = score_signatures(sets, counts).join(counts.select("signature", "canton"), "signature")
+    ranked = cut(_ranked(scored, rows))
+    ranked = cut(ranked.join(_looks(ranked, -(-slots // max(per_canton, 1))), "answers"))
+    found, times = [], 1
     while True:
-        told = cut(_picked(_candidates(scored, traits, k), slots, home_slots, per_canton))
+        told = cut(_picked(_candidates(ranked, rows, (F.col("ahead") + first) * times), slots, home_slots, per_canton))
         found.append(told.filter(F.col("slot").isNotNull()))
         if told.filter(~F.col("settled")).isEmpty():
             break
-        scored = scored.join(told.filter(~F.col("settled")).select("answers").distinct(), "answers", "left_semi")
-        k *= WIDER
+        ranked = ranked.join(told.filter(~F.col("settled")).select("answers").distinct(), "answers", "left_semi")
+        times *= WIDER
     picks = reduce(lambda a, b: a.unionByName(b), found).drop("settled")
     users = profiles.select("user_id", answers_key().alias("_key")).join(sets.select("_key", "answers"), "_key")
     return users.join(picks, "answers").select("user_id", "slot", "id", "canton", "score")
