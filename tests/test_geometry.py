@@ -153,3 +153,16 @@ def test_ways_become_lines(spark):
     for line in lines.values():
         walked = [ends[w][::-1] if turned else ends[w] for w, turned in line]
         assert all(x[1] == y[0] for x, y in zip(walked, walked[1:]))
+
+
+def test_small_routes_are_chained_without_rounds(spark, monkeypatch):
+    """In one task as over rounds: lines, rings, ways that are rings, ends without a value, many ways at one vertex."""
+    r = random.Random(3)
+    at = lambda: (float(r.randint(0, 3)), r.choice([0., 1., None, float("nan")]))
+    ways = [(k, w, *at(), *at()) for k in range(60) for w in r.sample(range(100), r.randint(1, 14))]
+    ways += [(60 + n, i, float(i), 0., float((i + 1) % n), 0.) for n in (1, 2, 3, 9) for i in range(n)]
+    df = spark.createDataFrame(ways, "route_id int, way_id int, first_lat double, first_lng double, last_lat double, last_lng double")
+    rounds = {tuple(x) for x in routes.chain_rounds(df, "route_id", "way_id").collect()}
+    mixed = {tuple(x) for x in routes.chain(df, local_ways=5).collect()}
+    monkeypatch.setattr(routes, "_followed", lambda *a: pytest.fail("rounds"))
+    assert {tuple(x) for x in routes.chain(df).collect()} == rounds == mixed and len(rounds) == len(ways)
