@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,16 @@ def test_ways_become_lines(spark):
         assert all(x[1] == y[0] for x, y in zip(walked, walked[1:]))
 
 
+def test_many_lines_at_once_as_each_alone():
+    r = random.Random(5)
+    lines = [wiggle(r.choice([1, 2, 3, 4, 7, 9, 40, 300]), i, r.choice([0, .0002, .004])) for i in range(300)]
+    lines += [[(49.5, 6.0), (49.6, 6.1), (49.5, 6.0)], [(49.5, 6.0), (float("nan"), 6.1), (49.7, 6.0), (49.5, 6.2)]]
+    flat = np.array([p for line in lines for p in line])
+    begins = np.cumsum([0, *map(len, lines)])[:-1].tolist()
+    want = np.concatenate([routes._significance(*np.array(line).T, 0.025) for line in lines])
+    assert np.array_equal(routes._significances(flat[:, 0].copy(), flat[:, 1].copy(), begins, 0.025), want)
+
+
 def test_small_routes_are_chained_without_rounds(spark, monkeypatch):
     """In one task as over rounds: lines, rings, ways that are rings, ends without a value, many ways at one vertex."""
     r = random.Random(3)
