@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -210,6 +211,34 @@ def test_latent_search_against_all_pairs(shard, monkeypatch):
     assert sum(map(len, found)) >= 0.9 * sum(map(len, every)) > 0
 
 
+def test_latent_search_compares_few_windows(shard, monkeypatch):
+    """Windows whose words can't reach any passage are not compared, and no candidate is lost by that."""
+    index, _, hosts = shard
+    texts = [w for level in ("0", "20", "40") for _, w in planted_copies(index, hosts, level, n=20)] + hosts[:60]
+    near, compared = decontaminate.Group.near, []
+    monkeypatch.setattr(decontaminate.Group, "near", lambda group, places: compared.append(len(places)) or near(group, places))
+    found = [index.candidates(w) for w in texts]
+    few = sum(compared)
+    compared.clear()
+    for group in index.groups:
+        monkeypatch.setattr(group, "bar", -np.inf, raising=False)
+    assert [index.candidates(w) for w in texts] == found and any(found)
+    assert few < sum(compared) / 20
+
+
+def test_texts_are_searched_together(shard):
+    index, _, hosts = shard
+    texts = [" ".join(w) for _, w in planted_copies(index, hosts, "0", n=6)]
+    texts = [None, "", texts[0], "filler " * 40_000 + texts[1], *texts[2:], "-", *texts] * 20
+    got = list(decontaminate.hits_of([index, index], pa.array(texts)))
+    assert got[:15] == [2 * index.hits(t) for t in texts[:15]] and got == got[:15] * 20 and all(got[2:8])
+
+
+def test_words_of_odd_letters():
+    for text in ("\u0391\u03a3'\u0391 \u0391\u03a3, \u03a3", "\u0130stanbul I\u0307x", "x\u00b2\u00bd_y\u2460", "\u00abL'\u00c9t\u00e9\u00bb\u2013fin\u2026", "A\u0301b\x85c\u2028d\x1fe\x7ff"):
+        assert decontaminate.words(text) == re.findall(r"[^\W_]+", text.lower())
+
+
 def rng_matrix(rows, columns):
     return np.random.default_rng(1).standard_normal((rows, columns))
 

@@ -12,7 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +30,40 @@ LCS = 0.8                     # share of an item's words found in order
 PARAPHRASE, ANSWER = 0.6, 0.9  # a looser share, if the item's answer is there nearly word for word
 COMMON, RARE = 0.1, 5         # words in more than that share of documents place nothing, but for passages of fewer rarer ones
 STRETCH = 1 << 14             # words of a document searched at a time
-BLOCK = 1 << 12               # windows compared at a time
+BLOCK = 1 << 10               # windows compared at a time
+BLOCK_CHARS, BLOCK_ROWS = 1 << 17, 1 << 8  # texts searched at a time
 PASSAGES = 1_000              # passages of a model, about
 SHARD = 400                   # items of a model; larger benchmarks have several
 TOGETHER = 8                  # models that one pass over the documents searches: what is broadcast at a time
 _WORD = re.compile(r"[^\W_]+")
+_PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))  # ASCII signs become spaces
 _SENTENCE = re.compile(r"[.!?]\s+|\n+")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits, lowered."""
-    out = []
-    for w in text.lower().split():
-        if w.isalnum():
-            out.append(w)
-        else:
-            out += _WORD.findall(w)
-    return out
+    found = text.lower().encode().translate(_PLAIN).decode().split()
+    if text.isascii() or all(map(str.isalnum, found)):
+        return found
+    return [w for part in found for w in _WORD.findall(part)]
 
 
 def word_set(text: str) -> set[str]:
     """The different words of a text."""
-    found = set()
-    for w in set(text.lower().split()):
-        if w.isalnum():
-            found.add(w)
-        else:
-            found.update(_WORD.findall(w))
-    return found
+    return set(words(text))
+
+
+def blocks(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, null ones empty, a bounded number of them and of their characters at a time."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t.as_py() or "")
+        size += len(some[-1])
+        if size >= BLOCK_CHARS or len(some) == BLOCK_ROWS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def parts(found: list[str]) -> list[list[str]]:
@@ -116,7 +122,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[
         held, rows = Counter(), 0
         for batch in batches:
             for t in batch.column(0):
-                held.update(shared.value & word_set(t.as_py() or ""))
+                held.update(shared.value.intersection(words(t.as_py() or "")))
                 rows += 1
         yield pa.RecordBatch.from_arrays([pa.array(["", *held], type=pa.string()), pa.array([rows, *held.values()], type=pa.int64())], ["w", "n"])
 
@@ -193,47 +199,76 @@ class Index:
 
         Every stretch of a passage's length lies in one of its windows.
         """
+        return self.candidates_of([found]).get(0, set())
+
+    def candidates_of(self, held: list[list[str]]) -> dict[int, set[tuple[int, int, int]]]:
+        """The same for the words of many texts: by the text's place, for those that have any."""
+        begins = np.cumsum([0, *map(len, held)]).tolist()
         get, other = self.column.get, len(self.column)
-        out: set[tuple[int, int, int]] = set()
-        for low in range(0, max(1, len(found) - 2 * PART), STRETCH):
-            some = found[low:low + STRETCH + 2 * PART]
-            cols = np.fromiter(map(get, some, repeat(other)), dtype=np.int64, count=len(some))
-            out |= {(i, low + b, low + e) for i, b, e in self._stretch(cols)}
+        cols = np.fromiter(map(get, chain.from_iterable(held), repeat(other)), dtype=np.int64, count=begins[-1])
+        rows = np.array([(d, a, at, min(at + STRETCH + 2 * PART, b)) for d, (a, b) in enumerate(zip(begins, begins[1:]))
+                         for at in range(a, a + max(1, b - a - 2 * PART), STRETCH)], dtype=np.int64).reshape(-1, 4)
+        out: dict[int, set[tuple[int, int, int]]] = {}
+        for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(rows[:, 3] - rows[:, 2]) // STRETCH)) + 1):
+            text, first, low, high = some.T
+            if len(some):
+                at, until = low[0], high[-1]
+                for row, item, begin, end in self._near(cols[at:until], low - at, high - at):
+                    shift = (at - first)[row]
+                    for d, *candidate in zip(text[row].tolist(), item.tolist(), (begin + shift).tolist(), (end + shift).tolist()):
+                        out.setdefault(d, set()).add(tuple(candidate))
         return out
 
-    def _stretch(self, cols: np.ndarray) -> set[tuple[int, int, int]]:
-        n = len(cols)
+    def _near(self, cols: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(stretch, item, begin, end) of the windows of the stretches low to high that are near an item's passage."""
         placed = np.flatnonzero(cols != len(self.column))
         if not len(placed):
-            return set()
-        upto = np.zeros(n + 1, dtype=np.int64)         # words with a place before each word
+            return
+        upto = np.zeros(len(cols) + 1, dtype=np.int64)         # words with a place before each word
         upto[placed + 1] = 1
         np.cumsum(upto, out=upto)
-        mass = np.concatenate([[0.0], np.cumsum(self.mass[cols[placed]], dtype=float)])
-        sums = np.zeros((len(placed) + 1, self.places.shape[1]), dtype=np.float32)
-        np.cumsum(self.places[cols[placed]], axis=0, out=sums[1:])
-        out: set[tuple[int, int, int]] = set()
+        held = cols[placed]
+        mass = _prefix(self.mass[held])
         for group in self.groups:
             window, apart = group.size * 3 // 2, group.size // 2
-            begin = np.arange(0, max(1, n - window + apart), apart)
-            low, high = upto[begin], upto[np.minimum(begin + window, n)]
-            some = np.flatnonzero(mass[high] - mass[low] >= group.least)
+            count = -(-np.maximum(1, high - low - window + apart) // apart)
+            row = np.repeat(np.arange(len(low)), count)
+            begin = low[row] + apart * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+            end = np.minimum(begin + window, high[row])
+            a, b = upto[begin], upto[end]
+            reach = _prefix(group.reach[held])
+            some = np.flatnonzero((mass[b] - mass[a] >= group.least) & (reach[b] - reach[a] >= group.bar))
             for k in range(0, len(some), BLOCK):
                 at = some[k:k + BLOCK]
-                window_at, passage = group.near(sums[high[at]] - sums[low[at]])
-                out |= {(i, b, min(b + window, n)) for i, b in zip(group.item_of[passage].tolist(), begin[at[window_at]].tolist())}
+                window_at, passage = group.near(self._places(held, a[at], b[at]))
+                at = at[window_at]
+                yield row[at], group.item_of[passage], begin[at], end[at]
+
+    def _places(self, held: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places of windows: the sums over their words a to b."""
+        out = np.zeros((len(a), self.places.shape[1]), dtype=np.float32)
+        full = np.flatnonzero(b > a)
+        if len(full):
+            size = (b - a)[full]
+            begin = np.cumsum(size) - size
+            word = np.arange(size.sum()) + np.repeat(a[full] - begin, size)
+            out[full] = np.add.reduceat(self.places[held[word]], begin, axis=0)
         return out
 
     def hits(self, text: str | None) -> list[tuple[int, float, bool]]:
-        """(item, share, answer found) of the items that a whole text holds, the best place of each.
+        """(item, share, answer found) of the items that a whole text holds, the best place of each."""
+        found = words(text or "")
+        return self.judged(found, self.candidates(found))
+
+    def judged(self, found: list[str], candidates: set[tuple[int, int, int]]) -> list[tuple[int, float, bool]]:
+        """(item, share, answer found) of the candidates of a text that are confirmed, the best place of each item.
 
         A candidate is judged with as many words before and after it as the item has, so one that begins within half of
         that after another adds nothing.
         """
-        found = words(text or "")
         best: dict[int, tuple[float, bool]] = {}
         judged = (-1, 0)
-        for i, at, end in sorted(self.candidates(found)):
+        for i, at, end in sorted(candidates):
             size = len(self.words[i])
             if i == judged[0] and at <= judged[1] + size // 2:
                 continue
@@ -244,11 +279,27 @@ class Index:
         return [(self.ids[i], *s) for i, s in sorted(best.items())]
 
 
+def _prefix(values: np.ndarray) -> np.ndarray:
+    """Sums of all values before each one and, at the end, of all."""
+    out = np.zeros(len(values) + 1)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def hits_of(indexes: list[Index], texts: pa.Array) -> Iterator[list[tuple[int, float, bool]]]:
+    """The hits of each text in all indexes."""
+    for some in blocks(texts):
+        held = [words(t) for t in some]
+        near = [(index, index.candidates_of(held)) for index in indexes]
+        for d, found in enumerate(held):
+            yield [h for index, candidates in near if d in candidates for h in index.judged(found, candidates[d])]
+
+
 class Group:
     """The passages of like length, as directions in the latent space."""
 
     def __init__(self, size: int, found: list[tuple[int, list[str]]], index: Index):
-        self.size, self.item_of = size, np.array([i for i, _ in found])
+        self.size, self.item_of, self.places = size, np.array([i for i, _ in found]), index.places
         latent, held, least = [], [], []
         for _, p in found:
             cols = np.array([index.column[x] for x in p if x in index.column], dtype=np.int64)
@@ -262,6 +313,18 @@ class Group:
         self.held = np.maximum(np.array(held, dtype=np.float32), 1e-6)
         self.least = min(least) * (1 - 1e-6)
 
+    @property
+    def held(self) -> np.ndarray:
+        """How far a window must reach in the direction of each passage."""
+        return self._held
+
+    @held.setter
+    def held(self, held: np.ndarray) -> None:
+        """Sets `reach` with it, the most of that way that each word goes for any passage: those of a near window go all of it."""
+        self._held, known = held, (held > 0).all()
+        self.reach = (self.places @ (self.latent / held)).max(axis=1).clip(0) if known else np.zeros(len(self.places))
+        self.bar = 1 - 1e-3 if known else -math.inf
+
     def near(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, passage) of every pair whose cosine reaches COSINE, the window reaching HELD of the way to the passage.
 
@@ -335,7 +398,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                made = [(i.as_py(), *h) for i, t in zip(b.column(0), b.column(1)) for index in shared.value for h in index.hits(t.as_py())]
+                made = [(i.as_py(), *h) for i, hits in zip(b.column(0), hits_of(shared.value, b.column(1))) for h in hits]
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], type=t) for k, t in enumerate(
                     (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["id", "item", "share", "answer"])
 
@@ -352,7 +415,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = b.schema.get_field_index(text)
-                yield from kept_rows(b, [not any(index.hits(t.as_py()) for index in shared.value) for t in b.column(at)])
+                yield from kept_rows(b, [not hits for hits in hits_of(shared.value, b.column(at))])
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
