@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from vicinage.functions import opening
+from vicinage.functions import opening, text
 from vicinage.operators import filters, places as pl, spatial
 from vicinage.plans import quality
-from vicinage.sources import feeds
+from vicinage.sources import feeds, kinds
 from vicinage.streaming import harvest
 
 ELEMENTS = "osm_id long, osm_type string, tags map<string,string>, lat double, lng double"
@@ -81,3 +81,31 @@ def test_a_file_of_payloads_is_read_by_several_tasks(spark, tmp_path):
     except Exception:  # noqa: BLE001 - the import fails on purpose
         pass
     assert seen[0] > 1
+
+
+def test_payloads_are_made_once_for_all_kinds(spark):
+    """Before, every kind went through all payloads, and pages named by a sitemap were made again for each question asked of them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def page(i):
+        made.add(1)
+        return f'<meta property="og:title" content="Fest {i} &amp; \x01 Spill"><time>0{i + 1}.02.2024</time>' if i % 2 else "BEGIN:VEVENT\nUID:u\nDTSTART:20240203\nEND:VEVENT"
+
+    payloads = spark.range(6).select(F.col("id").cast("string").alias("payload_id"), (F.col("id") % 2).alias("source_id"), F.concat(F.lit("https://x.lu/"), F.col("id")).alias("url"),
+                                     F.udf(page, "string")("id").alias("payload"))
+    sources = spark.createDataFrame([(0, "ical"), (1, "sitemap"), (1, "unknown")], "source_id long, kind string")
+    sources = sources.select("*", *[F.lit(None).cast(t).alias(f"{c}_default") for c, t in (("town", "string"), ("lat", "double"), ("lng", "double"), ("image", "string"))],
+                             F.lit(None).cast("string").alias("selectors"))
+    communes = spark.createDataFrame([], "name string, names array<string>, canton string, lat double, lng double")
+    rows = kinds.read_all(payloads, sources, "2024-01-01", communes).collect()
+    assert made.value == 6
+    assert sorted((r.kind, r.title, str(r.start_date)) for r in rows) == [("ical", "Untitled event", "2024-02-03")] * 3 + [
+        ("sitemap", f"Fest {i} & \x01 Spill", f"2024-02-0{i + 1}") for i in (1, 3, 5)]
+
+
+def test_entities_are_found_by_kept_patterns(spark):
+    """Before, split() compiled the pattern of all entities for every row that has one."""
+    rows = spark.createDataFrame([("a &amp; b&#x41;",), ("&lt;\x01&gt;",), ("&amp;",), ("&nope; &",), (None,)], "v string")
+    told = rows.select(text.unescape_html(F.col("v")).alias("s"))
+    assert "split(regexp_replace(" in optimized(told)
+    assert [r.s for r in told.collect()] == ["a & bA", "<\x01>", "&", "&nope; &", None]

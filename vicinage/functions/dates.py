@@ -92,12 +92,22 @@ YEAR_FIRST = r"(?<!\d)(\d{4})[./-](\d{1,2})[./-](\d{1,2})(?!\d)"
 DAY_NAME = rf"(?<![\da-z])(\d{{1,2}})(?:st|nd|rd|th|er)?\.?[\s-]*(?:de\s+)?({_NAME_PATTERN})\.?,?[\s-]*(\d{{4}})(?!\d)"
 NAME_DAY = rf"(?<![a-z])({_NAME_PATTERN})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?!\d)"
 
+# A text that is one full day-first date and nothing else, and what every notation has somewhere.
+DAY_ONLY = r"^\d{2}[./-]\d{2}[./-][1-9]\d{3}$"
+DATED = r"\d{4}|\d[./-]\d{1,2}[./-]\d{2}"
+
 
 def read_date(text: Column, today: Column) -> Column:
-    """The date a text states in any supported notation; a bare time is not a date. No year gate."""
+    """The date a text states in any supported notation; a bare time is not a date. No year gate.
+
+    Feeds mostly hold plain ISO and day-first dates: these are cut out by place, the search is for all others.
+    """
     def read(t: Column) -> Column:
         plain = strip_accents(F.lower(t))
-        as_iso = let(_numbers(t, ISO_FORM), lambda n: safe_date(n["a"], n["b"], n["c"]))
+        part = lambda at, size: F.substring(t, at, size)
+        of = lambda *parts: F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]).try_cast("date")
+        as_iso = F.when(t.rlike(ISO_FORM), part(1, 10).try_cast("date"))
+        as_day = F.coalesce(of(part(7, 4), part(4, 2), part(1, 2)), of(part(7, 4), part(1, 2), part(4, 2)))
         # Day-first notation applies after a leading year too, wherever the last number can be a month.
         as_year_first = let(_numbers(t, YEAR_FIRST), lambda n: F.when(
             n["c"] <= 12, safe_date(n["a"], n["c"], n["b"])).otherwise(safe_date(n["a"], n["b"], n["c"])))
@@ -108,7 +118,8 @@ def read_date(text: Column, today: Column) -> Column:
                              _number(plain, DAY_NAME, 1))
         as_flipped = safe_date(_number(plain, NAME_DAY, 3), month_number(_group(plain, NAME_DAY, 1)),
                                _number(plain, NAME_DAY, 2))
-        return F.coalesce(as_iso, F.when(t.rlike(YEAR_FIRST), as_year_first), as_numeric, as_named, as_flipped)
+        searched = F.coalesce(F.when(t.rlike(YEAR_FIRST), as_year_first), as_numeric, as_named, as_flipped)
+        return F.coalesce(as_iso, F.when(t.rlike(DAY_ONLY), as_day).when(t.rlike(DATED), searched))
 
     return let(F.trim(text), read)
 

@@ -182,6 +182,7 @@ _NAMED = {n: html.entities.html5[n + ";"] for n in _COMMON}
 _NAMED.update({n[:-1]: v for n, v in html.entities.html5.items() if n.endswith(";")})
 _BARE = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True))
 ENTITY = rf"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_BARE}))"
+_CUT = "\x01"
 _WINDOWS = {n: html.unescape(f"&#{n};") for n in range(128, 160)}
 
 
@@ -207,7 +208,9 @@ def _decode_entity(e: Column) -> Column:
 def unescape_html(c: Column) -> Column:
     """Decode named and numeric HTML entities once, as a browser would."""
     def decoded(text: Column) -> Column:
-        pieces = F.split(text, ENTITY, -1)
+        # split() compiles a long pattern for every row, a single sign it needs no pattern for
+        cut = F.lit(_CUT)
+        pieces = F.when(text.contains(cut), F.split(text, ENTITY, -1)).otherwise(F.split(F.regexp_replace(text, F.lit(ENTITY), cut), _CUT, -1))
         found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
         joined = F.array_join(
             F.zip_with(pieces, F.transform(found, _decode_entity),

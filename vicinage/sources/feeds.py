@@ -56,11 +56,11 @@ def from_open_data_json(payloads: DataFrame, sources: DataFrame, today) -> DataF
         wrapped, lambda w: F.coalesce(inner(w["result"]["records"]), inner(w["records"]))))
     t = day(today)
     told = lambda name: F.coalesce(*[_text(F.try_element_at("r", F.lit(k))) for k in JSON_FIELDS[name]])
-    records = with_once(payloads.select("source_id", F.explode(rows).alias("r")), **{f"_{name}": told(name) for name in JSON_FIELDS})
-    stated = lambda name: F.col(f"_{name}")
-    records = with_once(records, start_date=dates.to_iso_date(stated("start"), t), end_date=dates.to_iso_date(stated("end"), t)).drop("r")
-    records = records.filter(stated("external_id").isNotNull() & F.col("start_date").isNotNull())
-    r = with_source_defaults(records, sources)
+    # made once is what decides whether a record stays; all else is read of those that do
+    records = with_once(payloads.select("source_id", F.explode(rows).alias("r")), external_id=told("external_id"), _start=told("start"))
+    records = with_once(records.filter(F.col("external_id").isNotNull()), start_date=dates.to_iso_date(F.col("_start"), t))
+    stated = told
+    r = with_source_defaults(records.filter(F.col("start_date").isNotNull()), sources)
     number = lambda name: F.nullif(stated(name).try_cast("double"), F.lit(0.0))
     unreadable = (stated("lat").isNotNull() & stated("lat").try_cast("double").isNull()) \
         | (stated("lng").isNotNull() & stated("lng").try_cast("double").isNull())
@@ -68,9 +68,9 @@ def from_open_data_json(payloads: DataFrame, sources: DataFrame, today) -> DataF
         F.coalesce(number(name), F.col(default), F.lit(centre)))
     title = F.coalesce(stated("title"), F.lit("Event"))
     return r.select(
-        "source_id", stated("external_id").alias("external_id"), title.alias("title"),
+        "source_id", "external_id", title.alias("title"),
         F.coalesce(stated("description"), title).alias("description"),
-        "start_date", "end_date", F.coalesce(stated("time"), F.lit("")).alias("time"),
+        "start_date", dates.to_iso_date(stated("end"), t).alias("end_date"), F.coalesce(stated("time"), F.lit("")).alias("time"),
         F.coalesce(stated("town"), _text(F.col("town_default")), F.lit(DEFAULT_TOWN)).alias("town"),
         at("lat", "lat_default", SOURCE_CENTRE[0]).alias("lat"), at("lng", "lng_default", SOURCE_CENTRE[1]).alias("lng"),
         F.coalesce(stated("image"), F.col("image_default"), F.lit("")).alias("image"),
@@ -96,31 +96,36 @@ def _plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"\\([,;\\])", "$1"))
 
 
+STAMP = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2}))?"
+
+
 def from_ical(payloads: DataFrame, sources: DataFrame, today) -> DataFrame:
     """Calendar events with an id and a start; the time label is as written."""
     t = day(today)
-    e = with_source_defaults(vevents(payloads), sources)
     b = F.col("block")
-    form = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2}))?"
-
-    def stamp(name: str) -> Column:
-        return let(_property(b, name), lambda v: F.struct(
-            F.concat_ws("-", *[F.regexp_extract(v, form, i) for i in (1, 2, 3)]).try_cast("date").alias("day"),
-            F.when(F.regexp_extract(v, form, 4) != "", F.concat_ws(":", F.regexp_extract(v, form, 4),
-                                                                  F.regexp_extract(v, form, 5))).alias("clock")))
-    e = e.withColumns({"_s": stamp("DTSTART"), "_e": stamp("DTEND")})
-    gate = lambda c: F.when(dates.plausible_year(c, t), c)
+
+    def stamped(v: Column) -> Column:
+        date = F.when(v.rlike(STAMP), F.concat_ws("-", F.substring(v, 1, 4), F.substring(v, 5, 2), F.substring(v, 7, 2)).try_cast("date"))
+        return F.when(dates.plausible_year(date, t), date)
+
+    def clock(v: Column) -> Column:
+        return F.when(F.regexp_extract(v, STAMP, 4) != "", F.concat_ws(":", F.regexp_extract(v, STAMP, 4), F.regexp_extract(v, STAMP, 5)))
+
+    e = with_once(vevents(payloads), external_id=_property(b, "UID"), _from=_property(b, "DTSTART"))
+    e = with_once(e.filter(F.col("external_id").isNotNull()), start_date=stamped(F.col("_from"))).filter(F.col("start_date").isNotNull())
+    e = with_source_defaults(e, sources)
+    till = _property(b, "DTEND")
     title = F.coalesce(_plain(_property(b, "SUMMARY")), F.lit("Untitled event"))
     return e.select(
-        "source_id", _property(b, "UID").alias("external_id"), title.alias("title"),
+        "source_id", "external_id", title.alias("title"),
         F.coalesce(_text(_plain(_property(b, "DESCRIPTION"))), title).alias("description"),
-        gate(F.col("_s.day")).alias("start_date"), gate(F.col("_e.day")).alias("end_date"),
-        F.when(F.col("_s.clock").isNull(), F.lit("")).otherwise(F.concat_ws(" - ", "_s.clock", "_e.clock")).alias("time"),
+        "start_date", let(till, stamped).alias("end_date"),
+        let(F.col("_from"), lambda v: F.when(clock(v).isNull(), F.lit("")).otherwise(F.concat_ws(" - ", clock(v), let(till, clock)))).alias("time"),
         F.coalesce(_text(_plain(_property(b, "LOCATION"))), _text(F.col("town_default")), F.lit(DEFAULT_TOWN)).alias("town"),
         F.coalesce("lat_default", F.lit(SOURCE_CENTRE[0])).alias("lat"),
         F.coalesce("lng_default", F.lit(SOURCE_CENTRE[1])).alias("lng"),
-        F.coalesce("image_default", F.lit("")).alias("image"), "position",
-    ).filter(F.col("external_id").isNotNull() & F.col("start_date").isNotNull()).drop("position")
+        F.coalesce("image_default", F.lit("")).alias("image"),
+    )
 
 
 # --- JSON-LD ----------------------------------------------------------------------------------
@@ -241,9 +246,10 @@ def from_json_ld(pages: DataFrame, sources: DataFrame, today, nodes: DataFrame |
     clock = lambda c: F.nullif(F.regexp_extract(c, r"T(\d{2}:\d{2})", 1), F.lit(""))
     geo_lat = F.try_variant_get(place, "$.geo.latitude", "double")
     geo_lng = F.try_variant_get(place, "$.geo.longitude", "double")
-    rows = e.withColumns({
-        "start_date": dates.to_iso_date(start, t), "end_date": dates.to_iso_date(end, t),
-        "title": F.coalesce(_text(_ld(n, "$.name")), F.lit("Event")), "_clock": clock(start), "_clock_end": clock(end)})
+    rows = with_once(e, _start=start)
+    rows = with_once(rows, start_date=dates.to_iso_date(F.col("_start"), t)).filter(F.col("start_date").isNotNull())
+    rows = with_once(rows, title=F.coalesce(_text(_ld(n, "$.name")), F.lit("Event"))).withColumns({
+        "end_date": dates.to_iso_date(end, t), "_clock": clock(F.col("_start")), "_clock_end": clock(end)})
     fallback_id = F.concat_ws(":", F.col("source_id").cast("string"), F.col("start_date").cast("string"),
                               F.col("title"))
     return rows.select(
@@ -255,7 +261,7 @@ def from_json_ld(pages: DataFrame, sources: DataFrame, today, nodes: DataFrame |
         F.coalesce(geo_lat, "lat_default", F.lit(SOURCE_CENTRE[0])).alias("lat"),
         F.coalesce(geo_lng, "lng_default", F.lit(SOURCE_CENTRE[1])).alias("lng"),
         urls.abs_url(F.col("url"), tx.unescape_html(picture)).alias("image"),
-    ).filter(F.col("start_date").isNotNull())
+    )
 
 
 # --- pages without structured data ------------------------------------------------------------
@@ -303,12 +309,12 @@ def from_open_graph(pages: DataFrame, today) -> DataFrame:
     written = F.concat(F.transform(times, of_tag), F.array(*[raw_meta(html, p) for p in META_DATES], in_text))
     read = F.transform(written, lambda text: dates.to_iso_date(text, t))
     on_page = F.get(F.filter(read, lambda d: d.isNotNull()), 0)
-    rows = pages.withColumn("title", title)
+    rows = with_once(pages, title=title).filter(F.coalesce("title", F.lit("")) != "")
     start = F.coalesce(dates.date_from_title(F.col("title"), t), dates.date_from_url(F.col("url")), on_page)
-    return rows.select(
+    return with_once(rows, start_date=start).filter(F.col("start_date").isNotNull()).select(
         "page_id", F.col("url").alias("external_id"), "title", F.coalesce(meta(html, "og:description"), F.lit("")).alias("description"),
-        start.alias("start_date"), F.coalesce(meta(html, "og:image"), F.lit("")).alias("image"),
-    ).filter(F.col("start_date").isNotNull() & (F.coalesce("title", F.lit("")) != ""))
+        "start_date", F.coalesce(meta(html, "og:image"), F.lit("")).alias("image"),
+    )
 
 
 def _element(selector: str) -> str:
@@ -316,7 +322,7 @@ def _element(selector: str) -> str:
     name, _, cls = selector.partition(".")
     tag = name or r"[a-zA-Z][a-zA-Z0-9]*"
     attribute = rf"(?=[^>]*\bclass\s*=\s*[\"'][^\"']*(?<![\w-]){cls}(?![\w-])[^\"']*[\"'])" if cls else ""
-    return rf"(?is)<({tag})\b{attribute}[^>]*?(?:/>|>.*?</\1\s*>)" if name not in ("img", "meta", "link", "br") \
+    return rf"(?is)<({tag})\b{attribute}[^>]*+(?:(?<=/)>|>.*?</\1\s*>)" if name not in ("img", "meta", "link", "br") \
         else rf"(?is)<({tag})\b{attribute}[^>]*>"
 
 
@@ -330,13 +336,20 @@ def select_all(html: Column, selector: str) -> Column:
     return found
 
 
+def select_first(html: Column, selector: str) -> Column:
+    """The first of `select_all`, for a single step without a search for the others."""
+    if len(selector.split()) > 1:
+        return F.get(select_all(html, selector), 0)
+    return _text(F.regexp_extract(html, _element(selector), 0))
+
+
 def select_text(html: Column, selector: str) -> Column:
-    hit = F.get(select_all(html, selector), 0)
+    hit = select_first(html, selector)
     return F.trim(F.regexp_replace(tx.unescape_html(F.regexp_replace(hit, r"(?s)<[^>]*>", " ")), r"\s+", " "))
 
 
 def select_attr(html: Column, selector: str, name: str) -> Column:
-    hit = F.get(select_all(html, selector), 0)
+    hit = select_first(html, selector)
     return tx.unescape_html(F.trim(F.regexp_extract(hit, rf"(?is)^<[^>]*\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)))
 
 
@@ -353,8 +366,9 @@ def from_listing_blocks(pages: DataFrame, sources: DataFrame, selectors: dict[st
     pick = lambda name: select_text(item, selectors[name]) if name in selectors else F.lit("")
     raw_date = select_attr(item, selectors["date"], selectors["date_attr"]) if "date_attr" in selectors else pick("date")
     attr = lambda name, a: F.coalesce(select_attr(item, selectors[name], a), F.lit("")) if name in selectors else F.lit("")
-    rows = with_once(rows, title=pick("title"), start_date=dates.to_iso_date(raw_date, t),
-                     _link=attr("link", "href"), _image=attr("image", "src"))
+    rows = with_once(rows, title=pick("title"), _day=raw_date).filter(F.coalesce("title", F.lit("")) != "")
+    rows = with_once(rows, start_date=dates.to_iso_date(F.col("_day"), t)).filter(F.col("start_date").isNotNull())
+    rows = with_once(rows, _link=attr("link", "href"))
     made_id = F.concat_ws(":", F.col("source_id").cast("string"), F.col("start_date").cast("string"), F.col("title"))
     return rows.select(
         "source_id", F.coalesce(_text(F.col("_link")), made_id).alias("external_id"), "title",
@@ -363,9 +377,9 @@ def from_listing_blocks(pages: DataFrame, sources: DataFrame, selectors: dict[st
         F.coalesce(_text(tx.clean_location(pick("location"))), _text(F.col("town_default")), F.lit(DEFAULT_TOWN)).alias("town"),
         F.coalesce("lat_default", F.lit(SOURCE_CENTRE[0])).alias("lat"),
         F.coalesce("lng_default", F.lit(SOURCE_CENTRE[1])).alias("lng"),
-        F.coalesce(_text(urls.abs_url(F.col("url"), F.col("_image"))), F.col("image_default"), F.lit("")).alias("image"),
+        F.coalesce(_text(let(attr("image", "src"), lambda v: urls.abs_url(F.col("url"), v))), F.col("image_default"), F.lit("")).alias("image"),
         "page_id", "position",
-    ).filter(F.coalesce("title", F.lit("")).cast("string") != "").filter(F.col("start_date").isNotNull())
+    )
 
 
 # --- sitemaps, robots, links ------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config.regions import DEFAULT_TOWN, SOURCE_CENTRE
 from ..operators.filters import day
 from ..operators.sets import union_feeds
-from ..session import cut
+from ..session import cut, kept
 from . import feeds
 from .curated import curated_details
 from .sinks import upsert
@@ -83,12 +83,18 @@ def readers(communes: DataFrame) -> dict[str, Reader]:
 
 
 def read_all(payloads: DataFrame, sources: DataFrame, today, communes: DataFrame) -> DataFrame:
-    """(kind, candidate columns) of all payloads, each read by the kind of its source; sources of unknown kinds give none."""
+    """(kind, candidate columns) of all payloads, each read by the kind of its source; sources of unknown kinds give none.
+
+    Payloads are made and told their kind once, and written, each kind in files of its own.
+    """
+    known = readers(communes)
+    kinds = kept(sources.filter(F.col("kind").isin(*known)))
+    named = kinds.select("source_id", "kind").distinct()
+    told = kept(payloads.join(named, "source_id"), "kind")
     parts = []
-    for kind, read in readers(communes).items():
-        mine = sources.filter(F.col("kind") == kind)
-        own = payloads.join(mine.select("source_id"), "source_id", "left_semi")
-        parts.append(read(own, mine, today).select(F.lit(kind).alias("kind"), *feeds.CANDIDATE))
+    for kind, read in known.items():
+        own = told.filter(F.col("kind") == kind).drop("kind")
+        parts.append(read(own, kinds.filter(F.col("kind") == kind), today).select(F.lit(kind).alias("kind"), *feeds.CANDIDATE))
     return union_feeds(*parts)
 
 
