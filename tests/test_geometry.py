@@ -177,3 +177,36 @@ def test_small_routes_are_chained_without_rounds(spark, monkeypatch):
     mixed = {tuple(x) for x in routes.chain(df, local_ways=5).collect()}
     monkeypatch.setattr(routes, "_followed", lambda *a: pytest.fail("rounds"))
     assert {tuple(x) for x in routes.chain(df).collect()} == rounds == mixed and len(rounds) == len(ways)
+
+
+def test_small_routes_are_built_in_one_pass(spark, monkeypatch):
+    """As step by step: shared ways, rings, ways of one vertex, repeated rows, missing values. Before, every step wrote all vertices."""
+    r = random.Random(11)
+    corner = lambda: (49.5 + r.randint(0, 3) / 100, 6.0 + r.randint(0, 2) / 100)
+    wobble = lambda: (49.5 + r.random() / 30, 6.0 + r.random() / 30)
+    whole = [(w, i, *p) for w in range(60) for i, p in enumerate([corner(), *[wobble() for _ in range(r.randint(0, 4))], corner()][:r.choice([1, 9, 9, 9])])]
+    whole += whole[::9]
+    odd = [(60, 0, None, 6.0), (60, 1, 49.5, 6.0), (61, 0, 49.5, float("nan")), (61, 1, 49.6, 6.0), (62, None, 49.5, 6.0), (62, 1, 49.6, 6.0)]
+    members = [(k, r.sample(range(60), r.randint(1, 12))) for k in range(50)] + [(None, [1, 2]), (50, []), (51, None), (52, [3, 3, 99])]
+    relations = lambda rows: spark.createDataFrame(rows, "route_id int, members array<int>")
+    points = spark.createDataFrame(whole + odd, "way_id int, seq int, lat double, lng double")
+    told = lambda df: sorted((x.route_id, str(x.path_parts), x.bbox_south, x.bbox_west, x.bbox_north, x.bbox_east) for x in df.collect())
+    for rows in (members, members + [(53, [60, 5]), (54, [61, 5]), (55, [62, 5])]):
+        shapes = relations(rows).select("route_id", F.explode(F.array_distinct("members")).alias("way_id")).join(points, "way_id")
+        want = told(routes._build_in_steps(shapes))
+        assert told(routes.build_geometry(relations(rows), points)) == want and len(want) >= 51
+        assert told(routes.build_geometry(relations(rows), points, local_points=20)) == want
+    monkeypatch.setattr(routes, "cut", lambda df: pytest.fail("written between the steps"))
+    assert len(told(routes.build_geometry(relations(members), points))) >= 51
+
+
+def test_routes_larger_than_a_task_are_named_only():
+    """Rows of such a route are let go as they come, over any number of batches."""
+    import pyarrow as pa
+
+    schema = pa.schema([("route_id", pa.int64()), ("path_parts", pa.list_(pa.list_(pa.struct([("lat", pa.float64()), ("lng", pa.float64())])))), ("apart", pa.bool_())])
+    rows = [(k, w, i, 49.0 + w + i / 9, 6.0, 49.0 + w + i / 9, 6.0, False) for k, n in ((1, 2), (2, 9), (3, 1), (4, 2)) for w in range(n) for i in range(2)]
+    for size in (1, 3, 4, 100):
+        batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i:i + size])], names=list("abcdefgh")) for i in range(0, len(rows), size)]
+        out = pa.Table.from_batches(routes._per_route(5, schema)(iter(batches)), schema=schema).to_pylist()
+        assert sorted((x["route_id"], x["apart"], len(x["path_parts"] or [])) for x in out) == [(1, False, 2), (2, True, 0), (3, False, 1), (4, False, 2)]
